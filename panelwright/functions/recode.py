@@ -154,7 +154,7 @@ def banded(c: ColumnLike, low: float, high: float) -> Column:
 
 def as_category(c: ColumnLike, missing: int = -1) -> Column:
     """Category text of a code, with its own level for a missing one."""
-    return F.coalesce(as_col(c), F.lit(missing)).cast("string")
+    return F.coalesce(as_col(c).cast("string"), F.lit(str(missing)))
 
 
 def rounded_category(c: ColumnLike) -> Column:

@@ -438,13 +438,13 @@ def spend_wide(spark, sf):
     "zscore_fixed_reference",
     f"""WITH {S.SQL_PANEL}, {S.SQL_PEOPLE}, {SQL_SPEND_WIDE}
     SELECT id, {", ".join(f"CASE WHEN s1 IS NOT NULL AND s3 IS NOT NULL AND s5 IS NOT NULL THEN round((s{w} - m) / s, 6) END AS z{w}" for w in YEARS)},
-      CASE WHEN s3 IS NOT NULL THEN round((s5 - s1) * 2 / 8, 2) END AS slope
+      CASE WHEN s3 IS NOT NULL THEN round((s5 - s1) * 2 / 8, 6) END AS slope
     FROM wp LEFT JOIN ref ON ref.half = wp.half""",
 )
 def zscore_fixed_reference(spark, sf):
     rows = spend_wide(spark, sf)
     slope = R.linear_slope([f"s{w}" for w in YEARS], [0.0, 2.0, 4.0])
-    return rounded(rows.select("id", "z1", "z3", "z5", F.round(slope, 2).alias("slope")))
+    return rounded(rows.select("id", "z1", "z3", "z5", F.round(slope, 6).alias("slope")))
 
 
 @query(
@@ -457,12 +457,16 @@ def cumulative_weight(spark, sf):
     return rounded(Q.running_product(rows, "id", "wave", "w", "running").select("id", "wave", "running"))
 
 
+SQL_STACK = """c AS (SELECT *, CASE WHEN spend >= 350000 THEN 1 ELSE 0 END AS costly, CASE WHEN n_orders > 1 THEN 1 ELSE 0 END AS repeated FROM obs),
+stacked AS (
+  SELECT *, 'Urgent' AS index_name, a AS index_flag, a + 2 * b AS index_state, greatest(costly + repeated, 0) AS other_count FROM c
+  UNION ALL SELECT *, 'Costly', costly, costly + 2 * b, greatest(costly + repeated - costly, 0) FROM c
+  UNION ALL SELECT *, 'Repeated', repeated, repeated + 2 * b, greatest(costly + repeated - repeated, 0) FROM c)"""
+
+
 @query(
     "index_condition_stack",
-    f"""WITH {S.SQL_INTERVALS}, c AS (SELECT id, wave, b, a, CASE WHEN functional_state = 2 THEN 1 ELSE 0 END AS f, CASE WHEN n_orders > 1 THEN 1 ELSE 0 END AS m FROM obs)
-    SELECT id, wave, 'Urgent' AS index_name, a AS index_flag, a + 2 * b AS index_state, greatest(f + m, 0) AS other_count FROM c
-    UNION ALL SELECT id, wave, 'Flagged', f, f + 2 * b, greatest(f + m - f, 0) FROM c
-    UNION ALL SELECT id, wave, 'Repeat', m, m + 2 * b, greatest(f + m - m, 0) FROM c""",
+    f"""WITH {S.SQL_INTERVALS}, {SQL_STACK} SELECT id, wave, index_name, index_flag, index_state, other_count FROM stacked""",
 )
 def index_condition_stack(spark, sf):
     return index_stack(S.observed(spark, sf)).select(
@@ -472,9 +476,9 @@ def index_condition_stack(spark, sf):
 
 def index_stack(rows):
     """One copy per index condition; its own contribution leaves the count of the others."""
-    flagged, repeat = R.flag(F.col("functional_state") == 2), R.flag(F.col("n_orders") > 1)
-    rows = rows.withColumn("flagged", flagged).withColumn("repeat", repeat)
-    total = F.col("flagged") + F.col("repeat")
+    costly, repeated = R.flag(F.col("spend") >= 350000), R.flag(F.col("n_orders") > 1)
+    rows = rows.withColumn("costly", costly).withColumn("repeated", repeated)
+    total = F.col("costly") + F.col("repeated")
 
     def copy(name, own, counted):
         return {
@@ -485,7 +489,7 @@ def index_stack(rows):
         }
 
     return reshape.stack_copies(
-        rows, [copy("Urgent", "a", False), copy("Flagged", "flagged", True), copy("Repeat", "repeat", True)]
+        rows, [copy("Urgent", "a", False), copy("Costly", "costly", True), copy("Repeated", "repeated", True)]
     )
 
 
