@@ -27,7 +27,7 @@ from .design import Term, design_columns, find_levels, is_discrete, used_columns
 MAX_CELLS = 50_000
 MAX_ROUNDS = 40
 DECREMENT = 1e-16  # squared size of a step in standard errors
-STALL = 1e-9  # relative change of the log-likelihood, two rounds running
+STALL = 1e-8  # relative change of the log-likelihood, two rounds running
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ def solve(gram: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     scale = np.where(size > 0, 1 / np.where(size > 0, size, 1), 0.0)
     scaled = gram * scale[:, None] * scale[None, :]
     values, vectors = np.linalg.eigh((scaled + scaled.T) / 2)
-    keep = values > max(values.max(), 0) * 1e-10
+    keep = values > max(values.max(), 0) * 1e-13
     inverse = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
     inverse = inverse * scale[:, None] * scale[None, :]
     return inverse @ right, inverse, int(keep.sum())

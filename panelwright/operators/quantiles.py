@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from ..bounded import collect_bounded
 
@@ -100,8 +101,8 @@ def _order_statistics(values, by, groups, wanted) -> dict[tuple, float]:
 def _count_within(values, by, spans) -> dict[tuple, list[tuple[float, float, int]]]:
     """Rows of each span by bin (by value once few are left), as (min, max, count) in order."""
     spark = values.sparkSession
-    schema = values.select(*by).schema.add("__s", "int").add("__lo", "double").add("__hi", "double")
-    schema = schema.add("__each", "boolean")
+    extra = [("__s", IntegerType()), ("__lo", DoubleType()), ("__hi", DoubleType()), ("__each", BooleanType())]
+    schema = StructType([*values.select(*by).schema.fields, *[StructField(n, t) for n, t in extra]])
     table = spark.createDataFrame(
         [(*g, i, lo, hi, n <= ENUMERATE) for i, (g, lo, hi, n) in enumerate(spans)], schema
     )
