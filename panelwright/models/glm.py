@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from ..functions.recode import all_present
 from .design import Term, design_columns, find_levels, is_discrete, used_columns
 
 MAX_CELLS = 50_000
@@ -486,11 +487,15 @@ def _cluster_meats(layout: _Layout, fits: dict[int, Fit]):
     return out
 
 
-def predicted(df: DataFrame, fit: Fit, model: Model, name: str) -> DataFrame:
-    """The fitted mean as a column, as one expression in the plan."""
-    design = design_columns(model.terms, fit.levels, model.intercept)
+def predicted(
+    df: DataFrame, fit: Fit, model: Model, name: str, bounds: tuple[float, float] | None = None
+) -> DataFrame:
+    """The fitted mean (held within bounds) as a column; NULL where a variable is missing.
+
+    The expression refers to the linear predictor once, so its size stays that of the design.
+    """
     eta = F.lit(0.0)
-    for (_, column), b in zip(design, fit.beta):
+    for (_, column), b in zip(design_columns(model.terms, fit.levels, model.intercept), fit.beta):
         if b != 0:
             eta = eta + F.lit(float(b)) * column
     if model.family == "poisson":
@@ -499,7 +504,9 @@ def predicted(df: DataFrame, fit: Fit, model: Model, name: str) -> DataFrame:
         mean = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
     else:
         mean = eta
-    return df.withColumn(name, mean)
+    if bounds:
+        mean = F.least(F.greatest(mean, F.lit(bounds[0])), F.lit(bounds[1]))
+    return df.withColumn(name, F.when(all_present(used_columns(model.terms)), mean))
 
 
 AUDIT = (

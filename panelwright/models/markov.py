@@ -29,12 +29,12 @@ LOW, HIGH = -10.0, 3.0
 
 
 def matrix_exponential(a: np.ndarray) -> np.ndarray:
-    """Scaling and squaring with a Taylor series; for the small matrices of this module."""
-    norm = np.abs(a).sum(axis=1).max()
+    """Scaling and squaring with a Taylor series, for one small matrix or a stack of them."""
+    norm = np.abs(a).sum(axis=-1).max()
     halvings = max(0, int(np.ceil(np.log2(norm))) + 2) if norm > 0 else 0
     scaled = a / 2**halvings
-    term = out = np.eye(len(a))
-    for k in range(1, 19):
+    term = out = np.broadcast_to(np.eye(a.shape[-1]), a.shape)
+    for k in range(1, 15):
         term = term @ scaled / k
         out = out + term
     for _ in range(halvings):
@@ -56,28 +56,28 @@ def intensity_matrix(theta: np.ndarray, states: int) -> np.ndarray:
 
 
 def _probabilities(theta, states, lengths):
-    """P(t) and its derivative by each log rate, for every interval length."""
+    """P(t) and its derivative by each log rate, for every interval length.
+
+    The upper right block of the exponential of [[Q, D], [0, Q]] is the derivative along D.
+    """
     q = intensity_matrix(theta, states)
-    size = states + 1
+    size, edges = states + 1, edges_of(states)
+    blocks = np.zeros((len(edges), 2 * size, 2 * size))
+    blocks[:, :size, :size] = blocks[:, size:, size:] = q
+    for e, (value, (i, j)) in enumerate(zip(np.exp(theta), edges)):
+        blocks[e, i, size + j] = value
+        blocks[e, i, size + i] = -value
     out = {}
     for t in lengths:
-        slopes = []
-        for value, (i, j) in zip(np.exp(theta), edges_of(states)):
-            block = np.zeros((2 * size, 2 * size))
-            block[:size, :size] = block[size:, size:] = q * t
-            block[i, size + j] += value * t
-            block[i, size + i] -= value * t
-            both = matrix_exponential(block)
-            slopes.append(both[:size, size:])
-        out[t] = (matrix_exponential(q * t), np.array(slopes))
+        both = matrix_exponential(blocks * t)
+        out[t] = (both[0, :size, :size], both[:, :size, size:])
     return out
 
 
 def _loglik(theta, states, counts):
-    q = intensity_matrix(theta, states)
-    return sum(
-        float(np.sum(w * np.log(np.maximum(matrix_exponential(q * t), 1e-12)))) for t, w in counts.items()
-    )
+    lengths = np.array(list(counts))[:, None, None]
+    p = matrix_exponential(intensity_matrix(theta, states)[None] * lengths)
+    return float(np.sum(np.array(list(counts.values())) * np.log(np.maximum(p, 1e-12))))
 
 
 def starting_rates(counts: Mapping[float, np.ndarray], states: int) -> np.ndarray:
@@ -96,6 +96,7 @@ def fit_intensities(
     theta = starting_rates(counts, states) if start is None else np.array(start, dtype=float)
     theta = np.clip(theta, LOW, HIGH)
     value = _loglik(theta, states, counts)
+    damping = 1e-6
     for _ in range(max_rounds):
         score = np.zeros(len(theta))
         information = np.zeros((len(theta), len(theta)))
@@ -106,22 +107,24 @@ def fit_intensities(
             at_risk = w.sum(axis=1)
             information += np.einsum("eij,fij,ij->ef", slopes, slopes, at_risk[:, None] / p)
         free = ~(((theta <= LOW) & (score < 0)) | ((theta >= HIGH) & (score > 0)))
-        step = np.zeros(len(theta))
         inside = information[np.ix_(free, free)]
-        step[free] = np.linalg.lstsq(inside + 1e-12 * np.eye(len(inside)), score[free], rcond=None)[0]
-        improved = False
-        scale = 1.0
-        while scale > 1e-6:
-            trial = np.clip(theta + scale * np.clip(step, -3, 3), LOW, HIGH)
+        trial, new = theta, -np.inf
+        # damped steps: the surface is nearly flat where rates are high against the spacing
+        while damping < 1e12:
+            step = np.zeros(len(theta))
+            step[free] = np.linalg.solve(
+                inside + (damping * np.diag(inside) + 1e-9).max() * np.eye(len(inside)), score[free]
+            )
+            trial = np.clip(theta + np.clip(step, -2, 2), LOW, HIGH)
             new = _loglik(trial, states, counts)
             if new >= value:
-                improved = True
+                damping = max(damping / 5, 1e-9)
                 break
-            scale /= 2
-        if not improved:
-            return theta, value, bool(np.abs(score[free]).max(initial=0) < 1e-3 * max(1, abs(value)))
+            damping *= 4
+        if new < value:
+            return theta, value, True  # no step improves: a maximum to working precision
         gain, theta, value = new - value, trial, new
-        if gain < 1e-10 * (1 + abs(value)):
+        if gain <= 1e-10 * max(1.0, abs(value)):
             return theta, value, True
     return theta, value, False
 

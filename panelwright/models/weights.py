@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -34,11 +34,13 @@ def observation_weights(
     bounds: tuple[float, float] = (0.02, 0.995),
     quantiles: tuple[float, float] = (0.01, 0.99),
     name: str = "iow",
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, WeightReport]:
     """Stabilised weights for an outcome that is not always seen.
 
     Both probabilities are fitted on all rows and bounded; their ratio is held within its
-    own quantiles over the observed rows, which are the ones returned.
+    own quantiles over the observed rows, which are the ones returned. The scored rows are
+    read several times from here on: ``keep`` may write them to a table first.
     """
     models = [
         Model("denominator", F.col(observed), tuple(denominator), family="binomial", errors="HC0"),
@@ -47,11 +49,12 @@ def observation_weights(
     fits = fit_models(df, models)
     scored = df
     for m, column in zip(models, ("p_denominator", "p_numerator")):
-        scored = predicted(scored, fits[m.name], m, column)
-        scored = scored.withColumn(column, clip(column, *bounds))
+        scored = predicted(scored, fits[m.name], m, column, bounds)
     seen = scored.filter(F.col(observed) == 1).withColumn(
         f"{name}_raw", F.col("p_numerator") / F.col("p_denominator")
     )
+    if keep:
+        seen = keep(seen)
     low, middle, high = exact_quantiles(seen, f"{name}_raw", [quantiles[0], 0.5, quantiles[1]])[()]
     weighted = seen.withColumn(name, clip(f"{name}_raw", low, high))
     return weighted, WeightReport(fits["denominator"], fits["numerator"], low, middle, high)
@@ -113,6 +116,7 @@ def marginal_structural_weights(
     numerator: Sequence[Term],
     bounds: tuple[float, float] = (0.01, 0.99),
     quantiles: tuple[float, float] = (0.01, 0.99),
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, tuple[float, float]]:
     """Stabilised weights for the exposures up to each row, held within their quantiles."""
     scored = class_probability(df, target, numerator, "p_numerator")
@@ -122,4 +126,6 @@ def marginal_structural_weights(
     )
     scored = scored.withColumn("sw_part", F.col("p_numerator") / F.col("p_denominator"))
     running = running_product(scored, key, wave, "sw_part", "sw_raw")
+    if keep:
+        running = keep(running)
     return winsorised(running, "sw_raw", "sw", *quantiles)

@@ -16,6 +16,8 @@ from ..models.glm import Model, fit_models, model_audit
 from ..models.weights import marginal_structural_weights, observation_weights
 from ..operators import joins
 from ..operators.sequences import HISTORY_GROUPS, mean_normalised, standardise_within
+from ..operators.summaries import fill_missing
+from ..sources.tables import stored
 from . import standin as S
 from .interval_queries import (
     GROUPS,
@@ -570,7 +572,8 @@ def observation_weights_query(spark, sf):
     rows = rows.withColumn("origin_cell", F.concat_ws("|", "functional_state", "interval"))
     rows = rows.withColumn("full_cell", F.concat_ws("|", "state", "functional_state", "interval"))
     weighted_rows, _ = observation_weights(
-        rows, "outcome_observed", [Cat("full_cell")], [Cat("origin_cell")]
+        stored(rows, "cells"), "outcome_observed", [Cat("full_cell")], [Cat("origin_cell")],
+        keep=lambda df: stored(df, "weighted"),
     )
     return rounded(weighted_rows.select("id", "wave", "p_denominator", "p_numerator", "iow_raw", "iow"))
 
@@ -613,8 +616,10 @@ def msm_weights(spark, sf):
 
 def msm_rows(spark, sf):
     rows = lagged_intervals(spark, sf).filter("lag_state is not null")
-    rows = rows.withColumn("lag_cell", F.concat_ws("|", "lag_state", "functional_state"))
-    return marginal_structural_weights(rows, "id", "wave", "state", [Cat("lag_cell")], [Cat("lag_state")])
+    rows = stored(rows.withColumn("lag_cell", F.concat_ws("|", "lag_state", "functional_state")), "lagged")
+    return marginal_structural_weights(
+        rows, "id", "wave", "state", [Cat("lag_cell")], [Cat("lag_state")], keep=lambda df: stored(df, "msm")
+    )
 
 
 GRID = [
@@ -662,10 +667,8 @@ COVARIATES = (
 
 def prepared(spark, sf):
     """All intervals with filled covariates; fills are over the interval rows."""
-    from ..operators.summaries import fill_missing
-
     rows = S.modelled(S.with_people(S.intervals(spark, sf), spark, sf))
-    rows = rows.withColumn("order_count", F.col("n_orders").cast("double"))
+    rows = stored(rows.withColumn("order_count", F.col("n_orders").cast("double")), "intervals")
     filled = fill_missing(rows, median={"balance_k": "balance_filled"})
     return filled.withColumnRenamed("balance_k_missing", "balance_missing")
 
@@ -677,6 +680,7 @@ def fully_weighted(spark, sf, covariates=COVARIATES):
         "outcome_observed",
         [STATE, origin, *covariates],
         [origin, Cat("interval")],
+        keep=lambda df: stored(df, "weighted"),
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import recode as R
@@ -368,21 +366,12 @@ def modal_values(spark, sf):
     return spark.createDataFrame([row], "line_mode int, quantity_mode double, flag_mode string")
 
 
-def scratch_folder(spark, name):
-    """A new folder beside the checkpoints of the cluster, or a local one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        return tempfile.mkdtemp(prefix=f"panelwright-{name}-")
-    token = spark.range(1).select(F.uuid()).collect()[0][0]
-    return f"{base}/{name}-{token}"
-
-
 @query(
     "delimited_round_trip",
     f"WITH {S.SQL_PANEL} SELECT CAST(id AS VARCHAR) AS id, wave, state, functional_state FROM panel",
 )
 def delimited_round_trip(spark, sf):
-    path = scratch_folder(spark, "csv") + "/panel"
+    path = tables.scratch_path(spark, "panel-csv")
     tables.write_table(S.panel(spark, sf).select("id", "wave", "state", "functional_state"), path, "csv")
     schema = "id string, wave int, state int, functional_state int"
     return tables.read_delimited(spark, path, schema)

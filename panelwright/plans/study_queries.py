@@ -15,6 +15,7 @@ from ..operators import joins, reshape
 from ..operators.quantiles import exact_quantiles
 from ..operators.sequences import first_event_followup, first_per_person
 from ..operators.summaries import cohort_flow, fill_missing, transition_totals
+from ..sources.tables import stored
 from . import standin as S
 from .interval_queries import SQL_SPEND_WIDE, YEARS, spend_wide
 from .model_queries import (
@@ -37,11 +38,11 @@ MATRIX = [*IMPUTED, "spend_k", "order_count", "a", "b", "functional_state", "hal
 
 
 def imputation_rows(spark, sf):
-    """One row per person: first interval, with spend at the first wave where there is one."""
+    """One row per person: first interval, with spend at the second wave where there is one."""
     first = first_per_person(S.intervals(spark, sf), "id", "wave")
-    early = S.panel(spark, sf).filter("wave = 1").select("id", (F.col("spend") / 1000).alias("early_spend"))
+    early = S.panel(spark, sf).filter("wave = 2").select("id", (F.col("spend") / 1000).alias("early_spend"))
     rows = S.modelled(S.with_people(joins.checked_join(first, early, ["id"]), spark, sf))
-    return rows.select(
+    rows = rows.select(
         "id",
         *IMPUTED,
         (F.col("spend") / 1000).alias("spend_k"),
@@ -51,6 +52,7 @@ def imputation_rows(spark, sf):
         "functional_state",
         "half",
     )
+    return stored(rows, "people")
 
 
 @query("impute_chained")
@@ -80,7 +82,7 @@ def multiple_imputation_rr(spark, sf):
     chains = impute.fit_chains(people, "id", MATRIX, draws=m, rounds=3, seed=12)
     drawn = impute.completed(people, chains, ["balance_k"], seed=12).select("id", "balance_k_draws")
     rows = S.modelled(S.with_people(S.intervals(spark, sf), spark, sf))
-    rows = joins.checked_join(rows, drawn, ["id"])
+    rows = stored(joins.checked_join(rows, drawn, ["id"]), "imputed")
     rows = rows.select("*", *[F.col("balance_k_draws")[k].alias(f"balance_{k}") for k in range(m)]).drop("balance_k_draws")
     origin = Cat("functional_state")
     shared = (Cat("interval"), Cat("segment_cat"), Num("half", discrete=True))
@@ -91,12 +93,14 @@ def multiple_imputation_rr(spark, sf):
         for k in range(m)
     ]
     fits = fit_models(rows, [numerator, *denominators])
-    scored = predicted(rows, fits["numerator"], numerator, "p_num")
+    bounded = (0.02, 0.995)
+    scored = predicted(rows, fits["numerator"], numerator, "p_num", bounded)
     for k, d in enumerate(denominators):
-        scored = predicted(scored, fits[d.name], d, "p_den").withColumn(
-            f"raw_{k}", R.clip("p_num", 0.02, 0.995) / R.clip("p_den", 0.02, 0.995)
-        )
-    observed = scored.drop("p_den").filter("outcome_observed = 1")
+        scored = predicted(scored, fits[d.name], d, f"p_den_{k}", bounded)
+    observed = scored.filter("outcome_observed = 1").select(
+        *rows.columns, *[(F.col("p_num") / F.col(f"p_den_{k}")).alias(f"raw_{k}") for k in range(m)]
+    )
+    observed = stored(observed, "weighted")
     long = observed.select(F.posexplode(F.array(*[F.col(f"raw_{k}") for k in range(m)])).alias("k", "raw"))
     bounds = exact_quantiles(long, "raw", [0.01, 0.99], by=["k"])
     for k in range(m):
@@ -158,6 +162,7 @@ def trajectories(spark, sf):
     rows = rows.withColumn("slope", slope)
     spread = rows.agg(F.avg("slope").alias("m"), F.stddev_pop("slope").alias("s")).first()
     rows = rows.withColumn("slope_sd", (F.col("slope") - spread["m"]) / spread["s"])
+    rows = stored(rows, "curves")
     fitted = mixture.fit_mixtures(rows, "id", Z, starts=3, max_rounds=40, seed=5)
     selection = mixture.select_mixture(rows, Z, fitted)
     return mixture.with_trajectory(rows, Z, selection), selection
@@ -171,7 +176,7 @@ def trajectory_people(spark, sf):
     rows = joins.checked_join(joins.checked_join(rows, states, ["id"]), counts, ["id"])
     later = F.when(F.col("f6").isNotNull(), R.event_in("f6", [2]))
     origin = R.flag(F.col("f5") == 2)
-    return rows.withColumn("incident", R.incident_only(origin, later)), selection
+    return stored(rows.withColumn("incident", R.incident_only(origin, later)), "curves-outcome"), selection
 
 
 @query("mixture_selection")
@@ -248,7 +253,8 @@ def mediation_rows(spark, sf):
     later = S.panel(spark, sf).filter("wave = 6").select(
         "id", F.col("n_orders").cast("double").alias("mediator"), R.event_in("functional_state", [2]).alias("flagged")
     )
-    return joins.checked_join(rows, later, ["id"], how="inner").filter(F.col("slope_sd").isNotNull())
+    joined = joins.checked_join(rows, later, ["id"], how="inner")
+    return stored(joined.filter(F.col("slope_sd").isNotNull()), "mediation")
 
 
 @query(
@@ -305,7 +311,7 @@ def ordered_pathway(spark, sf):
     rows = rows.withColumn("reading", R.in_range("spend", 0, 450000)).withColumn(
         "reading_k", F.col("reading") / 1000
     )
-    rows = fill_missing(rows, median={"reading_k": "reading_filled"})
+    rows = fill_missing(stored(rows, "pathway"), median={"reading_k": "reading_filled"})
     exposure = Cat("state_2", reference=0, levels=(0, 1, 2, 3))
     base = (exposure, *[t for t in COVARIATES if t.columns != ("interval",)])
     more = (Num("reading_filled"), Num("reading_k_missing", discrete=True))

@@ -1,10 +1,8 @@
-"""Session helpers: a local session for tests, and cutting lineage on the shared folder."""
+"""A local session for tests and the bench."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "8", app: str = "panelwright") -> SparkSession:
@@ -21,12 +19,3 @@ def local_session(cores: str = "8", app: str = "panelwright") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a scratch one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelwright-ck-"))
-    return df.checkpoint()

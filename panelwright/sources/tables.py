@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +36,21 @@ def write_table(
     return path
 
 
-def write_then_read(df: DataFrame, path: str) -> DataFrame:
-    """Materialise a hub table once; later steps scan it instead of rebuilding it."""
-    return read_table(df.sparkSession, write_table(df, path))
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path beside the cluster's checkpoints; a local one only where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="panelwright-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write a hub table once and continue from the file.
+
+    Later passes scan only the columns they use, lineage ends here, and a lost executor
+    re-reads its files instead of rebuilding the table.
+    """
+    spark = df.sparkSession
+    return read_table(spark, write_table(df, path or scratch_path(spark, name)))
 
 
 def audit_document(checks: DataFrame) -> DataFrame:
