@@ -8,7 +8,7 @@ from ..functions import recode as R
 from ..operators import joins, reshape, summaries
 from ..operators.intervals import vital_outcome
 from ..operators.quantiles import exact_quantiles
-from ..operators.sequences import first_per_person
+from ..operators.sequences import add_previous_wave, first_per_person
 from ..sources import tables
 from . import standin as S
 from .registry import query, rounded
@@ -174,10 +174,8 @@ SQL_LAG = """lagged AS (
 
 
 def lagged_intervals(spark, sf):
-    # the panel is read once more for the lag: it also holds the waves after the last origin
-    return joins.previous_wave_join(
-        S.intervals(spark, sf), S.panel(spark, sf), "id", "wave", {"state": "lag_state"}
-    )
+    # every wave up to the last origin is an interval row, so the lag needs no second table
+    return add_previous_wave(S.intervals(spark, sf), "id", "wave", {"state": "lag_state"})
 
 
 @query(
@@ -281,7 +279,10 @@ def coalesce_join(spark, sf):
     f"WITH {S.SQL_INTERVALS}, {SQL_LAG} SELECT id, wave, state, lag_state FROM lagged",
 )
 def lag_join(spark, sf):
-    return lagged_intervals(spark, sf).select("id", "wave", "state", "lag_state")
+    joined = joins.previous_wave_join(
+        S.intervals(spark, sf), S.panel(spark, sf), "id", "wave", {"state": "lag_state"}
+    )
+    return joined.select("id", "wave", "state", "lag_state")
 
 
 @query(
