@@ -35,7 +35,9 @@ STALL = 1e-8  # relative change of the log-likelihood, two rounds running
 class Model:
     """One regression: outcome, terms, risk set and weights.
 
-    ``errors`` is ``cluster`` (by the cluster column of the call), ``HC0``, ``HC1`` or ``HC3``.
+    ``errors`` is ``cluster`` (by the cluster column of the call), ``HC0``, ``HC1``, ``HC3``, or
+    ``none`` for the inverse information alone. A ``multinomial`` outcome holds class numbers
+    0..classes-1; its coefficients are those of classes 1 and up against class 0, in turn.
     """
 
     name: str
@@ -46,6 +48,7 @@ class Model:
     family: str = "poisson"
     errors: str = "cluster"
     intercept: bool = True
+    classes: int = 2
 
 
 @dataclass
@@ -73,8 +76,10 @@ class Fit:
         return name in self.names and name not in self.absent
 
 
-def step_sums(x, y, w, n, beta, family) -> np.ndarray:
+def step_sums(x, y, w, n, beta, family, classes=2) -> np.ndarray:
     """One round's sums: XᵀWX, XᵀWz, log-likelihood, rows, events, sum of weights."""
+    if family == "multinomial":
+        return _multinomial_sums(x, y, w, n, beta, classes)
     if family == "gaussian":
         mu = np.zeros_like(y) if beta is None else x @ beta
         working, z = w, y
@@ -95,6 +100,24 @@ def step_sums(x, y, w, n, beta, family) -> np.ndarray:
     return np.concatenate([(xw.T @ x).ravel(), xw.T @ z, tail])
 
 
+def _multinomial_sums(x, y, w, n, beta, classes) -> np.ndarray:
+    k, others = x.shape[1], classes - 1
+    beta = np.zeros(k * others) if beta is None else beta
+    eta = np.clip(x @ beta.reshape(others, k).T, -30, 30)
+    odds = np.exp(eta)
+    p = odds / (1 + odds.sum(axis=1, keepdims=True))
+    hit = y[:, None] == np.arange(1, classes)[None]
+    score = np.concatenate([x.T @ (w * (hit[:, j] - p[:, j])) for j in range(others)])
+    gram = np.empty((k * others, k * others))
+    for a in range(others):
+        for b in range(others):
+            spread = w * p[:, a] * ((a == b) - p[:, b])
+            gram[a * k : a * k + k, b * k : b * k + k] = (x * spread[:, None]).T @ x
+    loglik = np.sum(w * ((eta * hit).sum(axis=1) - np.log1p(odds.sum(axis=1))))
+    tail = [loglik, n.sum(), (n * (y > 0)).sum(), w.sum()]
+    return np.concatenate([gram.ravel(), gram @ beta + score, tail])
+
+
 def solve(gram: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Solution, pseudo-inverse and rank of a symmetric system; constant columns do no harm."""
     size = np.sqrt(np.maximum(np.diag(gram), 0))
@@ -128,6 +151,7 @@ class _Plan:
     weight: int | None
     family: str
     errors: str
+    classes: int
 
 
 class _Layout:
@@ -138,23 +162,35 @@ class _Layout:
         self.cluster = cluster
         every = [t for m in models for t in m.terms]
         self.levels = find_levels(df, every)
-        self.designs = [design_columns(m.terms, self.levels, m.intercept) for m in models]
+        built: dict = {}
+
+        def design(m: Model) -> list[tuple[str, Column]]:
+            out = design_columns((), self.levels, m.intercept)
+            for t in m.terms:
+                if t not in built:
+                    built[t] = design_columns([t], self.levels, intercept=False)
+                out = out + built[t]
+            return out
+
+        self.designs = [design(m) for m in models]
         union: dict[str, Column] = {}
-        for design in self.designs:
-            union.update(design)
+        for columns in self.designs:
+            union.update(columns)
         self.union = union
         position = {name: i for i, name in enumerate(union)}
         self.weights = sorted({m.weight for m in models if m.weight})
         self.plans = [
             _Plan(
-                tuple(position[name] for name, _ in design),
+                tuple(position[name] for name, _ in columns),
                 self.weights.index(m.weight) if m.weight else None,
                 m.family,
                 m.errors,
+                m.classes,
             )
-            for m, design in zip(models, self.designs)
+            for m, columns in zip(models, self.designs)
         ]
         self.variables = sorted({c for m in models for c in used_columns(m.terms)})
+        self.present: dict[tuple, Column] = {}
         self.rows = df.select(
             *self.variables,
             *[self._outcome(m).alias(f"__y{i}") for i, m in enumerate(models)],
@@ -166,12 +202,19 @@ class _Layout:
         )
 
     def _outcome(self, m: Model) -> Column:
-        usable = F.lit(True) if m.where is None else m.where
         owner = [self.cluster] if self.cluster else []
-        for c in used_columns(m.terms) + ([m.weight] if m.weight else []) + owner:
-            usable = usable & F.col(c).isNotNull()
+        needed = tuple(used_columns(m.terms) + ([m.weight] if m.weight else []) + owner)
+        if needed not in self.present:
+            self.present[needed] = all_present(needed) if needed else F.lit(True)
+        usable = self.present[needed] if m.where is None else self.present[needed] & m.where
         return F.when(usable, m.outcome.cast("double"))
 
+    def names(self, i: int) -> list[str]:
+        names = [n for n, _ in self.designs[i]]
+        if self.models[i].family != "multinomial":
+            return names
+        return [f"{n}|{c}" for c in range(1, self.models[i].classes) for n in names]
+
     def arrays(self, table: DataFrame, *more: str) -> DataFrame:
         return table.select(
             F.array(*self.union.values()).alias("x"),
@@ -221,12 +264,13 @@ def fit_models(
 def _fit(layout: _Layout, engine, max_rounds: int) -> dict[str, Fit]:
     fits: dict[str, Fit] = {}
     betas: dict[int, np.ndarray | None] = {i: None for i in range(len(layout.models))}
+    before: dict[int, np.ndarray | None] = dict(betas)
     active = set(betas)
     stalled = dict.fromkeys(betas, 0)
     for round_no in range(1, max_rounds + 1):
         sums = engine.sums({i: betas[i] for i in active})
         for i in sorted(active):
-            model, names = layout.models[i], [n for n, _ in layout.designs[i]]
+            model, names = layout.models[i], layout.names(i)
             k = len(names)
             if i not in sums or sums[i][k * k + k + 1] == 0:
                 fits[model.name] = _failed(model.name, names, "no rows in the risk set")
@@ -238,8 +282,12 @@ def _fit(layout: _Layout, engine, max_rounds: int) -> dict[str, Fit]:
                 fits[model.name] = _failed(model.name, names, "sums are not finite")
                 active.discard(i)
                 continue
-            beta, inverse, rank = solve(gram, right)
             last = betas[i]
+            known = fits[model.name].loglik if before[i] is not None else -np.inf
+            if loglik < known - 1e-9 * abs(known) and model.family != "gaussian":
+                betas[i] = (last + before[i]) / 2  # the step went too far
+                continue
+            beta, inverse, rank = solve(gram, right)
             done = model.family == "gaussian" and last is not None
             if last is not None and not done:
                 move = beta - last
@@ -252,12 +300,16 @@ def _fit(layout: _Layout, engine, max_rounds: int) -> dict[str, Fit]:
                 [c for c, d in zip(names, np.diag(gram)) if d == 0],
                 None if done else "not converged", layout.levels,
             )
-            betas[i] = beta
+            before[i], betas[i] = last, beta
             if done:
                 active.discard(i)
         if not active:
             break
-    fitted = {i: fits[m.name] for i, m in enumerate(layout.models) if fits[m.name].n}
+    fitted = {
+        i: fits[m.name]
+        for i, m in enumerate(layout.models)
+        if fits[m.name].n and m.errors != "none"
+    }
     for i, (meat, clusters) in engine.meats(fitted).items():
         fit, errors = fitted[i], layout.plans[i].errors
         k = len(fit.names)
@@ -296,7 +348,8 @@ class _CellEngine:
         for i, beta in betas.items():
             x, y, w, n, _ = self.parts[i]
             if len(y):
-                out[i] = step_sums(x, y, w, n, beta, self.layout.plans[i].family)
+                plan = self.layout.plans[i]
+                out[i] = step_sums(x, y, w, n, beta, plan.family, plan.classes)
         return out
 
     def meats(self, fits):
@@ -332,7 +385,8 @@ class _RowEngine:
                         continue
                     n = np.ones(int(inside.sum()))
                     w = n if plans[i].weight is None else weights[plans[i].weight][inside]
-                    part = step_sums(x[inside][:, plans[i].columns], y[inside, i], w, n, beta, plans[i].family)
+                    xm = x[inside][:, plans[i].columns]
+                    part = step_sums(xm, y[inside, i], w, n, beta, plans[i].family, plans[i].classes)
                     total[i] = total[i] + part if i in total else part
             yield _emit(total)
 
@@ -509,6 +563,24 @@ def predicted(
     return df.withColumn(name, F.when(all_present(used_columns(model.terms)), mean))
 
 
+def own_class_probability(df: DataFrame, fit: Fit, model: Model, name: str, bounds: tuple[float, float]) -> DataFrame:
+    """Probability of the class each row has, for a multinomial model (NULL where a variable is missing)."""
+    design = design_columns(model.terms, fit.levels, model.intercept)
+    odds = [F.lit(1.0)]
+    for block in fit.beta.reshape(model.classes - 1, len(design)):
+        eta = F.lit(0.0)
+        for (_, column), b in zip(design, block):
+            if b != 0:
+                eta = eta + F.lit(float(b)) * column
+        odds.append(F.exp(F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))))
+    scored = df.withColumn("__odds", F.array(*odds))
+    total = F.aggregate("__odds", F.lit(0.0), lambda a, v: a + v)
+    share = F.get("__odds", model.outcome.cast("int")) / total
+    held = F.least(F.greatest(share, F.lit(bounds[0])), F.lit(bounds[1]))
+    usable = all_present(used_columns(model.terms)) & model.outcome.isNotNull()
+    return scored.withColumn(name, F.when(usable, held)).drop("__odds")
+
+
 AUDIT = (
     "model string, n bigint, events double, people bigint, rank int, converged boolean, "
     "rounds int, error string"

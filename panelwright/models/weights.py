@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.recode import clip
+from ..functions.recode import all_present, clip
 from ..operators.quantiles import exact_quantiles
 from ..operators.sequences import running_product, winsorised
-from .design import Cat, Term, design_columns, find_levels, is_discrete, used_columns
-from .glm import Fit, Model, fit_models, predicted
+from .design import Cat, Term, find_levels, used_columns
+from .glm import Fit, Model, fit_models, own_class_probability, predicted
 
 
 @dataclass(frozen=True)
@@ -60,51 +58,29 @@ def observation_weights(
     return weighted, WeightReport(fits["denominator"], fits["numerator"], low, middle, high)
 
 
-def class_probability(
-    df: DataFrame, target: str, terms: Sequence[Term], name: str, strength: float = 1e6
+def class_probabilities(
+    df: DataFrame,
+    target: str,
+    designs: Mapping[str, Sequence[Term]],
+    bounds: tuple[float, float] = (0.0, 1.0),
 ) -> DataFrame:
-    """Multinomial-logit probability of the class each row has.
+    """Multinomial-logit probability of the class each row has, one column per design.
 
-    Discrete designs are fitted on weighted covariate cells, so the iterations run on a table
-    that does not grow with the data.
+    The models are fitted together in shared passes; rows with a missing class or variable
+    are left out.
     """
-    terms = tuple(terms)
-    levels = find_levels(df, terms)
     classes = find_levels(df, [Cat(target)])[target]
-    code = _position(target, classes)
-    design = design_columns(terms, levels, intercept=False)
-    rows = df.filter(F.col(target).isNotNull())
-    for c in used_columns(terms):
-        rows = rows.filter(F.col(c).isNotNull())
-    if all(is_discrete(t) for t in terms):
-        training = rows.groupBy(*used_columns(terms), target).agg(
-            F.count(F.lit(1)).cast("double").alias("__n")
-        )
-    else:
-        training = rows.withColumn("__n", F.lit(1.0))
-    features = array_to_vector(F.array(*[c for _, c in design]))
-    total = rows.count()
-    learner = LogisticRegression(
-        family="multinomial",
-        featuresCol="__x",
-        labelCol="__code",
-        weightCol="__n",
-        regParam=1 / (strength * total),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=500,
-        tol=1e-12,
-    )
-    model = learner.fit(training.select(features.alias("__x"), code.alias("__code"), "__n"))
-    scored = model.setProbabilityCol("__p").transform(
-        rows.withColumn("__x", features).withColumn("__code", code)
-    )
-    own = vector_to_array(F.col("__p"))[F.col("__code").cast("int")]
-    return scored.withColumn(name, own).select(*df.columns, name)
-
-
-def _position(column: str, values: Sequence) -> Column:
-    return (F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)) - 1).cast("double")
+    code = F.array_position(F.array(*[F.lit(v) for v in classes]), F.col(target)) - 1
+    models = [
+        Model(name, code, tuple(terms), family="multinomial", errors="none", classes=len(classes))
+        for name, terms in designs.items()
+    ]
+    needed = {target} | {c for m in models for c in used_columns(m.terms)}
+    rows = df.filter(all_present(sorted(needed)))
+    fits = fit_models(rows, models)
+    for m in models:
+        rows = own_class_probability(rows, fits[m.name], m, m.name, bounds)
+    return rows
 
 
 def marginal_structural_weights(
@@ -119,11 +95,8 @@ def marginal_structural_weights(
     keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, tuple[float, float]]:
     """Stabilised weights for the exposures up to each row, held within their quantiles."""
-    scored = class_probability(df, target, numerator, "p_numerator")
-    scored = class_probability(scored, target, denominator, "p_denominator")
-    scored = scored.withColumn("p_numerator", clip("p_numerator", *bounds)).withColumn(
-        "p_denominator", clip("p_denominator", *bounds)
-    )
+    designs = {"p_numerator": numerator, "p_denominator": denominator}
+    scored = class_probabilities(df, target, designs, bounds)
     scored = scored.withColumn("sw_part", F.col("p_numerator") / F.col("p_denominator"))
     running = running_product(scored, key, wave, "sw_part", "sw_raw")
     if keep:

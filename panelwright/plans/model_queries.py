@@ -381,7 +381,7 @@ def banded(spark, sf):
         .agg((F.sum("q") / F.sum("lines")).alias("quantity"))
     )
     joined = joins.checked_join(weighted(spark, sf), waves, ["id", "wave"])
-    return joined.withColumn("band", R.banded("quantity", 22, 28))
+    return stored(joined.withColumn("band", R.banded("quantity", 22, 28)), "banded")
 
 
 def sql_two_factor(model: str) -> str:
@@ -600,18 +600,12 @@ SQL_LAGGED = f"""{SQL_LAG}, x AS (SELECT * FROM lagged WHERE lag_state IS NOT NU
     p AS (SELECT id, wave, least(greatest(count(*) OVER (PARTITION BY lag_state, state) * 1.0 / count(*) OVER (PARTITION BY lag_state), 0.01), 0.99) AS p_num,
       least(greatest(count(*) OVER (PARTITION BY lag_state, functional_state, state) * 1.0 / count(*) OVER (PARTITION BY lag_state, functional_state), 0.01), 0.99) AS p_den FROM x),
     q AS (SELECT *, product(p_num / p_den) OVER (PARTITION BY id ORDER BY wave ROWS UNBOUNDED PRECEDING) AS raw FROM p)
-    SELECT id, wave, round(p_num, 3) AS p_numerator, round(p_den, 3) AS p_denominator, round(raw, 2) AS sw_raw,
-      round(least(greatest(raw, (SELECT quantile_cont(raw, 0.01) FROM q)), (SELECT quantile_cont(raw, 0.99) FROM q)), 2) AS sw FROM q""",
+    SELECT id, wave, round(p_num, 6) AS p_numerator, round(p_den, 6) AS p_denominator, round(raw, 6) AS sw_raw,
+      round(least(greatest(raw, (SELECT quantile_cont(raw, 0.01) FROM q)), (SELECT quantile_cont(raw, 0.99) FROM q)), 6) AS sw FROM q""",
 )
 def msm_weights(spark, sf):
     rows, _ = msm_rows(spark, sf)
-    picked = rows.select("id", "wave", "p_numerator", "p_denominator", "sw_raw", "sw")
-    return picked.select(
-        "id",
-        "wave",
-        *[F.round(c, 3).alias(c) for c in ("p_numerator", "p_denominator")],
-        *[F.round(c, 2).alias(c) for c in ("sw_raw", "sw")],
-    )
+    return rounded(rows.select("id", "wave", "p_numerator", "p_denominator", "sw_raw", "sw"))
 
 
 def msm_rows(spark, sf):

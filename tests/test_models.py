@@ -4,14 +4,16 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from panelwright.models import effects, glm, impute, markov, mixture
 from panelwright.models.design import Cat, Num, crossed, design_columns
 from panelwright.models.glm import Model, fit_models, model_audit
-from panelwright.models.weights import class_probability, observation_weights
+from panelwright.models.weights import class_probabilities, observation_weights
 
 
 def frame(spark, n=600, seed=1):
@@ -178,11 +180,20 @@ def test_observation_weights_are_bounded_and_stable(spark):
 
 def test_saturated_classes_are_cell_shares(spark):
     df = frame(spark, 400).withColumn("half", (F.col("x") > 0).cast("int"))
-    scored = class_probability(df, "g", [Cat("half")], "p")
+    scored = class_probabilities(df, "g", {"p": [Cat("half")]})
     share = df.groupBy("half", "g").count()
     total = df.groupBy("half").agg(F.count("*").alias("all"))
     joined = scored.join(share, ["half", "g"]).join(total, "half")
-    assert joined.filter(F.abs(F.col("p") - F.col("count") / F.col("all")) > 1e-3).count() == 0
+    assert joined.filter(F.abs(F.col("p") - F.col("count") / F.col("all")) > 1e-9).count() == 0
+
+
+def test_continuous_classes_agree_with_spark(spark):
+    df = frame(spark)
+    scored = class_probabilities(df, "g", {"p": [Num("x"), Num("w")]})
+    ready = VectorAssembler(inputCols=["x", "w"], outputCol="f").transform(scored)
+    learner = LogisticRegression(family="multinomial", featuresCol="f", labelCol="g", tol=1e-10, maxIter=300)
+    theirs = learner.fit(ready).transform(ready).withColumn("q", vector_to_array("probability")[F.col("g")])
+    assert theirs.filter(F.abs(F.col("p") - F.col("q")) > 1e-4).count() == 0
 
 
 def test_keyed_normals():
