@@ -156,29 +156,35 @@ def scenario_sums(
     """Weighted mean risk and its gradient with everyone set to each level.
 
     One aggregation for all models: each row counts once per level and the sums of every
-    model are taken over its own risk set.
+    model are taken over its own risk set. Means are computed once per row and level before
+    the sums refer to them.
     """
-    sums = []
+    parts, sums, union = [], [], {}
     for i, m in enumerate(models):
         fit = fits[m.name]
         design = design_columns(m.terms, fit.levels, m.intercept)
         eta = F.lit(0.0)
-        for (_, column), b in zip(design, fit.beta):
-            eta = eta + F.lit(float(b)) * column
+        for (name, column), b in zip(design, fit.beta):
+            union.setdefault(name, column)
+            if b != 0:
+                eta = eta + F.lit(float(b)) * column
         mean = F.exp(eta) if m.family == "poisson" else F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
         inside = F.lit(True) if m.where is None else holds(m.where)
         for c in {c for t in m.terms for c in t.columns if c != exposure}:
             inside = inside & F.col(c).isNotNull()
         w = F.col(m.weight).cast("double") if m.weight else F.lit(1.0)
-        slope = mean if m.family == "poisson" else mean * (F.lit(1.0) - mean)
-        sums.append(F.sum(F.when(inside, w)).alias(f"w_{i}"))
-        sums.append(F.sum(F.when(inside, w * mean)).alias(f"m_{i}"))
+        parts += [F.when(inside, w).alias(f"w_{i}"), F.when(inside, mean).alias(f"m_{i}")]
+        weighted = F.col(f"w_{i}") * F.col(f"m_{i}")
+        slope = weighted if m.family == "poisson" else weighted * (1 - F.col(f"m_{i}"))
+        sums += [F.sum(f"w_{i}").alias(f"w_{i}"), F.sum(weighted).alias(f"m_{i}")]
+        places = list(union)
         sums += [
-            F.sum(F.when(inside, w * slope * column)).alias(f"g_{i}_{j}")
-            for j, (_, column) in enumerate(design)
+            F.sum(slope * F.col(f"x_{places.index(name)}")).alias(f"g_{i}_{j}")
+            for j, (name, _) in enumerate(design)
         ]
-    known = df.filter(F.col(exposure).isNotNull())
-    grouped = set_to_each_level(known, exposure, levels).groupBy(exposure).agg(*sums)
+    known = set_to_each_level(df.filter(F.col(exposure).isNotNull()), exposure, levels)
+    rows = known.select(exposure, *parts, *[c.alias(f"x_{j}") for j, c in enumerate(union.values())])
+    grouped = rows.groupBy(exposure).agg(*sums)
     out = {}
     for row in grouped.collect():
         for i, m in enumerate(models):

@@ -203,17 +203,19 @@ def hash_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def person_index(people: DataFrame, group: str, key: str) -> tuple[DataFrame, dict]:
+def person_index(
+    people: DataFrame, group: str, key: str, digits: int = 3
+) -> tuple[DataFrame, dict]:
     """Number people 0..N-1 within each group, and N.
 
-    People are put into 4096 buckets by a hash of the key; positions are counted within a
-    bucket and shifted by the sizes of the buckets before it. The numbering is a function of
-    the keys, so a re-computed task gives the same one, and no task orders everybody.
+    People are put into 16**digits buckets by a hash of the key; positions are counted within
+    a bucket and shifted by the sizes of the buckets before it. The numbering is a function
+    of the keys, so a re-computed task gives the same one, and no task orders everybody.
     """
-    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 3), 16, 10).cast("int")
+    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, digits), 16, 10).cast("int")
     bucketed = people.withColumn("__bucket", bucket)
     sizes = collect_bounded(
-        bucketed.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("n")), 4096 * 1000, "person buckets"
+        bucketed.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("n")), 1_000_000, "person buckets"
     )
     totals: dict = {}
     shifts = []
@@ -221,7 +223,7 @@ def person_index(people: DataFrame, group: str, key: str) -> tuple[DataFrame, di
         shifts.append((r[group], r["__bucket"], totals.get(r[group], 0)))
         totals[r[group]] = totals.get(r[group], 0) + r["n"]
     schema = StructType([*bucketed.select(group, "__bucket").schema.fields, StructField("__shift", LongType())])
-    table = people.sparkSession.createDataFrame(shifts, schema)  # at most groups x 4096 rows
+    table = people.sparkSession.createDataFrame(shifts, schema)  # one row per bucket, counted above
     place = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(key)) - 1
     numbered = bucketed.withColumn("__place", place).join(F.broadcast(table), [group, "__bucket"])
     indexed = numbered.withColumn("person_no", F.col("__place") + F.col("__shift"))

@@ -35,7 +35,7 @@ def origin_destination(
     """One row per eligible origin with its destination, which is NULL when censored.
 
     ``dead`` and ``known_alive`` say what is known at the next wave; they may use
-    ``__has_next`` and the columns of ``carry``.
+    ``__has_next``, ``__is_last`` and the columns of ``carry``.
     """
     paired = add_next_wave(panel, key, wave, {"__living": F.col(state), **(carry or {})})
     alive = F.col("__has_next") if known_alive is None else known_alive
@@ -45,7 +45,7 @@ def origin_destination(
     out = out.withColumn("outcome_observed", F.col("destination_state").isNotNull().cast("int"))
     if eligible is not None:
         out = out.filter(holds(eligible))
-    return out.drop("__living", "__has_next", *(carry or {}))
+    return out.drop("__living", "__has_next", "__is_last", *(carry or {}))
 
 
 def mortality_intervals(

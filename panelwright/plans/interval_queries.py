@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import recode as R
@@ -169,7 +168,10 @@ def exposure_history(spark, sf):
 
 
 def interval_history(spark, sf):
-    return joins.checked_join(S.observed(spark, sf), history(spark, sf), ["id", "wave"])
+    """Observed intervals with the exposure history at their origin, from one window."""
+    return S.observed(
+        spark, sf, extend=lambda p: Q.with_exposure_history(p, "id", "wave", "state", [2, 3, 4])
+    )
 
 
 GROUPS = [Q.HISTORY_GROUPS[k] for k in ("single_never", "single_after", "first", "repeated")]
@@ -245,9 +247,9 @@ def onset_order_landmark(spark, sf):
     FROM x GROUP BY 1""",
 )
 def onset_order_followup(spark, sf):
-    rows = joins.from_landmark_on(
-        onset(spark, sf), S.observed(spark, sf), "id", "wave", "first_both_wave"
-    ).filter("functional_state = 1")
+    rows = S.observed(
+        spark, sf, extend=lambda p: Q.with_onset_order(p, "id", "wave", "a", "b", ORDER_LABELS)
+    ).filter("sequence is not null and wave >= first_both_wave and functional_state = 1")
     counted = rows.groupBy("sequence").agg(
         F.countDistinct("id").alias("people"),
         F.count(F.lit(1)).alias("intervals"),
@@ -263,6 +265,28 @@ def onset_order_followup(spark, sf):
     )
 
 
+@query(
+    "intervals_from_landmark",
+    f"""WITH {S.SQL_INTERVALS}, {SQL_ONSET} SELECT o.id, o.wave, s.first_both_wave, s.sequence FROM obs o JOIN onset s ON s.id = o.id AND o.wave >= s.first_both_wave""",
+)
+def intervals_from_landmark(spark, sf):
+    """The same follow-up when the onsets come as a table of their own."""
+    rows = joins.from_landmark_on(
+        onset(spark, sf), S.observed(spark, sf), "id", "wave", "first_both_wave"
+    )
+    return rows.select("id", "wave", "first_both_wave", "sequence")
+
+
+@query(
+    "interval_history_join",
+    f"""WITH {S.SQL_INTERVALS}, {SQL_HISTORY} SELECT o.id, o.wave, h.complete_history, h.both_count, h.history_group FROM obs o LEFT JOIN history h ON h.id = o.id AND h.wave = o.wave""",
+)
+def interval_history_join(spark, sf):
+    """Histories held as a table of their own, joined many to one."""
+    joined = joins.checked_join(S.observed(spark, sf), history(spark, sf), ["id", "wave"])
+    return joined.select("id", "wave", "complete_history", "both_count", "history_group")
+
+
 @query(
     "crude_event_rates",
     f"""WITH {S.SQL_INTERVALS}

@@ -8,7 +8,9 @@ missing only the next year is censored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.recode import (
@@ -80,19 +82,23 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def intervals(spark: SparkSession, sf_dir: str, threshold: int = 1) -> DataFrame:
-    waves = panel(spark, sf_dir, threshold).withColumn(
-        "last_wave", F.max("wave").over(Window.partitionBy("id"))
-    )
+def intervals(
+    spark: SparkSession,
+    sf_dir: str,
+    threshold: int = 1,
+    extend: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Origins up to the last modelled wave; ``extend`` may add panel columns in the same windows."""
+    waves = panel(spark, sf_dir, threshold)
     paired = origin_destination(
-        waves,
+        extend(waves) if extend else waves,
         "id",
         "wave",
         "functional_state",
-        dead=F.col("last_wave") == F.col("wave"),
+        dead=F.col("__is_last"),
         eligible=F.col("wave") <= LAST_ORIGIN,
     )
-    return paired.drop("last_wave").select(
+    return paired.select(
         "*",
         interval_label(F.col("wave") + FIRST_YEAR, F.col("wave") + FIRST_YEAR + 1).alias("interval"),
         F.when(F.col("wave") % 2 == 0, 2).otherwise(1).alias("interval_years"),
@@ -103,8 +109,10 @@ def with_people(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(people(spark, sf_dir), "id", "left")
 
 
-def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals(spark, sf_dir).filter("outcome_observed = 1")
+def observed(
+    spark: SparkSession, sf_dir: str, extend: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    return intervals(spark, sf_dir, extend=extend).filter("outcome_observed = 1")
 
 
 def labelled(df: DataFrame) -> DataFrame:
