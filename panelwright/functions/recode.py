@@ -152,6 +152,10 @@ def banded(c: ColumnLike, low: float, high: float) -> Column:
     return F.when(c < low, 0).when(c <= high, 1).when(c > high, 2).otherwise(3)
 
 
+def centred(c: ColumnLike, at: float) -> Column:
+    return as_col(c) - at
+
+
 def as_category(c: ColumnLike, missing: int = -1) -> Column:
     """Category text of a code, with its own level for a missing one."""
     return F.coalesce(as_col(c).cast("string"), F.lit(str(missing)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CARDINALITIES = ("many_to_one", "one_to_one", "one_to_many")
+MAX_HOT_KEYS = 10_000
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], side: str = "table") -> DataFrame:
@@ -29,29 +30,54 @@ def assert_unique(df: DataFrame, keys: Sequence[str], side: str = "table") -> Da
 
 
 def checked_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", validate: str = "many_to_one"
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    validate: str = "many_to_one",
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """A join that fails when a side declared unique has a repeated key."""
+    """A join that fails when a side declared unique has a repeated key.
+
+    Left keys with more than ``hot_rows`` rows are joined apart, without being shuffled; give
+    it where the left side is raw data whose keys may be very uneven.
+    """
     if validate not in CARDINALITIES:
         raise ValueError(f"validate must be one of {CARDINALITIES}")
     if validate in ("many_to_one", "one_to_one"):
         right = assert_unique(right, on, "right side")
     if validate in ("one_to_many", "one_to_one"):
         left = assert_unique(left, on, "left side")
+    if hot_rows is not None and validate == "many_to_one" and how in ("left", "inner"):
+        return _join_hot_apart(left, right, list(on), how, hot_rows)
     return left.join(right, list(on), how)
 
 
+def _join_hot_apart(
+    left: DataFrame, right: DataFrame, on: list[str], how: str, hot_rows: int
+) -> DataFrame:
+    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    # the most frequent keys, at most MAX_HOT_KEYS: their rows of the unique side fit a broadcast
+    hottest = counted.orderBy(F.desc("__n")).limit(MAX_HOT_KEYS).select(*on).collect()
+    if not hottest:
+        return left.join(right, on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(hottest, left.select(*on).schema))
+    matched = F.broadcast(right.join(hot, on, "left_semi"))
+    apart = left.join(hot, on, "left_semi").join(matched, on, how)
+    return apart.unionByName(left.join(hot, on, "left_anti").join(right, on, how))
+
+
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, name: str | None = None) -> DataFrame:
     """One column of another table by key."""
     return df.join(table.select(key, F.col(value).alias(name or value)), key, "left")
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(ids.select(key), key, "left_semi")
+    return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(ids.select(key), key, "left_anti")
+    return df.join(ids.select(key).distinct(), key, "left_anti")
 
 
 def crosswalk_join(

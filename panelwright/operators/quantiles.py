@@ -22,7 +22,8 @@ from ..bounded import collect_bounded
 SMALL_GROUP = 1_000_000
 MAX_GROUPS = 10_000
 BINS = 1024
-ENUMERATE = 10_000
+ENUMERATE = 2_000
+SPANS_PER_JOB = 100
 
 
 def exact_quantiles(
@@ -47,23 +48,23 @@ def exact_quantiles(
     groups = {tuple(r[c] for c in by): (r["n"], r["lo"], r["hi"]) for r in sizes if r["n"]}
     if not groups:
         return {} if by else {(): [None] * len(probs)}
-    if max(n for n, _, _ in groups.values()) <= small_group:
-        picked = values.groupBy(*by).agg(
+    big = {g: v for g, v in groups.items() if v[0] > small_group}
+    out: dict[tuple, list] = {}
+    if len(big) < len(groups):
+        rest = values if not big else _without(values, by, list(big))
+        picked = rest.groupBy(*by).agg(
             *[F.percentile("__v", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probs)]
         )
-        return {
-            tuple(r[c] for c in by): [r[f"q{i}"] for i in range(len(probs))]
-            for r in picked.collect()
-        }
+        for r in picked.collect():
+            out[tuple(r[c] for c in by)] = [r[f"q{i}"] for i in range(len(probs))]
     wanted = {
         (group, rank)
-        for group, (n, _, _) in groups.items()
+        for group, (n, _, _) in big.items()
         for p in probs
         for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
     }
-    found = _order_statistics(values, by, groups, wanted)
-    out = {}
-    for group, (n, _, _) in groups.items():
+    found = _order_statistics(values, by, big, wanted)
+    for group, (n, _, _) in big.items():
         out[group] = []
         for p in probs:
             h = p * (n - 1)
@@ -72,6 +73,14 @@ def exact_quantiles(
     return out
 
 
+def _without(values, by, groups):
+    table = F.broadcast(values.sparkSession.createDataFrame(groups, values.select(*by).schema))
+    same = F.lit(True)
+    for c in by:
+        same = same & values[c].eqNullSafe(table[c])
+    return values.join(table, same, "left_anti")
+
+
 def _order_statistics(values, by, groups, wanted) -> dict[tuple, float]:
     # search state per target: bounds that hold the rank, and its rank within them
     active = {(g, r): (groups[g][1], groups[g][2], r, groups[g][0]) for g, r in wanted}
@@ -86,7 +95,10 @@ def _order_statistics(values, by, groups, wanted) -> dict[tuple, float]:
             spans.setdefault((target[0], low, high, n), []).append((target, rank))
         if not spans:
             break
-        listed = _count_within(values, by, list(spans))
+        queue = list(spans)
+        listed = {}
+        for at in range(0, len(queue), SPANS_PER_JOB):
+            listed.update(_count_within(values, by, queue[at : at + SPANS_PER_JOB]))
         for span, members in spans.items():
             cells = listed[span]
             for target, rank in members:
@@ -100,25 +112,33 @@ def _order_statistics(values, by, groups, wanted) -> dict[tuple, float]:
 
 def _count_within(values, by, spans) -> dict[tuple, list[tuple[float, float, int]]]:
     """Rows of each span by bin (by value once few are left), as (min, max, count) in order."""
-    spark = values.sparkSession
-    extra = [("__s", IntegerType()), ("__lo", DoubleType()), ("__hi", DoubleType()), ("__each", BooleanType())]
-    schema = StructType([*values.select(*by).schema.fields, *[StructField(n, t) for n, t in extra]])
-    table = spark.createDataFrame(
-        [(*g, i, lo, hi, n <= ENUMERATE) for i, (g, lo, hi, n) in enumerate(spans)], schema
-    )
-    table = F.broadcast(table)  # at most groups x ranks rows, from the bounded group list
     inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
-    for c in by:
-        inside = inside & values[c].eqNullSafe(table[c])
+    if by:
+        extra = [("__s", IntegerType()), ("__lo", DoubleType()), ("__hi", DoubleType()), ("__each", BooleanType())]
+        schema = StructType([*values.select(*by).schema.fields, *[StructField(n, t) for n, t in extra]])
+        table = values.sparkSession.createDataFrame(
+            [(*g, i, lo, hi, n <= ENUMERATE) for i, (g, lo, hi, n) in enumerate(spans)], schema
+        )
+        table = F.broadcast(table)  # at most groups x ranks rows, from the bounded group list
+        for c in by:
+            inside = inside & values[c].eqNullSafe(table[c])
+        spread = values.join(table, inside)
+    else:
+        entries = [
+            F.struct(
+                F.lit(i).alias("__s"), F.lit(lo).alias("__lo"), F.lit(hi).alias("__hi"), F.lit(n <= ENUMERATE).alias("__each")
+            )
+            for i, (_, lo, hi, n) in enumerate(spans)
+        ]
+        spread = values.select("__v", F.explode(F.array(*entries)).alias("e")).select("__v", "e.*")
+        spread = spread.filter(inside)
     width = (F.col("__hi") / BINS) - (F.col("__lo") / BINS)
     position = F.when(
         width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("__v") - F.col("__lo")) / width))
     ).otherwise(F.lit(0))
     cell = F.when(F.col("__each") | (width <= 0), F.col("__v")).otherwise(position.cast("double"))
-    counted = (
-        values.join(table, inside)
-        .groupBy("__s", cell.alias("__cell"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    counted = spread.groupBy("__s", cell.alias("__cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")
     )
     rows = collect_bounded(counted, len(spans) * max(BINS, ENUMERATE), "quantile bins")
     out: dict[tuple, list] = {span: [] for span in spans}

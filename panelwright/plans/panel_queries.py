@@ -215,7 +215,7 @@ def checked_lookup_join(spark, sf):
     customer = S.table(spark, sf, "customer", "c_custkey", "c_mktsegment", "c_nationkey")
     nation = S.table(spark, sf, "nation", "n_nationkey", "n_name")
     customer = customer.toDF("o_custkey", "segment", "n_nationkey")
-    joined = joins.checked_join(orders, customer, ["o_custkey"])
+    joined = joins.checked_join(orders, customer, ["o_custkey"], hot_rows=1_000_000)
     return joins.lookup(joined, nation, "n_nationkey", "n_name", "nation").select(
         "o_orderkey", "segment", "nation"
     )

@@ -37,8 +37,13 @@ def write_table(
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path beside the cluster's checkpoints; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", "")
+    """A new path in the shared folder of ``spark.checkpoint.dir``.
+
+    A session on one machine may do without the setting and gets a local folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="panelwright-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 

@@ -88,6 +88,18 @@ def test_checked_join_rejects_repeated_keys(spark):
         joins.checked_join(left, right, ["k"], validate="any")
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_hot_keys_joined_apart_give_the_same_rows(spark, how):
+    left = spark.range(1000).select(F.when(F.col("id") < 600, 7).otherwise(F.col("id") % 50).alias("k"), "id")
+    left = left.unionByName(spark.createDataFrame([(None, 5000)], "k bigint, id bigint"))
+    right = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    plain = joins.checked_join(left, right, ["k"], how)
+    apart = joins.checked_join(left, right, ["k"], how, hot_rows=100)
+    assert rows_of(apart.select("id", "k", "v"), "id") == rows_of(plain.select("id", "k", "v"), "id")
+    with pytest.raises(Exception, match="not unique"):
+        joins.checked_join(left, right.unionByName(right), ["k"], how, hot_rows=100).collect()
+
+
 def test_pivot_rejects_repeated_keys(spark):
     long = spark.createDataFrame([(1, 2011, 3.0), (1, 2011, 4.0)], "id int, year int, v double")
     with pytest.raises(Exception, match="not unique"):
@@ -137,9 +149,12 @@ def test_searched_quantiles_are_exact(spark, shape):
     group = np.arange(len(values)) % 3 // 2
     rows = spark.createDataFrame(list(zip(map(int, group), map(float, values))), "g int, v double")
     probs = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
-    found = exact_quantiles(rows, "v", probs, by=["g"], small_group=0)
-    for g in (0, 1):
-        assert np.allclose(found[(g,)], np.quantile(values[group == g], probs), rtol=1e-12, atol=0)
+    for bound in (0, 12_000):  # every group searched; the smaller one by percentile
+        found = exact_quantiles(rows, "v", probs, by=["g"], small_group=bound)
+        for g in (0, 1):
+            assert np.allclose(found[(g,)], np.quantile(values[group == g], probs), rtol=1e-12, atol=0)
+    whole = exact_quantiles(rows, "v", probs, small_group=0)[()]
+    assert np.allclose(whole, np.quantile(values, probs), rtol=1e-12, atol=0)
 
 
 def test_standardising(spark):
