@@ -19,7 +19,7 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField,
 
 from ..bounded import collect_bounded
 
-SMALL_GROUP = 1_000_000
+SMALL_GROUP = 200_000
 MAX_GROUPS = 10_000
 BINS = 1024
 ENUMERATE = 2_000
