@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
@@ -21,9 +22,9 @@ from ..bounded import collect_bounded
 
 SMALL_GROUP = 200_000
 MAX_GROUPS = 10_000
-BINS = 1024
-ENUMERATE = 2_000
-SPANS_PER_JOB = 100
+BINS = 4096
+ENUMERATE = 16_000
+SPANS_PER_JOB = 25
 
 
 def exact_quantiles(
@@ -63,7 +64,11 @@ def exact_quantiles(
         for p in probs
         for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
     }
-    found = _order_statistics(values, by, big, wanted)
+    values = values.persist(StorageLevel.MEMORY_AND_DISK)  # the rounds re-read only this column
+    try:
+        found = _order_statistics(values, by, big, wanted)
+    finally:
+        values.unpersist()
     for group, (n, _, _) in big.items():
         out[group] = []
         for p in probs:
@@ -130,8 +135,11 @@ def _count_within(values, by, spans) -> dict[tuple, list[tuple[float, float, int
             )
             for i, (_, lo, hi, n) in enumerate(spans)
         ]
-        spread = values.select("__v", F.explode(F.array(*entries)).alias("e")).select("__v", "e.*")
-        spread = spread.filter(inside)
+        some = F.lit(False)
+        for _, lo, hi, _ in spans:
+            some = some | F.col("__v").between(lo, hi)
+        spread = values.filter(some).select("__v", F.explode(F.array(*entries)).alias("e"))
+        spread = spread.select("__v", "e.*").filter(inside)
     width = (F.col("__hi") / BINS) - (F.col("__lo") / BINS)
     position = F.when(
         width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("__v") - F.col("__lo")) / width))

@@ -8,6 +8,7 @@ from ..functions import recode as R
 from ..operators import intervals as I
 from ..operators import joins, reshape, summaries
 from ..operators import sequences as Q
+from ..sources.tables import stored
 from . import standin as S
 from .panel_queries import SQL_LAG, lagged_intervals
 from .registry import query, rounded
@@ -407,7 +408,8 @@ SQL_RATIO = """x AS (SELECT id, wave, state, outcome_observed, spend / (SELECT a
 
 def price_ratio(spark, sf):
     mean = S.table(spark, sf, "orders", "o_totalprice").agg(F.avg("o_totalprice")).first()[0]
-    return S.intervals(spark, sf).withColumn("ratio", F.col("spend") / F.lit(mean))
+    rows = S.intervals(spark, sf).withColumn("ratio", F.col("spend") / F.lit(mean))
+    return stored(rows.select("id", "wave", "outcome_observed", "ratio"), "ratio")
 
 
 @query(
