@@ -69,7 +69,7 @@ def matrix(intervals):
 
 @query("transition_matrix", f"WITH {S.SQL_INTERVALS}" + SQL_MATRIX.format("iv"))
 def transition_matrix(spark, sf):
-    return matrix(S.intervals(spark, sf))
+    return matrix(S.intervals(spark, sf, build=S.status_panel))
 
 
 @query(
@@ -77,7 +77,7 @@ def transition_matrix(spark, sf):
     f"WITH {S.SQL_STRICT}, {S.sql_intervals('strict', 'siv')}" + SQL_MATRIX.format("siv"),
 )
 def strict_transition_matrix(spark, sf):
-    return matrix(S.intervals(spark, sf, threshold=2))
+    return matrix(S.intervals(spark, sf, threshold=2, build=S.status_panel))
 
 
 @query(
@@ -329,7 +329,7 @@ def missingness_report(spark, sf):
 )
 def qa_checks(spark, sf):
     return summaries.quality_checks(
-        S.intervals(spark, sf),
+        S.intervals(spark, sf, build=S.status_panel),
         ["id", "wave"],
         "id",
         {

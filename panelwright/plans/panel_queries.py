@@ -67,7 +67,7 @@ def panel_wide_to_long(spark, sf):
     f"WITH {S.SQL_STRICT} SELECT id, wave, n_f, n_p, functional_state FROM strict",
 )
 def strict_panel(spark, sf):
-    return S.panel(spark, sf, threshold=2).select("id", "wave", "n_f", "n_p", "functional_state")
+    return S.status_panel(spark, sf, threshold=2).select("id", "wave", "n_f", "n_p", "functional_state")
 
 
 @query(
@@ -384,7 +384,7 @@ def delimited_round_trip(spark, sf):
       'deaths': CAST(sum(known_dead) AS BIGINT), 'censored': CAST(sum(1 - outcome_observed) AS BIGINT)}})::VARCHAR AS document FROM iv""",
 )
 def build_audit(spark, sf):
-    checks = S.intervals(spark, sf).agg(
+    checks = S.intervals(spark, sf, build=S.status_panel).agg(
         F.count(F.lit(1)).alias("intervals"),
         F.countDistinct("id").alias("people"),
         F.sum("known_dead").alias("deaths"),

@@ -41,6 +41,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return read_table(spark, f"{sf_dir}/{name}.parquet", list(columns) or None)
 
 
+def status_panel(spark: SparkSession, sf_dir: str, threshold: int = 1) -> DataFrame:
+    """The panel with the order-status level alone, which needs no price quantile."""
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderdate", "o_orderstatus")
+    waves = orders.groupBy(
+        F.col("o_custkey").alias("id"), (F.year("o_orderdate") - FIRST_YEAR).alias("wave")
+    ).agg(
+        F.count(F.lit(1)).alias("n_orders"),
+        F.sum(flag(F.col("o_orderstatus") == "F")).alias("n_f"),
+        F.sum(flag(F.col("o_orderstatus") == "P")).alias("n_p"),
+    )
+    level = ordered_level("n_f", "n_p", F.lit(True), threshold)
+    return waves.withColumn("functional_state", level)
+
+
 def panel(spark: SparkSession, sf_dir: str, threshold: int = 1) -> DataFrame:
     orders = table(
         spark, sf_dir, "orders", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority"
@@ -87,9 +101,10 @@ def intervals(
     sf_dir: str,
     threshold: int = 1,
     extend: Callable[[DataFrame], DataFrame] | None = None,
+    build: Callable[..., DataFrame] = panel,
 ) -> DataFrame:
     """Origins up to the last modelled wave; ``extend`` may add panel columns in the same windows."""
-    waves = panel(spark, sf_dir, threshold)
+    waves = build(spark, sf_dir, threshold)
     paired = origin_destination(
         extend(waves) if extend else waves,
         "id",
