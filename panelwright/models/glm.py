@@ -249,12 +249,16 @@ def fit_models(
 ) -> dict[str, Fit]:
     """Fit every model; a model that cannot be fitted carries its error instead of raising."""
     layout = _Layout(df, models, cluster)
-    layout.rows = layout.rows.persist(StorageLevel.MEMORY_AND_DISK)
+    again = not layout.discrete or any(m.errors == "cluster" for m in models)
+    if again:  # cells without clustered errors need a single pass
+        layout.rows = layout.rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         blocks = layout.cells(max_cells) if layout.discrete else None
         if blocks is not None:
             engine = _CellEngine(layout, blocks)
         else:
+            if not again:
+                layout.rows = layout.rows.persist(StorageLevel.MEMORY_AND_DISK)
             engine = _RowEngine(layout)
         return _fit(layout, engine, max_rounds)
     finally:
