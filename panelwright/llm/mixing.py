@@ -90,7 +90,6 @@ def permuted(n: np.ndarray, index: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@F.pandas_udf("long")
 def _block_of(full: pd.Series, index: pd.Series, key: pd.Series) -> pd.Series:
     # the source's last block, which may be short, keeps the last place
     last = (index == full).to_numpy()
@@ -175,7 +174,7 @@ def mix(
             "slot",
             "source_id",
             "epoch",
-            _block_of(F.col("blocks") - 1, "index", F.xxhash64(F.lit(seed), "source_id", "epoch")).alias("block"),
+            F.pandas_udf(_block_of, "long")(F.col("blocks") - 1, "index", F.xxhash64(F.lit(seed), "source_id", "epoch")).alias("block"),
             F.when(
                 F.col("epoch") == F.col("rounds"), F.least(F.lit(block), F.col("rest") - F.col("index") * block)
             ).otherwise(F.lit(block)).alias("taken"),

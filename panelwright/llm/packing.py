@@ -6,6 +6,7 @@ priced by knapsack dynamic programming; rounded patterns are assigned to ranked
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -14,53 +15,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import running_totals, stored
+from .common import WORD, running_totals, stored
 from .cutting_stock import patterns_for
 
 
-class _WordIds(dict):
-    """Token ids of a word as little-endian 32-bit numbers, kept for words met again.
+class _TextIds(dict):
+    """Token ids of texts as little-endian 32-bit numbers; parts met again are remembered.
 
-    White space never joins words of this tokenizer, so a text's ids are those of its words
-    in turn. Words of letters and ASCII punctuation are taken apart first: their lower-case
-    runs of letters are shared by far more words.
+    In a text of Latin letters, digits and common punctuation, lower-casing and normalisation
+    treat each character alone, so the parts that the tokenizer forms are found by one
+    expression, and the tokenizer's model sees each different part once. Any other text goes
+    through the tokenizer word by word: none of its parts crosses ASCII white space.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
-        import regex
-        from tokenizers import Tokenizer
+    #: The tokenizer's own part rule, written for the characters of ``plain``.
+    plain = re.compile(r"[\x09-\x0D\x20-\x7E¡¿«»À-ÖØ-öø-ÿ]*")
+    parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0D\x20a-z0-9ß-öø-ÿ]+")
 
-        self.tokenizer, self.limit, self.runs = Tokenizer.from_file(path), limit, {}
-        # words that lower-casing, normalisation and the pre-tokenizer treat letter by letter
-        self.plain = regex.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ!#-&(-;=>?@\[-`{}~\"\\]+")
-        self.parts = regex.compile(r"[^\W\d_]+|[0-9]|[^A-Za-z0-9À-ÿ]+|[×÷]")
+    def __init__(self, path: str, limit: int = 500_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        self.tokenizer, self.limit, self.words = Tokenizer.from_file(path), limit, {}
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def run(self, part: str) -> bytes:
-        found = self.runs.get(part)
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        mapped = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
+        found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
+        if len(part) < 64:
+            self[part] = found
+        return found
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
         if found is None:
-            if len(self.runs) >= self.limit:
-                self.runs.clear()
-            found = self.runs[part] = self.encode(part)
+            if len(self.words) >= self.limit // 5:
+                self.words.clear()
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            found = b"".join([i.to_bytes(4, "little") for i in ids])
+            if len(word) < 64:
+                self.words[word] = found
         return found
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        if len(word) < 64 and self.plain.fullmatch(text):
-            ids = b"".join(map(self.run, self.parts.findall(text.lower())))
-        else:
-            ids = self.encode(text)
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+    def of(self, text: str) -> bytes:
+        if "<|" not in text and self.plain.fullmatch(text):
+            return b"".join(map(self.__getitem__, self.parts.findall(text.lower())))
+        return b"".join(map(self.word, _WORDS.findall(text)))
 
 
-_WORD_IDS: dict[str, _WordIds] = {}
+_WORDS = re.compile(WORD)
+_TEXT_IDS: dict[str, _TextIds] = {}
 
 
 def token_pieces(
@@ -82,13 +87,15 @@ def token_pieces(
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORD_IDS.get(tokenizer) or _WORD_IDS.setdefault(tokenizer, _WordIds(tokenizer))
+        if tokenizer not in _TEXT_IDS:
+            _TEXT_IDS[tokenizer] = _TextIds(tokenizer)
+        ids_of = _TEXT_IDS[tokenizer].of
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows, starts, lengths, totals, ids = [], [], [], [], []
                 for i, value in enumerate(part.column(text).to_pylist()):
-                    found = b"".join(map(words.__getitem__, (value or b"").split())) + end
+                    found = ids_of(value or "") + end
                     total = len(found) // 4
                     for start in range(0, total, capacity):
                         rows.append(i)
@@ -102,7 +109,7 @@ def token_pieces(
                     [*kept.columns, *new, pa.array(ids, pa.binary())], names=[f.name for f in schema.fields]
                 )
 
-    return docs.select(*[f.name for f in others], F.col(text).cast("binary").alias(text)).mapInArrow(cut, schema)
+    return docs.select(*[f.name for f in others], text).mapInArrow(cut, schema)
 
 
 def pack_pieces(

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing
-from .common import table
+from . import embedding_dedup, line_dedup, mixing, near_join, packing, quality_classifier, quality_rules, toxicity
+from .common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,11 +30,31 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op1_near_join")
+def op1_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", "n_same")
+
+
 @query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer())
 
 
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from: one document in four is held out."""
+    labels = table(spark, sf_dir, "labels").where(crc_fold(F.col("doc_id"), 4) != 2)
+    return labels.select("doc_id", F.col("quality").alias("label"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, quality_labels(spark, sf_dir))
+    scored = quality_classifier.score(docs.withColumn("held_out", crc_fold(F.col("doc_id"), 4) == 2), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, line, pos,
@@ -58,6 +78,29 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op5_embedding_dedup")
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+REPETITION_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(*REPETITION_COLUMNS, "dup_line_chars", *[f"chars_{n}" for n in quality_rules.GRAM_LIMITS])
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_fold(F.col("doc_id"), 5) != 0)
+    lexicon = toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    scored = toxicity.score(docs.withColumn("held_out", crc_fold(F.col("doc_id"), 5) == 0), lexicon)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
+
+
 @query("op9_source_mix")
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
