@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, mixing, near_join, packing, quality_classifier, quality_rules, toxicity
+from . import (
+    embedding_dedup,
+    line_dedup,
+    mixing,
+    near_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets_scan,
+    toxicity,
+    url_filter,
+)
 from .common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +103,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*REPETITION_COLUMNS, "dup_line_chars", *[f"chars_{n}" for n in quality_rules.GRAM_LIMITS])
 
 
+#: The given URL rules.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query("op7_url_filter")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -105,3 +131,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixing.taken_words(mixed).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secrets_scan.KINDS
+    ]
+    digest = F.sha2(secrets_scan.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets_scan.listed(F.col("found")).alias("spans"))
