@@ -37,10 +37,7 @@ def relaxed(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.
     basis = np.diag((capacity // lengths).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     used = inverse @ demand
-    for step in range(40 * m):
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
+    for _ in range(40 * m):
         value, pattern = price(inverse.sum(axis=0), lengths, capacity)
         if value <= 1 + 1e-7:
             break

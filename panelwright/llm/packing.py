@@ -166,6 +166,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096) -> Dat
 
     The pieces are stored without ids, so the passes over them move a few numbers a row.
     """
-    cut = token_pieces(docs, tokenizer, capacity=capacity)
+    cut = token_pieces(docs.select("doc_id", "text"), tokenizer, capacity=capacity)
     small = cut.select("doc_id", "start", "length", crc32_of_ids().alias("ids_crc32"), "doc_tokens")
     return pack_pieces(stored(small, "pieces"), ["doc_id", "start", "ids_crc32", "doc_tokens"], capacity)

@@ -116,7 +116,7 @@ def train(random: DataFrame, ordinary: DataFrame, threshold: float = 0.5, smooth
 
 def ratio(string: Column, model: Model) -> Column:
     """Mean log-likelihood ratio of a string's transitions; positive for random strings."""
-    table = F.array(*map(F.lit, model.table))
+    table = F.split(F.lit(",".join(map(str, model.table))), ",").cast("array<double>")  # one literal
     at = F.sequence(F.lit(1), F.char_length(string) - 1)
     pair = lambda i: F.ascii(F.substring(string, i, F.lit(1))) * CODES + F.ascii(F.substring(string, i + 1, F.lit(1)))
     total = F.aggregate(at, F.lit(0.0), lambda s, i: s + F.element_at(table, pair(i) + 1))
