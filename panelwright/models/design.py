@@ -121,5 +121,16 @@ def design_columns(
     return out
 
 
+def declared_levels(terms: Sequence[Term]) -> dict[str, list]:
+    """The values allowed by categories that declare their levels, the reference included."""
+    out: dict[str, list] = {}
+    for t in terms:
+        if isinstance(t, Product):
+            out.update(declared_levels([t.left, t.right]))
+        elif isinstance(t, Cat) and t.levels is not None:
+            out[t.column] = list(dict.fromkeys([*t.levels, *([] if t.reference is None else [t.reference])]))
+    return out
+
+
 def used_columns(terms: Sequence[Term]) -> list[str]:
     return sorted({c for t in terms for c in t.columns})

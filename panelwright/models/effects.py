@@ -47,13 +47,31 @@ def number(v) -> float | None:
     return None if v is None or not math.isfinite(v) else float(v)
 
 
+def estimable(fit: Fit, c: np.ndarray) -> bool:
+    """Whether c lies in the row space of the design, so that every solution gives the same sum."""
+    if fit.rank >= len(fit.names) or not np.isfinite(fit.bread).all():
+        return True
+    inside = fit.bread @ (np.linalg.pinv(fit.bread, rcond=1e-9) @ c)
+    return bool(np.abs(inside - c).max() < 1e-6)
+
+
+def exponential(v: float) -> float:
+    """exp, infinite where a double cannot hold it."""
+    return math.exp(v) if not v > 709 else math.inf
+
+
 def linear(fit: Fit, weights: Mapping[str, float]) -> tuple[float, float]:
-    """Estimate and standard error of a weighted sum of coefficients (NaN if one is absent)."""
+    """Estimate and standard error of a weighted sum of coefficients.
+
+    NaN if a coefficient is absent, or if the data do not determine the sum (a rank too small).
+    """
     if not all(fit.has(name) for name in weights):
         return math.nan, math.nan
     c = np.zeros(len(fit.names))
     for name, value in weights.items():
         c[fit.at(name)] = value
+    if not estimable(fit, c):
+        return math.nan, math.nan
     return float(c @ fit.beta), float(math.sqrt(max(c @ fit.cov @ c, 0.0)))
 
 
@@ -63,10 +81,10 @@ def ratio(fit: Fit, weights: Mapping[str, float], critical: float = HAND, sign:
     estimate *= sign
     z = estimate / se if se > 0 else float("nan")
     return {
-        "estimate": number(math.exp(estimate)),
+        "estimate": number(exponential(estimate)),
         "se_log": number(se),
-        "ci_low": number(math.exp(estimate - critical * se)),
-        "ci_high": number(math.exp(estimate + critical * se)),
+        "ci_low": number(exponential(estimate - critical * se)),
+        "ci_high": number(exponential(estimate + critical * se)),
         "p_value": p_value(z),
     }
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.recode import all_present
-from .design import Term, design_columns, find_levels, is_discrete, used_columns
+from .design import Term, design_columns, find_levels, is_discrete, used_columns, declared_levels
 
 MAX_CELLS = 50_000
 MAX_ROUNDS = 40
@@ -198,7 +198,7 @@ class _Layout:
             *([F.col(cluster).alias("__cluster")] if cluster else []),
         ).filter(" or ".join(f"__y{i} is not null" for i in range(len(models))))
         self.discrete = all(is_discrete(t) for t in every) and all(
-            m.family != "gaussian" for m in models
+            m.family != "gaussian" and not (m.errors == "HC3" and m.weight) for m in models
         )
 
     def _outcome(self, m: Model) -> Column:
@@ -207,6 +207,8 @@ class _Layout:
         if needed not in self.present:
             self.present[needed] = all_present(needed) if needed else F.lit(True)
         usable = self.present[needed] if m.where is None else self.present[needed] & m.where
+        for column, known in declared_levels(m.terms).items():
+            usable = usable & F.col(column).isin(known)  # any other value would pass for the reference
         return F.when(usable, m.outcome.cast("double"))
 
     def names(self, i: int) -> list[str]:
@@ -333,6 +335,17 @@ def _failed(name: str, names: list[str], error: str) -> Fit:
     return Fit(name, names, gap, np.full((k, k), np.nan), np.full((k, k), np.nan), 0, 0.0, 0, float("nan"), 0, False, 0, [], error)
 
 
+def residuals(x, y, w, beta, bread, family, errors) -> np.ndarray:
+    """Weighted residuals; for HC3 divided by one minus the leverage of the working weights."""
+    mu = mean_response(x, beta, family)
+    r = w * (y - mu)
+    if errors == "HC3":
+        working = w * {"gaussian": 1.0, "poisson": mu}.get(family, mu * (1 - mu))
+        rest = 1 - working * np.einsum("ij,jk,ik->i", x, bread, x)
+        r = np.where(rest > 1e-12, r / np.maximum(rest, 1e-12), 0.0)
+    return r
+
+
 class _CellEngine:
     """Iterates on covariate cells; only cluster sums go back to the rows."""
 
@@ -364,7 +377,8 @@ class _CellEngine:
                 clustered[i] = fit
                 continue
             x, y, _, _, squares = self.parts[i]
-            r = y - mean_response(x, fit.beta, self.layout.plans[i].family)
+            plan = self.layout.plans[i]
+            r = residuals(x, y, np.ones(len(y)), fit.beta, fit.bread, plan.family, plan.errors)
             out[i] = ((x * (squares * r * r)[:, None]).T @ x, 0)
         return {**out, **_cluster_meats(self.layout, clustered)}
 
@@ -407,11 +421,9 @@ class _RowEngine:
                 for i, (beta, bread) in others.items():
                     inside = ~np.isnan(y[:, i])
                     xm = x[inside][:, plans[i].columns]
-                    r = y[inside, i] - mean_response(xm, beta, plans[i].family)
-                    if plans[i].weight is not None:
-                        r = r * weights[plans[i].weight][inside]
-                    if plans[i].errors == "HC3":
-                        r = r / (1 - np.einsum("ij,jk,ik->i", xm, bread, xm))
+                    n = np.ones(len(xm))
+                    w = n if plans[i].weight is None else weights[plans[i].weight][inside]
+                    r = residuals(xm, y[inside, i], w, beta, bread, plans[i].family, plans[i].errors)
                     part = ((xm * (r * r)[:, None]).T @ xm).ravel()
                     total[i] = total[i] + part if i in total else part
             yield _emit(total)

@@ -92,6 +92,8 @@ def fit_mixtures(
     try:
         largest = max(class_counts)
         picks = rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(largest * starts).collect()
+        if not picks:
+            return {}
         spread = rows.agg(*[F.var_pop(F.col("x")[j]).alias(f"v{j}") for j in range(d)]).first()
         variance = np.array([max(spread[j] or 0.0, VARIANCE_FLOOR) for j in range(d)])
         candidates: dict[int, Mixture] = {}
@@ -110,6 +112,9 @@ def fit_mixtures(
                 candidates[i] = after
                 if after.converged or after.rounds >= max_rounds:
                     active.discard(i)
+        # the sums of a round belong to the parameters that went in: one more pass for the last ones
+        for i, sums in _sums(table, candidates, d).items():
+            candidates[i].loglik = float(sums[-2])
     finally:
         rows.unpersist()
     best: dict[int, Mixture] = {}
@@ -146,13 +151,6 @@ def class_column(columns: Sequence[str], m: Mixture) -> Column:
     return F.when(all_present(columns), at.cast("int"))
 
 
-CLASS_NAMES = {
-    2: ["Lower", "Higher"],
-    3: ["Low", "Intermediate", "High"],
-    4: ["Lowest", "Lower-middle", "Upper-middle", "Highest"],
-}
-
-
 @dataclass
 class Selection:
     chosen: Mixture
@@ -191,7 +189,7 @@ def select_mixture(
     viable = [c for c in choices if c["smallest_share"] >= smallest_share]
     chosen = fitted[min(viable or choices, key=lambda c: c["bic"])["classes"]]
     rank = np.argsort(np.argsort(chosen.means.mean(axis=1)))
-    names = CLASS_NAMES.get(chosen.classes) or [f"Class {i + 1}" for i in range(chosen.classes)]
+    names = [f"Class {i + 1}" for i in range(chosen.classes)]
     return Selection(chosen, choices, [names[r] for r in rank])
 
 

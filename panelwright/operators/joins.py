@@ -15,15 +15,20 @@ def assert_unique(df: DataFrame, keys: Sequence[str], side: str = "table") -> Da
     """The table itself, failing the job when a key value occurs twice.
 
     The check is an aggregation on the key, so a join on the same key reuses its
-    partitioning, and a hot duplicate is counted before the shuffle.
+    partitioning, and a hot duplicate is counted before the shuffle. Rows with a NULL in the
+    key match nothing and may repeat; they all stay.
     """
+    keyless = F.expr(" or ".join(f"`{k}` IS NULL" for k in keys))
+    return _checked_unique(df.filter(~keyless), keys, side).unionByName(df.filter(keyless))
+
+
+def _checked_unique(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     others = [c for c in df.columns if c not in keys]
     grouped = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.first(c).alias(c) for c in others]
     )
-    keyed = " or ".join(f"`{k}` IS NULL" for k in keys)
     return grouped.filter(
-        F.when((F.col("__rows") == 1) | F.expr(keyed), F.lit(True)).otherwise(
+        F.when(F.col("__rows") == 1, F.lit(True)).otherwise(
             F.raise_error(F.lit(f"{side}: key {list(keys)} is not unique")).cast("boolean")
         )
     ).select(*df.columns)
@@ -45,7 +50,10 @@ def checked_join(
     if validate not in CARDINALITIES:
         raise ValueError(f"validate must be one of {CARDINALITIES}")
     if validate in ("many_to_one", "one_to_one"):
-        right = assert_unique(right, on, "right side")
+        if how in ("left", "inner"):  # rows without a key cannot match, so none is needed
+            right = _checked_unique(right.dropna(subset=list(on)), on, "right side")
+        else:
+            right = assert_unique(right, on, "right side")
     if validate in ("one_to_many", "one_to_one"):
         left = assert_unique(left, on, "left side")
     if hot_rows is not None and validate == "many_to_one" and how in ("left", "inner"):

@@ -39,14 +39,23 @@ def exact_quantiles(
     values = df.select(*by, F.col(column).cast("double").alias("__v")).filter(
         F.col("__v").isNotNull()
     )
+    is_finite = ~F.isnan("__v") & (F.abs("__v") < math.inf)
+    finite = F.when(is_finite, F.col("__v"))
     sizes = collect_bounded(
         values.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")
+            F.count(F.lit(1)).alias("n"),
+            F.min(finite).alias("lo"),
+            F.max(finite).alias("hi"),
+            F.count_if(F.col("__v") == -math.inf).alias("below"),
+            F.count_if(F.col("__v") == math.inf).alias("above"),
+            F.count_if(F.isnan("__v")).alias("nan"),
         ),
         MAX_GROUPS,
         "quantile groups",
     )
     groups = {tuple(r[c] for c in by): (r["n"], r["lo"], r["hi"]) for r in sizes if r["n"]}
+    # values a bin cannot hold stand at the ends of the order, NaN last
+    ends = {tuple(r[c] for c in by): (r["below"], r["above"], r["nan"]) for r in sizes if r["n"]}
     if not groups:
         return {} if by else {(): [None] * len(probs)}
     big = {g: v for g, v in groups.items() if v[0] > small_group}
@@ -58,23 +67,35 @@ def exact_quantiles(
         )
         for r in picked.collect():
             out[tuple(r[c] for c in by)] = [r[f"q{i}"] for i in range(len(probs))]
+    def at_end(group, rank) -> float | None:
+        n, (below, above, nan) = big[group][0], ends[group]
+        if rank < below:
+            return -math.inf
+        return math.nan if rank >= n - nan else math.inf if rank >= n - nan - above else None
+
     wanted = {
-        (group, rank)
+        (group, rank - ends[group][0])
         for group, (n, _, _) in big.items()
         for p in probs
         for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
+        if at_end(group, rank) is None
     }
-    values = values.persist(StorageLevel.MEMORY_AND_DISK)  # the rounds re-read only this column
+    search = {g: (n - sum(ends[g]), lo, hi) for g, (n, lo, hi) in big.items()}
+    values = values.filter(is_finite).persist(StorageLevel.MEMORY_AND_DISK)  # the rounds re-read only this column
     try:
-        found = _order_statistics(values, by, big, wanted)
+        found = _order_statistics(values, by, search, wanted)
     finally:
         values.unpersist()
     for group, (n, _, _) in big.items():
         out[group] = []
         for p in probs:
             h = p * (n - 1)
-            low, high = found[group, math.floor(h)], found[group, math.ceil(h)]
-            out[group].append(low + (high - low) * (h - math.floor(h)))
+            low, high = (
+                found[group, rank - ends[group][0]] if (end := at_end(group, rank)) is None else end
+                for rank in (math.floor(h), math.ceil(h))
+            )
+            part = h - math.floor(h)
+            out[group].append(low + (high - low) * part if part and low != high else low)
     return out
 
 

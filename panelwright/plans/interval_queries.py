@@ -151,11 +151,11 @@ history AS (
   SELECT id, wave, CASE WHEN known = wave THEN 1 ELSE 0 END AS complete_history,
     CASE WHEN known = wave THEN CASE WHEN n_prior > 0 THEN 1 ELSE 0 END END AS prior_both,
     CASE WHEN known = wave THEN n_both END AS both_count,
-    CASE WHEN known <> wave THEN 'Incomplete exposure history'
-      WHEN state = 2 AND n_prior = 0 THEN 'Current single exposure without prior co-occurrence'
-      WHEN state = 2 THEN 'Current single exposure after prior co-occurrence'
-      WHEN state = 3 AND n_prior = 0 THEN 'First observed co-occurrence'
-      WHEN state = 3 THEN 'Repeated co-occurrence' ELSE 'Other current state' END AS history_group
+    CASE WHEN known <> wave THEN 'incomplete'
+      WHEN state = 2 AND n_prior = 0 THEN 'single_never'
+      WHEN state = 2 THEN 'single_after'
+      WHEN state = 3 AND n_prior = 0 THEN 'first'
+      WHEN state = 3 THEN 'repeated' ELSE 'other' END AS history_group
   FROM hist)"""
 
 

@@ -616,9 +616,17 @@ def msm_rows(spark, sf):
     )
 
 
-GRID = [
-    (0, [1]), (0, [2]), (0, [1, 2]), (0, [3]), (1, [0]), (1, [2]), (1, [3]), (2, [0]), (2, [1]), (2, [0, 1]), (2, [3]),
-]
+LIVING, ABSORBING = (0, 1, 2), 3
+
+
+def moves(origin: int) -> list[tuple[int, list[int]]]:
+    """Every move out of a living state, and the joined moves up or down where there are several."""
+    single = [(origin, [d]) for d in (*LIVING, ABSORBING) if d != origin]
+    sides = ([d for d in LIVING if d < origin], [d for d in LIVING if d > origin])
+    return single + [(origin, side) for side in sides if len(side) > 1]
+
+
+GRID = [move for origin in LIVING for move in moves(origin)]
 GRID_SQL = ", ".join(
     f"('{o}->{'+'.join(map(str, d))}', {o}, {d[0]}, {d[-1]})" for o, d in GRID
 )

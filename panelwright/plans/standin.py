@@ -29,9 +29,8 @@ FIRST_YEAR = 1994
 LAST_ORIGIN = 5
 STATE_LABELS = {0: "Neither", 1: "Urgent only", 2: "High spend only", 3: "Both"}
 FUNCTION_LABELS = {0: "Settled", 1: "Pending", 2: "Flagged", 3: "Gone"}
-KEY_TRANSITIONS = [
-    (0, [2], "Settled to flagged"),
-    (1, [2], "Pending to flagged"),
+#: Moves to the worst level from the others, and the ways back from each level above the best.
+KEY_TRANSITIONS = [(o, [2], f"{FUNCTION_LABELS[o]} to flagged") for o in (0, 1)] + [
     (1, [0], "Pending to settled"),
     (2, [0, 1], "Flagged to better"),
 ]

@@ -240,7 +240,7 @@ def test_mixture_finds_separate_groups(spark):
     chosen = mixture.select_mixture(df, ["a", "b", "c"], fitted)
     assert chosen.chosen.classes == 2
     found = mixture.profiles(mixture.with_trajectory(df, ["a", "b", "c"], chosen), ["a", "b", "c"])
-    assert {r["trajectory"]: r["n"] for r in found.collect()} == {"Lower": 300, "Higher": 700}
+    assert {r["trajectory"]: r["n"] for r in found.collect()} == {"Class 1": 300, "Class 2": 700}
 
 
 def test_class_choice_falls_back_to_all(spark):
@@ -296,3 +296,40 @@ def test_person_numbers_are_dense(spark):
 def test_solver_handles_zero_matrix():
     beta, inverse, rank = glm.solve(np.zeros((2, 2)), np.zeros(2))
     assert rank == 0 and not beta.any() and not inverse.any()
+
+
+def test_errors_agree_between_cells_and_rows(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from panelwright.models.design import Cat
+    from panelwright.models.glm import Model, fit_models
+
+    rng = np.random.default_rng(8)
+    rows = [(int(i), int(i % 3), int(rng.random() < 0.3 + 0.1 * (i % 3)), float(1 + i % 4)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, g int, y int, w double")
+    for errors in ("cluster", "HC0", "HC1", "HC3", "none"):
+        for weight in (None, "w"):
+            model = Model("m", F.col("y"), (Cat("g", 0, (0, 1, 2)),), family="binomial", weight=weight, errors=errors)
+            cells = fit_models(df, [model], cluster="id")["m"]
+            by_row = fit_models(df, [model], cluster="id", max_cells=1)["m"]
+            assert np.allclose(cells.cov, by_row.cov, rtol=1e-6, atol=1e-9, equal_nan=True), (errors, weight)
+
+
+def test_undeclared_levels_and_absent_reference(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from panelwright.models import effects
+    from panelwright.models.design import Cat
+    from panelwright.models.glm import Model, fit_models
+
+    rows = [(i, i % 4, int(i % 5 == 0)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, g int, y int")
+    fit = fit_models(df, [Model("m", F.col("y"), (Cat("g", 0, (0, 1)),))], cluster="id")["m"]
+    assert fit.n == 40
+    assert math.exp(fit.beta[0]) == pytest.approx(0.2)
+    absent = fit_models(df.filter("g in (1, 2)"), [Model("m", F.col("y"), (Cat("g", 0, (0, 1, 2)),))], cluster="id")["m"]
+    assert effects.ratio(absent, {"g[1]": 1.0})["estimate"] is None
+    assert effects.ratio(absent, {"g[2]": 1.0, "g[1]": -1.0})["estimate"] == pytest.approx(1.0)

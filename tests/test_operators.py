@@ -212,3 +212,32 @@ def test_scan_reads_only_what_is_used(spark):
     plan = orders.filter("o_orderstatus = 'F'")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string>" in plan
     assert "EqualTo(o_orderstatus,F)" in plan
+
+
+def test_checked_join_keeps_rows_without_a_key(spark):
+    from panelwright.operators.joins import checked_join
+
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "k int, x string")
+    right = spark.createDataFrame([(1, "p"), (None, "q"), (None, "r")], "k int, y string")
+    assert checked_join(left, right, ["k"], "left", "one_to_one").count() == 3
+    assert checked_join(left, right, ["k"], "outer", "many_to_one").count() == 5
+    twice = right.unionByName(right.filter("k = 1"))
+    with pytest.raises(Exception, match="not unique"):
+        checked_join(left, twice, ["k"], "left", "many_to_one").collect()
+
+
+def test_quantiles_with_infinite_values(spark):
+    import math
+
+    from panelwright.operators.quantiles import exact_quantiles
+
+    values = [float(i) for i in range(2000)] + [math.inf, math.inf, -math.inf, 1e300, math.nan]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for probs in ([0.0, 0.25, 0.5, 0.9],):
+        ordered = sorted(v for v in values if v == v) + [math.nan]
+        expected = []
+        for p in probs:
+            h = p * (len(ordered) - 1)
+            low, high = ordered[math.floor(h)], ordered[math.ceil(h)]
+            expected.append(low + (high - low) * (h - math.floor(h)) if low != high and h % 1 else low)
+        assert exact_quantiles(df, "v", probs, small_group=10)[()] == pytest.approx(expected)
