@@ -100,7 +100,7 @@ class Texts:
         return begin, end, text
 
 
-def texts(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+def texts(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of the batches whose texts have about ``most`` bytes, or one longer text.
 
     Memory is in proportion to the larger of ``most`` and the longest text. NULL is empty.
