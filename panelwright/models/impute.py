@@ -1,26 +1,27 @@
 """Multiple imputation by chained equations, and pooling of the repeated analyses.
 
 Every draw is a function of the row's key, the imputation, the round and the column, and of
-the regression used at that step. A task therefore rebuilds a row's current values from the
-steps so far instead of storing them: nothing is written between rounds, lineage does not
-grow, and a lost executor costs a re-scan. All imputations advance in the same pass, and
-rows without gaps are added up once, since only incomplete rows change.
+the regression used at that step. Incomplete rows are written with their current values once
+a round, and a task rebuilds the values within a round from the steps of that round: the work
+grows in proportion to the rounds, lineage does not grow, and a lost executor costs a
+re-scan. All imputations advance in the same pass, and rows without gaps are added up once,
+since only incomplete rows change.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.recode import all_present
+from ..sources.tables import stored
 from .effects import HAND, number, p_value
 from .glm import STATS, Fit, _emit, _matrix, _sum_arrays
 
@@ -99,12 +100,16 @@ class Chains:
     steps: list[tuple[int, int, list[Regression]]] = field(default_factory=list)
 
 
-def replay(chains: Chains, values: np.ndarray, keys: np.ndarray, upto: int | None = None) -> np.ndarray:
-    """Current values of every imputation, shape (draws, rows, columns)."""
+def started(chains: Chains, values: np.ndarray) -> np.ndarray:
+    """Values of every imputation before the first step, shape (draws, rows, columns)."""
+    filled = np.where(np.isnan(values), np.asarray(chains.start)[None, :], values)
+    return np.repeat(filled[None], chains.draws, axis=0)
+
+
+def replay(chains: Chains, values: np.ndarray, keys: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The values that the chain's steps make of ``state``, which is changed."""
     gaps = np.isnan(values)
-    filled = np.where(gaps, np.asarray(chains.start)[None, :], values)
-    state = np.repeat(filled[None], chains.draws, axis=0)
-    for round_no, j, regressions in chains.steps[:upto]:
+    for round_no, j, regressions in chains.steps:
         rows = np.flatnonzero(gaps[:, j])
         if not len(rows):
             continue
@@ -143,27 +148,59 @@ def fit_chains(
         yield _emit(total)
 
     base = _sum_arrays(table.filter(complete).mapInArrow(joint, STATS)).get(0, np.zeros((width + 1) ** 2))
-    partial = table.filter(~complete).select("key_hash", "v").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for round_no in range(rounds):
-            for j in order:
-                grams = _current_grams(partial, chains, j, width)
-                regressions = [
-                    evidence_ridge((base + grams.get(k, 0.0)).reshape(width + 1, width + 1), j)
-                    for k in range(draws)
-                ]
-                chains.steps.append((round_no, j, regressions))
-    finally:
-        partial.unpersist()
+    unset = F.lit(None).cast("array<double>").alias("state")
+    partial = stored(table.filter(~complete).select("key_hash", "v", unset), "incomplete")
+    for round_no in range(rounds if order else 0):
+        now = replace(chains, steps=[])  # the steps of this round
+        for j in order:
+            grams = _current_grams(partial, now, order, j, width)
+            regressions = [
+                evidence_ridge((base + grams.get(k, 0.0)).reshape(width + 1, width + 1), j)
+                for k in range(draws)
+            ]
+            now.steps.append((round_no, j, regressions))
+        chains.steps += now.steps
+        if round_no + 1 < rounds:
+            partial = stored(_advanced(partial, now, order, width), "incomplete")
     return chains
 
 
+def _held(batch: pa.RecordBatch, chains: Chains, order: list[int], v: np.ndarray) -> np.ndarray:
+    """The values at the beginning of the round: those written after the last one, if any."""
+    state = started(chains, v)
+    held = batch.column("state")
+    if not held.null_count:
+        own = _matrix(held, chains.draws * len(order)).reshape(len(v), chains.draws, len(order))
+        state[:, :, order] = own.transpose(1, 0, 2)
+    return state
+
+
+def _advanced(partial: DataFrame, chains: Chains, order: list[int], width: int) -> DataFrame:
+    """The incomplete rows with the values of their incomplete columns after a round."""
+    size = chains.draws * len(order)
+
+    def advance(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _matrix(batch.column("v"), width)
+            state = replay(chains, v, batch.column("key_hash").to_numpy(), _held(batch, chains, order, v))
+            flat = np.ascontiguousarray(state[:, :, order].transpose(1, 0, 2)).ravel()
+            offsets = np.arange(0, (len(v) + 1) * size, size, dtype=np.int32)
+            after = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key_hash"), batch.column("v"), after], names=["key_hash", "v", "state"]
+            )
+
+    return partial.mapInArrow(advance, "key_hash long, v array<double>, state array<double>")
+
+
 def _inputs(df: DataFrame, key: str, columns: Sequence[str], seed: int) -> DataFrame:
     values = F.array(*[F.col(c).cast("double") for c in columns])
     return df.select("*", F.xxhash64(F.lit(seed), F.col(key)).alias("key_hash"), values.alias("v"))
 
 
-def _current_grams(partial: DataFrame, chains: Chains, target: int, width: int):
+def _current_grams(partial: DataFrame, chains: Chains, order: list[int], target: int, width: int):
     def add_up(batches: Iterator[pa.RecordBatch]):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -172,7 +209,7 @@ def _current_grams(partial: DataFrame, chains: Chains, target: int, width: int):
             v = _matrix(batch.column("v"), width)
             keys = batch.column("key_hash").to_numpy()
             seen = ~np.isnan(v[:, target])
-            state = replay(chains, v[seen], keys[seen])
+            state = replay(chains, v[seen], keys[seen], _held(batch, chains, order, v)[:, seen])
             for k in range(chains.draws):
                 z = np.column_stack([np.ones(state.shape[1]), state[k]])
                 part = (z.T @ z).ravel()
@@ -194,7 +231,7 @@ def completed(df: DataFrame, chains: Chains, take: Sequence[str], seed: int = 0)
     def fill(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             v = _matrix(batch.column("v"), width)
-            state = replay(chains, v, batch.column("key_hash").to_numpy())
+            state = replay(chains, v, batch.column("key_hash").to_numpy(), started(chains, v))
             arrays = [batch.column(c) for c in kept]
             offsets = np.arange(0, (len(v) + 1) * chains.draws, chains.draws, dtype=np.int32)
             for j in wanted:

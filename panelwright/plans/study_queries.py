@@ -59,7 +59,7 @@ def imputation_rows(spark, sf):
 def impute_chained(spark, sf):
     """Means of the completed columns by imputation, beside the observed ones."""
     rows = imputation_rows(spark, sf)
-    chains = impute.fit_chains(rows, "id", MATRIX, draws=5, rounds=4, seed=11)
+    chains = impute.fit_chains(rows, "id", MATRIX, draws=20, rounds=20, seed=11)
     filled = impute.completed(rows, chains, IMPUTED, seed=11)
     long = filled.select(
         *IMPUTED, F.posexplode(F.arrays_zip(*[f"{c}_draws" for c in IMPUTED])).alias("imputation", "e")
