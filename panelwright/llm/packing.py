@@ -20,29 +20,35 @@ from .cutting_stock import patterns_for
 
 
 class _TextIds(dict):
-    """Token ids of texts as little-endian 32-bit numbers; parts met again are remembered.
+    """Token ids of texts as little-endian 32-bit numbers; parts met lately are remembered.
 
     In a text of Latin letters, digits and common punctuation, lower-casing and normalisation
     treat each character alone, so the parts that the tokenizer forms are found by one
     expression, and the tokenizer's model sees each different part once. Any other text goes
     through the tokenizer word by word: none of its parts crosses ASCII white space.
+
+    At most twice ``limit`` parts are held: a full generation becomes the older one, from which
+    parts that are met again return, and the rest is let go with the next.
     """
 
     #: The tokenizer's own part rule, written for the characters of ``plain``.
     plain = re.compile(r"[\x09-\x0D\x20-\x7E¡¿«»À-ÖØ-öø-ÿ]*")
     parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0D\x20a-z0-9ß-öø-ÿ]+")
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 200_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit, self.words = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.words, self.older = Tokenizer.from_file(path), limit, {}, {}
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        mapped = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
-        found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
+        found = self.older.get(part)
+        if found is None:
+            mapped = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
         if len(part) < 64:
             self[part] = found
         return found
@@ -58,6 +64,12 @@ class _TextIds(dict):
                 self.words[word] = found
         return found
 
+    def forget(self) -> None:
+        """Lets go of all parts, so that a Python worker holds none between tasks."""
+        self.clear()
+        self.words.clear()
+        self.older = {}
+
     def of(self, text: str) -> bytes:
         if "<|" not in text and self.plain.fullmatch(text):
             return b"".join(map(self.__getitem__, self.parts.findall(text.lower())))
@@ -90,24 +102,27 @@ def token_pieces(
         if tokenizer not in _TEXT_IDS:
             _TEXT_IDS[tokenizer] = _TextIds(tokenizer)
         ids_of = _TEXT_IDS[tokenizer].of
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows, starts, lengths, totals, ids = [], [], [], [], []
-                for i, value in enumerate(part.column(text).to_pylist()):
-                    found = ids_of(value or "") + end
-                    total = len(found) // 4
-                    for start in range(0, total, capacity):
-                        rows.append(i)
-                        starts.append(start)
-                        lengths.append(min(capacity, total - start))
-                        totals.append(total)
-                        ids.append(found[4 * start : 4 * (start + capacity)])
-                kept = part.select([f.name for f in others]).take(pa.array(rows, pa.int64()))
-                new = [pa.array(x, pa.int64()) for x in (starts, lengths, totals)]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, *new, pa.array(ids, pa.binary())], names=[f.name for f in schema.fields]
-                )
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    rows, starts, lengths, totals, ids = [], [], [], [], []
+                    for i, value in enumerate(part.column(text).to_pylist()):
+                        found = ids_of(value or "") + end
+                        total = len(found) // 4
+                        for start in range(0, total, capacity):
+                            rows.append(i)
+                            starts.append(start)
+                            lengths.append(min(capacity, total - start))
+                            totals.append(total)
+                            ids.append(found[4 * start : 4 * (start + capacity)])
+                    kept = part.select([f.name for f in others]).take(pa.array(rows, pa.int64()))
+                    new = [pa.array(x, pa.int64()) for x in (starts, lengths, totals)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*kept.columns, *new, pa.array(ids, pa.binary())], names=[f.name for f in schema.fields]
+                    )
+        finally:
+            _TEXT_IDS[tokenizer].forget()
 
     return docs.select(*[f.name for f in others], text).mapInArrow(cut, schema)
 

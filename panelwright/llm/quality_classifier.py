@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: NbSvm, text: str = "text", name: str = "score"
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, own in texts(batches, text):
+        for batch, own in texts(batches, text, 1 << 18):
             margins = np.array([sent.value.margin(s) for s in feature_sets(own, len(sent.value.weights))])
             found = pa.array(sent.value.probability(margins), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], found], names=[*names, name])
