@@ -121,10 +121,12 @@ def fit_intensities(
                 damping = max(damping / 5, 1e-9)
                 break
             damping *= 4
+        # a small gain, or none, is a maximum only where the free slopes have vanished as well
+        flat = bool(np.abs(score[free]).max(initial=0.0) <= 1e-4 * max(1.0, sum(w.sum() for w in counts.values())))
         if new < value:
-            return theta, value, True  # no step improves: a maximum to working precision
+            return theta, value, flat
         gain, theta, value = new - value, trial, new
-        if gain <= 1e-10 * max(1.0, abs(value)):
+        if flat and gain <= 1e-10 * max(1.0, abs(value)):
             return theta, value, True
     return theta, value, False
 

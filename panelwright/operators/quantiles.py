@@ -99,12 +99,12 @@ def exact_quantiles(
     return out
 
 
-def _without(values, by, groups):
+def _without(values, by, groups, how="left_anti"):
     table = F.broadcast(values.sparkSession.createDataFrame(groups, values.select(*by).schema))
     same = F.lit(True)
     for c in by:
         same = same & values[c].eqNullSafe(table[c])
-    return values.join(table, same, "left_anti")
+    return values.join(table, same, how)
 
 
 def _order_statistics(values, by, groups, wanted) -> dict[tuple, float]:
@@ -176,5 +176,27 @@ def _count_within(values, by, spans) -> dict[tuple, list[tuple[float, float, int
     return out
 
 
+def quantile_table(
+    df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str], small_group: int = SMALL_GROUP
+) -> DataFrame:
+    """The same quantiles as columns q0, q1, ... of a table, for any number of groups.
+
+    Small groups stay a grouped ``percentile``; only groups beyond ``small_group`` rows are
+    searched for, and at most ``MAX_GROUPS`` of those are allowed. Groups without values are left out.
+    """
+    by = list(by)
+    values = df.select(*by, F.col(column).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small_group)
+    big = [tuple(r[c] for c in by) for r in collect_bounded(sizes, MAX_GROUPS, "large quantile groups")]
+    rest = _without(values, by, big) if big else values
+    small = rest.groupBy(*by).agg(
+        *[F.percentile("__v", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probs)]
+    )
+    if not big:
+        return small
+    found = exact_quantiles(_without(values, by, big, "left_semi"), "__v", probs, by, small_group)
+    return small.unionByName(df.sparkSession.createDataFrame([(*g, *q) for g, q in found.items()], small.schema))
+
+
 def quantile(df: DataFrame, column: str, prob: float) -> float | None:
     return exact_quantiles(df, column, [prob])[()][0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import recode as R
 from ..operators import joins, reshape, summaries
 from ..operators.intervals import vital_outcome
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import exact_quantiles, quantile_table
 from ..operators.sequences import add_previous_wave, first_per_person
 from ..sources import tables
 from . import standin as S
@@ -245,18 +245,14 @@ def crosswalk_join(spark, sf):
     "outer_status_join",
     """SELECT coalesce(o_orderkey, l_orderkey) AS orderkey, o_orderstatus AS status, n_lines, returned
     FROM orders FULL JOIN (SELECT l_orderkey, count(*) AS n_lines, CAST(max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS INTEGER) AS returned
-      FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1) ON o_orderkey = l_orderkey""",
+      FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
 )
 def outer_status_join(spark, sf):
     orders = S.table(spark, sf, "orders", "o_orderkey", "o_orderstatus").toDF("orderkey", "status")
-    line = S.table(spark, sf, "lineitem", "l_orderkey", "l_returnflag", "l_shipdate")
-    outcome = (
-        line.filter(F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp"))
-        .groupBy(F.col("l_orderkey").alias("orderkey"))
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            F.max(R.flag(F.col("l_returnflag") == "R")).alias("returned"),
-        )
+    line = S.table(spark, sf, "lineitem", "l_orderkey", "l_returnflag")
+    outcome = line.groupBy(F.col("l_orderkey").alias("orderkey")).agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.max(R.flag(F.col("l_returnflag") == "R")).alias("returned"),
     )
     return joins.status_join(orders, outcome, "orderkey")
 
@@ -310,19 +306,19 @@ def replaced_columns(spark, sf):
 
 @query(
     "adjacent_wave_people",
-    f"""WITH {S.SQL_PANEL}, both_waves AS (
-      SELECT id FROM panel WHERE wave = 1 INTERSECT SELECT id FROM panel WHERE wave = 2)
-    SELECT id, 'waves 1-2' AS pair FROM both_waves UNION ALL
-    SELECT id, 'waves 2-3' FROM (SELECT id FROM panel WHERE wave = 2 INTERSECT SELECT id FROM panel WHERE wave = 3)""",
+    f"""WITH {S.SQL_PANEL}
+    SELECT now.id, 'waves ' || now.wave || '-' || after.wave AS pair
+    FROM panel now JOIN panel after ON after.id = now.id AND after.wave = now.wave + 1 WHERE now.wave BETWEEN 1 AND 6""",
 )
 def adjacent_wave_people(spark, sf):
-    waves = S.panel(spark, sf)
+    """People seen at both waves, for every pair of adjacent waves."""
+    waves = tables.stored(S.status_panel(spark, sf).select("id", "wave"), "waves")
 
     def pair(w):
         now, after = waves.filter(F.col("wave") == w), waves.filter(F.col("wave") == w + 1)
         return joins.common_keys(now, after, ["id"]).withColumn("pair", F.lit(f"waves {w}-{w + 1}"))
 
-    return reshape.stack_rows([pair(1), pair(2)])
+    return reshape.stack_rows([pair(w) for w in WAVES[:-1]])
 
 
 @query(
@@ -354,6 +350,19 @@ def group_quantiles(spark, sf):
     return spark.createDataFrame(rows, "l_linenumber int, p01 double, p50 double, p99 double")
 
 
+@query(
+    "part_quantiles",
+    """SELECT l_partkey, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25,
+      round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75
+    FROM lineitem GROUP BY 1""",
+)
+def part_quantiles(spark, sf):
+    """Price quartiles of every part: as many groups as there are parts, so the result stays a table."""
+    line = S.table(spark, sf, "lineitem", "l_partkey", "l_extendedprice")
+    found = quantile_table(line, "l_extendedprice", [0.25, 0.5, 0.75], ["l_partkey"])
+    return rounded(found.toDF("l_partkey", "p25", "p50", "p75"), 4)
+
+
 @query(
     "modal_values",
     """SELECT (SELECT l_linenumber FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS line_mode,

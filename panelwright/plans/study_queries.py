@@ -163,7 +163,7 @@ def trajectories(spark, sf):
     spread = rows.agg(F.avg("slope").alias("m"), F.stddev_pop("slope").alias("s")).first()
     rows = rows.withColumn("slope_sd", (F.col("slope") - spread["m"]) / spread["s"])
     rows = stored(rows, "curves")
-    fitted = mixture.fit_mixtures(rows, "id", Z, starts=3, max_rounds=40, seed=5)
+    fitted = mixture.fit_mixtures(rows, "id", Z, starts=5, max_rounds=500, seed=5)
     selection = mixture.select_mixture(rows, Z, fitted)
     return mixture.with_trajectory(rows, Z, selection), selection
 
@@ -427,13 +427,13 @@ def markov_intensities(spark, sf):
     people AS (SELECT state, id, row_number() OVER (PARTITION BY state ORDER BY substr(md5(CAST(id AS VARCHAR)), 1, 3), id) - 1 AS no FROM (SELECT DISTINCT state, id FROM x)),
     sizes AS (SELECT state, count(*) AS n FROM people GROUP BY 1),
     draws AS (SELECT sizes.state, r AS replicate, ('0x' || substr(md5('7|' || sizes.state || '|' || r || '|' || d), 1, 15))::BIGINT % n AS no
-      FROM sizes, (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS r), (SELECT unnest(range(0, 1000000)) AS d) WHERE d < n),
+      FROM sizes, (SELECT CAST(unnest(range(1, 51)) AS INTEGER) AS r), LATERAL (SELECT unnest(range(sizes.n)) AS d)),
     mult AS (SELECT state, replicate, no, count(*) AS times FROM draws GROUP BY 1, 2, 3)
     SELECT m.replicate, x.state, functional_state, destination_state, interval_years, round(CAST(sum(times * n_orders) AS DOUBLE), 6) AS weight
     FROM mult m JOIN people p ON p.state = m.state AND p.no = m.no JOIN x ON x.state = p.state AND x.id = p.id GROUP BY 1, 2, 3, 4, 5""",
 )
 def bootstrap_replicate_totals(spark, sf):
-    return rounded(markov.bootstrap_totals(exposed(spark, sf), "id", "state", 3, 7))
+    return rounded(markov.bootstrap_totals(exposed(spark, sf), "id", "state", 50, 7))
 
 
 @query("markov_bootstrap_ci")

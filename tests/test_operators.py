@@ -226,6 +226,19 @@ def test_checked_join_keeps_rows_without_a_key(spark):
         checked_join(left, twice, ["k"], "left", "many_to_one").collect()
 
 
+def test_quantile_table_of_many_groups(spark):
+    from panelwright.operators.quantiles import quantile_table
+
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") < 20_000, F.lit(None)).otherwise(F.col("id") % 20_000).alias("g"), F.col("id").cast("double").alias("v")
+    )
+    plain = quantile_table(rows, "v", [0.25, 0.5], ["g"])
+    apart = quantile_table(rows, "v", [0.25, 0.5], ["g"], small_group=1000)  # the rows without a group are searched for
+    assert apart.count() == 20_001
+    assert rows_of(apart, "g") == rows_of(plain, "g")
+    assert rows_of(plain, "g")[:2] == [(None, 4999.75, 9999.5), (0, 25000.0, 30000.0)]
+
+
 def test_quantiles_with_infinite_values(spark):
     import math
 
