@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CHANCE = 0.05
 
 
 def host_of(url: Column) -> Column:
@@ -42,6 +43,15 @@ def given_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return out
 
 
+def fixed_parts(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """The given rules' hosts and paths that a URL lies under: what the selection by these rules fixes."""
+    hosts = sorted({rule.partition("/")[0] for _, rule in rules})
+    paths = sorted({"/" + rule.partition("/")[2] for _, rule in rules} - {"/"})
+    under = [F.when((host == h) | F.endswith(host, F.lit("." + h)), F.lit("host:" + h)) for h in hosts]
+    under += [F.when(F.startswith(path, F.lit(p)), F.lit("path:" + p)) for p in paths]
+    return F.filter(F.array(*under, F.lit(None).cast("string")), lambda x: x.isNotNull())
+
+
 def tokens_of(url: Column) -> Column:
     """A URL's distinct tokens: scheme, each host suffix, path parts, file ending, query names, fragment.
 
@@ -81,7 +91,8 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
     The verdict is a token of its transaction; FP-growth's association rules that lead to it
     are kept if they have the support and confidence, at most ``most_tokens`` tokens, and no
     shorter rule of the same verdict among their parts that is as sure. An empty table or one
-    verdict only still gives rules; with no rows there are none.
+    verdict only still gives rules; with no rows there are none. With a column ``fixed`` (see
+    ``fixed_parts``) rules that restate the selection are left out, before any is pruned for them.
     """
     spark = labelled.sparkSession
     baskets = stored(
@@ -105,6 +116,8 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
         .withColumn("rule_id", F.monotonically_increasing_id()),
         "rules",
     )
+    if "fixed" in labelled.columns:
+        found = stored(beyond_selection(found, labelled, min_support, min_confidence), "beyond")
     # a shorter rule shares each of its tokens with the longer one: it is looked up by its first
     short, long_ = found.alias("s"), found.withColumn("token", F.explode("tokens")).alias("l")
     idle = long_.join(
@@ -118,33 +131,85 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
     return found.join(idle.distinct(), "rule_id", "left_anti").select("rule_id", "tokens", "verdict", "confidence", "support")
 
 
-def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The surest mined rule for each row of ``tokens``: adds ``mined`` (verdict, confidence, tokens).
+def held_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each row of ``tokens`` beside every rule that it holds whole, as a struct ``rule``.
 
     The inverted index posts a rule under its rarest token only; token sets look up
-    their own tokens, and a posting counts when the set holds the whole rule. Of rules equally
-    sure the best supported, then the shortest, then the first by name wins. Equal sets are
-    looked up once.
+    their own tokens, and a posting counts when the set holds the whole rule.
     """
-    distinct = sets.select("tokens").distinct().withColumn("set_id", F.xxhash64("tokens")).withColumn("token", F.explode("tokens"))
-    often = distinct.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rarest = Window.partitionBy("rule_id").orderBy("n", "token")  # a rule has few tokens
+    spread = sets.withColumn("token", F.explode("tokens"))
+    often = spread.groupBy("token").agg(F.count(F.lit(1)).alias("n_sets"))
+    rarest = Window.partitionBy("rule_id").orderBy("n_sets", "token")  # a rule has few tokens
     posted = (
         rules.withColumn("token", F.explode("tokens"))
         .join(often, "token")
         .withColumn("turn", F.row_number().over(rarest))
         .where("turn = 1")
-        .select("token", F.col("tokens").alias("need"), "verdict", "confidence", "support")
+        .select("token", F.struct("rule_id", F.col("tokens").alias("need"), "verdict", "confidence", "support").alias("rule"))
+    )
+    return spread.join(posted, "token").where(F.size(F.array_except("rule.need", "tokens")) == 0).drop("token")
+
+
+def beyond_selection(found: DataFrame, labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+    """The rules that say more than which URLs the given rules selected.
+
+    A given rule fixes a host and a path, and its verdict follows from them: what is seen under one
+    host or path only may be that selection itself. A rule stays if, for each of its URLs' fixed
+    parts, it has the support and confidence without the URLs under that part too, if it errs at
+    most half as often as its verdict does over all URLs, and if chance makes any of the rules tried
+    so sure with a probability of ``CHANCE`` at most (Chernoff's bound).
+    """
+    known = labelled.where(F.col("verdict").isNotNull())
+    sets = stored(
+        known.groupBy("tokens", "fixed", F.col("verdict").alias("label")).agg(F.count(F.lit(1)).alias("n")), "decided"
+    )
+    of_part = sets.select(F.explode("fixed").alias("part"), "n").groupBy("part").agg(F.sum("n").alias("part_n"))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    of_label = sets.groupBy(F.col("label").alias("verdict")).agg(F.sum("n").alias("label_n"))
+    hits = held_rules(sets, found).withColumn("hit", F.when(F.col("label") == F.col("rule.verdict"), F.col("n")).otherwise(0))
+    seen = stored(
+        hits.select("rule.rule_id", F.explode(F.array_append("fixed", F.lit("all"))).alias("part"), "n", "hit")
+        .groupBy("rule_id", "part")
+        .agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")),
+        "seen",
     )
-    best = (
-        distinct.join(posted, "token")
-        .where(F.size(F.array_except("need", "tokens")) == 0)
-        .groupBy("tokens")
-        .agg(
-            F.min(
-                F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("need").alias("k"), F.array_join("need", " ").alias("need"), "verdict")
-            ).alias("best")
+    whole = seen.where("part = 'all'").select("rule_id", F.col("n").alias("all_n"), F.col("hit").alias("all_hit"))
+    rest_n, rest_hit = F.col("all_n") - F.col("n"), F.col("all_hit") - F.col("hit")
+    restated = (
+        seen.join(whole, "rule_id").join(of_part, "part").crossJoin(total)
+        .where(
+            (rest_hit == 0)
+            | (rest_hit < F.lit(min_confidence) * rest_n)
+            | (rest_hit < F.lit(min_support) * (F.col("total") - F.col("part_n")))
         )
+        .select("rule_id")
+    )
+    errs = F.col("all_n") - F.col("all_hit")
+    usual = F.col("total") - F.col("label_n")
+    # hits and misses against those expected, in units of the log probability
+    gain = F.col("all_hit") * F.log(F.col("all_hit") * F.col("total") / (F.col("all_n") * F.col("label_n"))) + F.when(
+        errs > 0, errs * F.log(errs * F.col("total") / (F.col("all_n") * usual))
+    ).otherwise(0.0)
+    tried = found.agg(F.count(F.lit(1)).alias("tried"))
+    telling = (
+        found.select("rule_id", "verdict").join(whole, "rule_id").join(of_label, "verdict").crossJoin(total).crossJoin(tried)
+        .where((usual > 0) & (2 * errs * F.col("total") <= usual * F.col("all_n")))
+        .where(gain >= F.log(F.col("tried") / F.lit(CHANCE)))
+        .select("rule_id")
+    )
+    return found.join(telling, "rule_id", "left_semi").join(restated.distinct(), "rule_id", "left_anti")
+
+
+def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """The surest mined rule for each row of ``tokens``: adds ``mined`` (verdict, confidence, tokens).
+
+    Of rules equally sure the best supported, then the shortest, then the first by name wins.
+    Equal sets are looked up once.
+    """
+    best = held_rules(sets.select("tokens").distinct(), rules).select("tokens", "rule.*").groupBy("tokens").agg(
+        F.min(
+            F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("need").alias("k"), F.array_join("need", " ").alias("need"), "verdict")
+        ).alias("best")
     )
     return sets.join(best, "tokens", "left").withColumn(
         "mined", F.when(F.col("best").isNotNull(), F.struct(F.col("best.verdict").alias("verdict"), (-F.col("best.c")).alias("confidence"), F.col("best.need").alias("tokens")))
@@ -165,7 +230,8 @@ def judge(
 
     A given rule decides where one fits. Other URLs get the verdict of the surest mined
     rule, else ``default``. Rules are mined from ``labelled`` (``url`` and ``verdict``), or, without
-    it, from the URLs that given rules decide. NULL URLs, and URLs without ``://``, have an
+    it, from the URLs that given rules decide, as far as they say more than that selection
+    (``beyond_selection``). NULL URLs, and URLs without ``://``, have an
     empty host and path and few tokens or none. Each row is judged alone, so ties and repeated rows agree.
     """
     read = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).select(
@@ -173,7 +239,9 @@ def judge(
     ).withColumn("given", given_rule(F.col("host"), F.col("path"), rules))
     read = stored(read.drop("url"), "urls")
     known = (
-        read.where("given IS NOT NULL").select("tokens", F.col("given.verdict").alias("verdict"))
+        read.where("given IS NOT NULL").select(
+            "tokens", F.col("given.verdict").alias("verdict"), fixed_parts(F.col("host"), F.col("path"), rules).alias("fixed")
+        )
         if labelled is None
         else labelled.select(tokens_of(F.col(url)).alias("tokens"), "verdict")
     )

@@ -235,6 +235,23 @@ def test_mined_url_rules(spark):
     assert got[("t:b", "t:z")].verdict == "block" and got[("t:z",)] is None
 
 
+def test_mined_url_rules_go_beyond_the_selection(spark):
+    """What holds under one given host or path only is no rule; what holds across given hosts is."""
+    urls = [f"http://a{i}.example.com/{p}/{i}" for i in range(20) for p in ("de", "en", "fr")]
+    urls += [f"http://b{i}.example.net/{p}/{i}" for i in range(20) for p in ("es", "fr")]
+    open_ = [f"http://c{i}.example.{t}/{p}/{i}" for i in range(5) for t, p in (("net", "en"), ("net", "de"), ("org", "en"), ("org", "de"))]
+    frame = spark.createDataFrame(list(enumerate(urls + open_)), "page_id long, url string")
+    got = url_filter.judge(frame, URL_RULES).where("rule IS NULL").collect()
+    assert len(got) == len(open_) and {(r.verdict, r.by, r.confidence) for r in got} == {("allow", "default", None)}
+
+    rules = [("allow", "good.org/"), ("block", "bad.net/"), ("block", "worse.com/")]
+    urls = [f"http://{h}/{i}?{q}=1" for i in range(20) for h, q in (("good.org", "id"), ("bad.net", "sid"), ("worse.com", "sid"))]
+    frame = spark.createDataFrame(list(enumerate([*urls, "http://new.de/1?sid=2", "http://new.de/1?id=2"])), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(frame, rules).where("rule IS NULL").collect()}
+    assert (got[60].verdict, got[60].by, got[60].confidence) == ("block", "mined", 1.0)
+    assert (got[61].verdict, got[61].by) == ("allow", "default")
+
+
 def test_quality_classifier(spark, docs, odd, none):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = QUERIES["op3_quality_classifier"](spark, SF).collect()
