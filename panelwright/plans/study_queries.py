@@ -75,11 +75,10 @@ def impute_chained(spark, sf):
 
 
 @query("multiple_imputation_rr")
-def multiple_imputation_rr(spark, sf):
+def multiple_imputation_rr(spark, sf, m=20, rounds=20):
     """Weights and models refitted on every imputation in shared passes, then pooled."""
-    m = 5
     people = imputation_rows(spark, sf)
-    chains = impute.fit_chains(people, "id", MATRIX, draws=m, rounds=3, seed=12)
+    chains = impute.fit_chains(people, "id", MATRIX, draws=m, rounds=rounds, seed=12)
     drawn = impute.completed(people, chains, ["balance_k"], seed=12).select("id", "balance_k_draws")
     rows = S.modelled(S.with_people(S.intervals(spark, sf), spark, sf))
     rows = stored(joins.checked_join(rows, drawn, ["id"]), "imputed")

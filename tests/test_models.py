@@ -333,3 +333,13 @@ def test_undeclared_levels_and_absent_reference(spark):
     absent = fit_models(df.filter("g in (1, 2)"), [Model("m", F.col("y"), (Cat("g", 0, (0, 1, 2)),))], cluster="id")["m"]
     assert effects.ratio(absent, {"g[1]": 1.0})["estimate"] is None
     assert effects.ratio(absent, {"g[2]": 1.0, "g[1]": -1.0})["estimate"] == pytest.approx(1.0)
+
+
+def test_pooled_query_makes_twenty_draws_of_twenty_rounds(spark, monkeypatch):
+    from panelwright.plans import QUERIES
+
+    made, fit_chains = [], impute.fit_chains
+    monkeypatch.setattr(impute, "fit_chains", lambda *a, **b: made.append(fit_chains(*a, **b)) or made[-1])
+    rows = QUERIES["multiple_imputation_rr"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["imputations"] for r in rows} == {20}
+    assert [(c.draws, len({r for r, _, _ in c.steps})) for c in made] == [(20, 20)]
