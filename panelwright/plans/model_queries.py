@@ -16,7 +16,7 @@ from ..models.glm import Model, fit_models, model_audit
 from ..models.weights import marginal_structural_weights, observation_weights
 from ..operators import joins
 from ..operators.sequences import HISTORY_GROUPS, mean_normalised, standardise_within
-from ..operators.summaries import fill_missing
+from ..operators.summaries import fill_missing, gate
 from ..sources.tables import stored
 from . import standin as S
 from .interval_queries import (
@@ -695,6 +695,52 @@ def adjusted_rr_full(spark, sf):
     return rounded(E.as_table(spark, out, E.RATIO_FIELDS))
 
 
+#: Rules on fitted intervals: name, key transition, comparison, and the bound that must be above or below one.
+GATE_INTERVALS = [
+    ("both_predicts_flagged", "Settled to flagged", "Both", "ci_low"),
+    ("both_adds_to_high_spend", "Pending to flagged", "Both vs High spend only", "ci_low"),
+    ("both_reduces_settling", "Pending to settled", "Both", "ci_high"),
+]
+
+
+def key_gate(rows, ratios, least_people=5000, least_events=200, above=1.0, below=1.0):
+    """Size, events of every key transition and three fitted intervals, five rules, and the decision.
+
+    A rule on an interval that no model gave does not hold.
+    """
+    moves = {
+        f"events_{label.lower().replace(' ', '_')}": R.flag(
+            (F.col("functional_state") == origin) & F.col("destination_state").isin(destinations)
+        )
+        for origin, destinations, label in S.KEY_TRANSITIONS
+    }
+    checks = rows.agg(
+        F.count(F.lit(1)).alias("intervals"),
+        F.countDistinct("id").alias("people"),
+        *[F.coalesce(F.sum(event), F.lit(0)).alias(name) for name, event in moves.items()],
+    )
+    found = {(r["model"], r["comparison"]): r for r in ratios}
+    rules = {
+        "enough_people": F.col("people") >= least_people,
+        "enough_events": F.least(*moves) >= least_events,
+    }
+    for name, model, comparison, bound in GATE_INTERVALS:
+        value = found.get((model, comparison), {}).get(bound)
+        checks = checks.withColumn(f"{name}_{bound}", F.lit(value).cast("double"))
+        column = F.col(f"{name}_{bound}")
+        rules[name] = column > above if bound == "ci_low" else column < below
+    return gate(checks, rules)
+
+
+@query("decision_gate_full")
+def decision_gate_full(spark, sf, least_people=5000, least_events=200, above=1.0, below=1.0):
+    """All five rules of the gate, on the observation-weighted, adjusted models of the key transitions."""
+    rows, _ = fully_weighted(spark, sf)
+    fits = fit_models(rows, transition_models([STATE, *COVARIATES], "iow"), cluster="id")
+    ratios = [r for f in fits.values() for r in E.ratio_rows(f, "state", [1, 2, 3], S.STATE_LABELS, CONTRASTS)]
+    return rounded(key_gate(rows, ratios, least_people, least_events, above, below))
+
+
 @query("adjusted_absolute_risks")
 def adjusted_absolute_risks(spark, sf):
     rows, _ = fully_weighted(spark, sf)

@@ -343,3 +343,23 @@ def test_pooled_query_makes_twenty_draws_of_twenty_rounds(spark, monkeypatch):
     rows = QUERIES["multiple_imputation_rr"](spark, "/root/testdata/sf0.01").collect()
     assert {r["imputations"] for r in rows} == {20}
     assert [(c.draws, len({r for r, _, _ in c.steps})) for c in made] == [(20, 20)]
+
+
+def test_gate_needs_all_five_rules(spark):
+    from panelwright.plans.model_queries import GATE_INTERVALS, decision_gate_full, key_gate
+
+    moves = [(0, 2), (1, 2), (1, 0), (2, 0), (2, 1)]
+    rows = spark.createDataFrame([(10 * i + k, o, d) for i in range(3) for k, (o, d) in enumerate(moves)], "id int, functional_state int, destination_state int")
+    good = [{"model": m, "comparison": c, "ci_low": 1.1 if b == "ci_low" else 0.5, "ci_high": 2.0 if b == "ci_low" else 0.9} for _, m, c, b in GATE_INTERVALS]
+    whole = key_gate(rows, good, 15, 3).first()
+    assert whole["decision"] == "CONTINUE" and whole["events_flagged_to_better"] == 6
+    few = key_gate(rows.filter("not (functional_state = 1 and destination_state = 0 and id > 10)"), good, 1, 3).first()
+    assert (few["enough_events"], few["decision"]) == (False, "STOP")
+    assert key_gate(rows, good, 16, 3).first()["decision"] == "STOP"
+    for i, (name, *_) in enumerate(GATE_INTERVALS):
+        for other in ([{**good[i], "ci_low": 0.9, "ci_high": 1.2}], []):
+            row = key_gate(rows, good[:i] + other + good[i + 1 :], 15, 3).first()
+            assert (row[name], row["decision"]) == (False, "STOP")
+
+    row = decision_gate_full(spark, "/root/testdata/sf0.01").first()
+    assert row["decision"] == "STOP" and not row["enough_people"]
