@@ -642,6 +642,21 @@ GRID_SQL = ", ".join(
 )
 def model_grid(spark, sf):
     """Eleven transitions under five specifications: 55 fits that share every pass."""
+    audit = model_audit(spark, grid_fits(spark, sf))
+    return audit.select("model", "n", "events", "people", "converged")
+
+
+@query("model_grid_ratios")
+def model_grid_ratios(spark, sf):
+    """The ratios of every fit of the grid beside its audit; a fit without any keeps one row."""
+    fits = grid_fits(spark, sf)
+    out = [r for f in fits.values() for r in E.ratio_rows(f, "state", [1, 2, 3], S.STATE_LABELS, CONTRASTS)]
+    ratios = E.as_table(spark, out, E.RATIO_FIELDS).drop("n_intervals", "events", "people")
+    audit = model_audit(spark, fits).select("model", "n", "events", "people", "converged", "error")
+    return rounded(audit.join(ratios, "model", "left"))
+
+
+def grid_fits(spark, sf):
     rows = weighted(spark, sf)
     specs = [(o, d, f"{o}->{'+'.join(map(str, d))}") for o, d in GRID]
     wave = Cat("wave", levels=(1, 2, 3, 4, 5))
@@ -652,8 +667,7 @@ def model_grid(spark, sf):
         + transition_models([STATE], "w", specs, F.col("n_orders") >= 2, " repeat orders")
         + transition_models([STATE], "w", specs, F.col("wave") <= 4, " first waves")
     )
-    audit = model_audit(spark, fit_models(rows, models, cluster="id"))
-    return audit.select("model", "n", "events", "people", "converged")
+    return fit_models(rows, models, cluster="id")
 
 
 COVARIATES = (

@@ -363,3 +363,23 @@ def test_gate_needs_all_five_rules(spark):
 
     row = decision_gate_full(spark, "/root/testdata/sf0.01").first()
     assert row["decision"] == "STOP" and not row["enough_people"]
+
+
+def test_grid_ratios_against_closed_forms(spark):
+    """Every fit has its five ratios; those of the weighted one-factor models are the closed form's."""
+    from oracle import connect
+    from panelwright.plans import model_queries as M
+
+    sf = "/root/testdata/sf0.01"
+    got = {(r["model"], r["comparison"]): r for r in M.model_grid_ratios(spark, sf).collect()}
+    assert len({m for m, _ in got}) == 5 * len(M.GRID)
+    sql = f"""WITH {M.S.SQL_INTERVALS}, grid(name, origin, d1, d2) AS (VALUES {M.GRID_SQL}),
+    r AS (SELECT name || ' weighted' AS model, id, state AS g, CAST(n_orders AS DOUBLE) AS w, CASE WHEN destination_state IN (d1, d2) THEN 1.0 ELSE 0.0 END AS y
+      FROM obs JOIN grid ON functional_state = origin),
+    {M.sql_saturated(4)}, {M.PAIRS_STATE}, {M.SQL_PAIRS} SELECT model, comparison, exp(b), se FROM est WHERE b IS NOT NULL AND isfinite(b)"""
+    sql = sql.replace("ln(hi.mu / lo.mu)", "CASE WHEN hi.mu > 0 AND lo.mu > 0 THEN ln(hi.mu / lo.mu) END")
+    want = connect(sf).sql(sql).fetchall()
+    assert len(want) >= 30
+    for model, comparison, estimate, se in want:
+        row = got[model, comparison]
+        assert row["estimate"] == pytest.approx(estimate, abs=2e-6, rel=1e-5) and row["se_log"] == pytest.approx(se, abs=2e-6, rel=1e-5)
