@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    centroids,
     embedding_dedup,
+    language_crf,
     line_dedup,
     mixing,
     near_join,
@@ -19,6 +21,7 @@ from . import (
     secrets_scan,
     toxicity,
     url_filter,
+    whitening,
 )
 from .common import crc_fold, table
 
@@ -142,3 +145,58 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     digest = F.sha2(secrets_scan.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, secrets_scan.listed(F.col("found")).alias("spans"))
+
+
+def centroid_sql(dim: int = 64, k: int = 8, rounds: int = 10) -> str:
+    """The same rounds as a chain of tables; whole numbers as doubles stay exact far below 2^53."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS BIGINT) AS cluster, x FROM kept
+  ORDER BY cluster LIMIT {k})""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, x, best % {k} AS cluster, best // {k} AS distance FROM (
+    SELECT rid, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, min(CAST(list_inner_product(v.x, v.x)
+      - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x) AS BIGINT) * {k} + c.cluster) AS best
+    FROM kept v CROSS JOIN c{r} c GROUP BY rid))"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT cluster, list(floor(s / n) ORDER BY i) AS x FROM (
+      SELECT cluster, i, sum(x[i]) AS s, count(*) AS n
+      FROM a{r}, (SELECT unnest(range(1, {dim + 1})) AS i) GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = c.cluster)"""
+            )
+    return (
+        "WITH "
+        + ", ".join(steps)
+        + f"""
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.x, lambda v: CAST(v AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+    )
+
+
+@query("op11_centroid_clustering", centroid_sql())
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_crf.train(docs.where(crc_fold(F.col("doc_id"), 4) != 2))
+    asked = docs.select("doc_id", "text", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"))
+    return language_crf.predict(asked, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
