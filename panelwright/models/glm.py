@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.recode import all_present
+from ..matrices import PARTS, emitted, tree_sum
 from .design import Term, design_columns, find_levels, is_discrete, used_columns, declared_levels
 
 MAX_CELLS = 50_000
 MAX_ROUNDS = 40
+MAX_CROSSING = 100_000
 DECREMENT = 1e-16  # squared size of a step in standard errors
 STALL = 1e-8  # relative change of the log-likelihood, two rounds running
 
@@ -393,6 +395,7 @@ class _RowEngine:
 
     def sums(self, betas):
         plans, width, models = self.layout.plans, len(self.layout.union), len(self.layout.plans)
+        sizes = {i: len(self.layout.names(i)) for i in betas}
 
         def add_up(batches: Iterator[pa.RecordBatch]):
             total: dict[int, np.ndarray] = {}
@@ -406,14 +409,15 @@ class _RowEngine:
                     xm = x[inside][:, plans[i].columns]
                     part = step_sums(xm, y[inside, i], w, n, beta, plans[i].family, plans[i].classes)
                     total[i] = total[i] + part if i in total else part
-            yield _emit(total)
+            yield emitted({i: _packed(t, sizes[i]) for i, t in total.items()})
 
-        return _sum_arrays(self.table.mapInArrow(add_up, STATS))
+        return {i: _unpacked(t, sizes[i]) for i, t in tree_sum(self.table.mapInArrow(add_up, PARTS)).items()}
 
     def meats(self, fits):
         clustered = {i: f for i, f in fits.items() if self.layout.plans[i].errors == "cluster"}
         others = {i: (f.beta, f.bread) for i, f in fits.items() if i not in clustered}
         plans, width, models = self.layout.plans, len(self.layout.union), len(self.layout.plans)
+        sizes = {i: len(f.names) for i, f in fits.items()}
 
         def add_up(batches: Iterator[pa.RecordBatch]):
             total: dict[int, np.ndarray] = {}
@@ -426,17 +430,26 @@ class _RowEngine:
                     r = residuals(xm, y[inside, i], w, beta, bread, plans[i].family, plans[i].errors)
                     part = ((xm * (r * r)[:, None]).T @ xm).ravel()
                     total[i] = total[i] + part if i in total else part
-            yield _emit(total)
+            yield emitted({i: _packed(t, sizes[i]) for i, t in total.items()})
 
         out = {}
         if others:
-            for i, flat in _sum_arrays(self.table.mapInArrow(add_up, STATS)).items():
-                k = len(fits[i].names)
-                out[i] = (flat.reshape(k, k), 0)
+            for i, flat in tree_sum(self.table.mapInArrow(add_up, PARTS)).items():
+                k = sizes[i]
+                out[i] = (_unpacked(flat, k).reshape(k, k), 0)
         return {**out, **_cluster_meats(self.layout, clustered)}
 
 
-STATS = "model int, stat array<double>"
+def _packed(flat: np.ndarray, k: int) -> np.ndarray:
+    """A symmetric k x k matrix and what follows it, without the lower triangle."""
+    return np.concatenate([flat[: k * k].reshape(k, k)[np.triu_indices(k)], flat[k * k :]])
+
+
+def _unpacked(flat: np.ndarray, k: int) -> np.ndarray:
+    half = k * (k + 1) // 2
+    full = np.zeros((k, k))
+    full[np.triu_indices(k)] = flat[:half]
+    return np.concatenate([(full + np.triu(full, 1).T).ravel(), flat[half:]])
 
 
 def _read(batches, width, models, plans, cluster=False):
@@ -452,72 +465,134 @@ def _read(batches, width, models, plans, cluster=False):
         yield x, y, weights, batch.column("__cluster") if cluster else None
 
 
-def _emit(total: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(list(total), pa.int32()),
-            pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64())),
-        ],
-        names=["model", "stat"],
-    )
-
+def crossing_clusters(rows: DataFrame, cluster: str) -> DataFrame:
+    """The clusters with rows in more than one partition of a persisted or bucketed table.
 
-def _sum_arrays(stats: DataFrame) -> dict[int, np.ndarray]:
-    """Element-wise sum of each model's arrays over all tasks."""
-    summed = (
-        stats.select("model", F.posexplode("stat").alias("pos", "v"))
-        .groupBy("model", "pos")
-        .agg(F.sum("v").alias("v"))
-        .collect()
-    )
-    size: dict[int, int] = {}
-    for r in summed:
-        size[r["model"]] = max(size.get(r["model"], 0), r["pos"] + 1)
-    out = {i: np.zeros(n) for i, n in size.items()}
-    for r in summed:
-        out[r["model"]][r["pos"]] = r["v"]
-    return out
+    Where the rows are already dealt by cluster (a window or join by person, a bucketed hub) this
+    needs no exchange and finds none.
+    """
+    at = rows.select(cluster, F.spark_partition_id().alias("__at"))
+    ends = at.groupBy(cluster).agg(F.min("__at").alias("lo"), F.max("__at").alias("hi"))
+    return ends.filter("lo < hi").select(cluster)
 
 
 def _cluster_meats(layout: _Layout, fits: dict[int, Fit]):
     """Outer products of each cluster's summed scores.
 
-    Scores are added up per batch, then per (model, cluster) with map-side combining, so a
-    cluster holding much of the data is spread over tasks until only its sum is left.
+    A cluster whose rows lie in one partition is summed up there, in cluster order, and only
+    k x k sums leave the task. Scores move for the clusters that cross partitions alone; with
+    more than ``MAX_CROSSING`` of those, for all.
     """
     if not fits:
         return {}
-    plans, width, models = layout.plans, len(layout.union), len(layout.plans)
+    rows = layout.rows
+    crossing = crossing_clusters(rows, "__cluster").limit(MAX_CROSSING + 1).collect()
+    parts = []
+    if len(crossing) <= MAX_CROSSING:
+        inside = rows
+        if crossing:
+            few = F.broadcast(rows.sparkSession.createDataFrame(crossing, rows.select("__cluster").schema))
+            inside = rows.join(few, "__cluster", "left_anti")
+            parts.append(_meats_across(layout, fits, rows.join(few, "__cluster", "left_semi")))
+        parts.append(_meats_inside(layout, fits, inside))
+    else:
+        parts.append(_meats_across(layout, fits, rows))
+    out = {}
+    for i, fit in fits.items():
+        k = len(fit.names)
+        found = [p[i] for p in parts if i in p]
+        if found:
+            flat = sum(found[1:], found[0])
+            out[i] = (_unpacked(flat[:-1], k).reshape(k, k), flat[-1])
+    return out
+
+
+def _scores(layout: _Layout, fits: dict[int, Fit]):
+    """A function from a batch of ``_read`` to each model's used rows and their scores."""
     betas = {i: f.beta for i, f in fits.items()}
-    longest = max(len(f.names) for f in fits.values())
-    cluster_type = layout.rows.schema["__cluster"].dataType
+    plans = layout.plans
+
+    def of(x, y, weights):
+        for i, beta in betas.items():
+            inside = ~np.isnan(y[:, i])
+            if not inside.any():
+                continue
+            xm = x[inside][:, plans[i].columns]
+            r = y[inside, i] - mean_response(xm, beta, plans[i].family)
+            if plans[i].weight is not None:
+                r = r * weights[plans[i].weight][inside]
+            yield i, inside, xm * r[:, None]
+
+    return of
+
+
+def _outer(s: np.ndarray) -> np.ndarray:
+    """The packed sum of outer products of rows, and their number."""
+    k = s.shape[1]
+    return np.concatenate([_packed((s.T @ s).ravel(), k), [len(s)]])
+
+
+def _meats_inside(layout: _Layout, fits: dict[int, Fit], rows: DataFrame) -> dict[int, np.ndarray]:
+    plans, width, models = layout.plans, len(layout.union), len(layout.plans)
+    more = [f"__w{j}" for j in range(len(layout.weights))]
+    table = layout.arrays(rows.sortWithinPartitions("__cluster"), "__cluster", *more)
+    scores = _scores(layout, fits)
+
+    def add_up(batches: Iterator[pa.RecordBatch]):
+        total: dict[int, np.ndarray] = {}
+        held: dict[int, tuple] = {}  # of each model the last cluster met and its scores so far
+
+        def settle(i: int, sums: np.ndarray) -> None:
+            part = _outer(sums)
+            total[i] = total[i] + part if i in total else part
+
+        for x, y, weights, owner in _read(batches, width, models, plans, cluster=True):
+            coded = owner.dictionary_encode()
+            codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+            for i, used, score in scores(x, y, weights):
+                own = codes[used]
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                summed = np.add.reduceat(score, starts, axis=0)
+                if i in held:
+                    if held[i][0] == names[int(own[0])].as_py():
+                        summed[0] += held[i][1]
+                    else:
+                        settle(i, held[i][1][None])
+                settle(i, summed[:-1])
+                held[i] = (names[int(own[-1])].as_py(), summed[-1])
+        for i, (_, last) in held.items():
+            settle(i, last[None])
+        yield emitted(total)
+
+    return tree_sum(table.mapInArrow(add_up, PARTS))
+
+
+def _meats_across(layout: _Layout, fits: dict[int, Fit], rows: DataFrame) -> dict[int, np.ndarray]:
+    """Scores are added up per batch, then per (model, cluster) with map-side combining."""
+    plans, width, models = layout.plans, len(layout.union), len(layout.plans)
+    sizes = {i: len(f.names) for i, f in fits.items()}
+    longest = max(sizes.values())
     scores_schema = StructType(
         [
             StructField("model", IntegerType()),
-            StructField("__cluster", cluster_type),
+            StructField("__cluster", layout.rows.schema["__cluster"].dataType),
             StructField("s", ArrayType(DoubleType())),
         ]
     )
     more = [f"__w{j}" for j in range(len(layout.weights))]
-    table = layout.arrays(layout.rows, "__cluster", *more)
+    table = layout.arrays(rows, "__cluster", *more)
+    scores = _scores(layout, fits)
 
-    def scores(batches: Iterator[pa.RecordBatch]):
+    def add_scores(batches: Iterator[pa.RecordBatch]):
         for x, y, weights, owner in _read(batches, width, models, plans, cluster=True):
             coded = owner.dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False)
-            for i, beta in betas.items():
-                inside = ~np.isnan(y[:, i])
-                if not inside.any():
-                    continue
-                xm = x[inside][:, plans[i].columns]
-                r = y[inside, i] - mean_response(xm, beta, plans[i].family)
-                if plans[i].weight is not None:
-                    r = r * weights[plans[i].weight][inside]
-                order = np.argsort(codes[inside], kind="stable")
-                own = codes[inside][order]
+            for i, used, score in scores(x, y, weights):
+                order = np.argsort(codes[used], kind="stable")
+                own = codes[used][order]
                 starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 summed = np.zeros((len(starts), longest))
-                summed[:, : xm.shape[1]] = np.add.reduceat((xm * r[:, None])[order], starts, axis=0)
+                summed[:, : score.shape[1]] = np.add.reduceat(score[order], starts, axis=0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(starts), i, dtype=np.int32)),
@@ -531,7 +606,7 @@ def _cluster_meats(layout: _Layout, fits: dict[int, Fit]):
                 )
 
     per_cluster = (
-        table.mapInArrow(scores, scores_schema)
+        table.mapInArrow(add_scores, scores_schema)
         .groupBy("model", "__cluster")
         .agg(*[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(longest)])
         .select("model", F.array(*[f"s{j}" for j in range(longest)]).alias("s"))
@@ -545,16 +620,11 @@ def _cluster_meats(layout: _Layout, fits: dict[int, Fit]):
             which = batch.column("model").to_numpy()
             s = _matrix(batch.column("s"), longest)
             for i in np.unique(which):
-                own = s[which == i]
-                part = np.concatenate([(own.T @ own).ravel(), [len(own)]])
+                part = _outer(s[which == i][:, : sizes[int(i)]])
                 total[int(i)] = total[int(i)] + part if int(i) in total else part
-        yield _emit(total)
+        yield emitted(total)
 
-    out = {}
-    for i, flat in _sum_arrays(per_cluster.mapInArrow(outer, STATS)).items():
-        k = len(fits[i].names)
-        out[i] = (flat[:-1].reshape(longest, longest)[:k, :k], flat[-1])
-    return out
+    return tree_sum(per_cluster.mapInArrow(outer, PARTS))
 
 
 def predicted(

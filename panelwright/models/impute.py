@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.recode import all_present
+from ..matrices import PARTS, emitted, tree_sum
 from ..sources.tables import stored
 from .effects import HAND, number, p_value
-from .glm import STATS, Fit, _emit, _matrix, _sum_arrays
+from .glm import Fit, _matrix
 
 
 def keyed_normals(keys: np.ndarray, *stream: int) -> np.ndarray:
@@ -145,9 +146,9 @@ def fit_chains(
                 v = np.column_stack([np.ones(batch.num_rows), _matrix(batch.column("v"), width)])
                 part = (v.T @ v).ravel()
                 total[0] = total[0] + part if total else part
-        yield _emit(total)
+        yield emitted(total)
 
-    base = _sum_arrays(table.filter(complete).mapInArrow(joint, STATS)).get(0, np.zeros((width + 1) ** 2))
+    base = tree_sum(table.filter(complete).mapInArrow(joint, PARTS)).get(0, np.zeros((width + 1) ** 2))
     unset = F.lit(None).cast("array<double>").alias("state")
     partial = stored(table.filter(~complete).select("key_hash", "v", unset), "incomplete")
     for round_no in range(rounds if order else 0):
@@ -214,9 +215,9 @@ def _current_grams(partial: DataFrame, chains: Chains, order: list[int], target:
                 z = np.column_stack([np.ones(state.shape[1]), state[k]])
                 part = (z.T @ z).ravel()
                 total[k] = total[k] + part if k in total else part
-        yield _emit(total)
+        yield emitted(total)
 
-    return _sum_arrays(partial.mapInArrow(add_up, STATS))
+    return tree_sum(partial.mapInArrow(add_up, PARTS))
 
 
 def completed(df: DataFrame, chains: Chains, take: Sequence[str], seed: int = 0) -> DataFrame:

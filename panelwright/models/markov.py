@@ -6,13 +6,16 @@ adds those up; what is fitted per group is a table of a few dozen rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    ArrayType,
     BooleanType,
     DoubleType,
     IntegerType,
@@ -24,6 +27,7 @@ from pyspark.sql.types import (
 from ..bounded import collect_bounded
 from ..operators.quantiles import exact_quantiles
 from ..operators.summaries import transition_totals
+from ..sources.tables import stored
 
 LOW, HIGH = -10.0, 3.0
 
@@ -132,12 +136,96 @@ def fit_intensities(
 
 
 def counts_from(table: pd.DataFrame, origin, destination, length, weight, states) -> dict[float, np.ndarray]:
+    """The table of one fit, as ``fit_intensities`` takes it."""
     counts: dict[float, np.ndarray] = {}
     for i, j, t, w in zip(table[origin], table[destination], table[length], table[weight]):
         counts.setdefault(float(t), np.zeros((states + 1, states + 1)))[int(i), int(j)] += float(w)
     return counts
 
 
+def _stacked_slopes(theta: np.ndarray, states: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """P(t) of every fit of a stack, and its derivatives by each log rate, shapes (fits, s, s) and (fits, edges, s, s)."""
+    size, edges = states + 1, edges_of(states)
+    q = stacked_intensities(theta, states)
+    blocks = np.zeros((len(theta), len(edges), 2 * size, 2 * size))
+    blocks[:, :, :size, :size] = blocks[:, :, size:, size:] = q[:, None]
+    for e, (i, j) in enumerate(edges):
+        rate = np.exp(theta[:, e])
+        blocks[:, e, i, size + j] = rate
+        blocks[:, e, i, size + i] = -rate
+    both = matrix_exponential(blocks * t)
+    return both[:, 0, :size, :size], both[:, :, :size, size:]
+
+
+def stacked_intensities(theta: np.ndarray, states: int) -> np.ndarray:
+    q = np.zeros((len(theta), states + 1, states + 1))
+    for e, (i, j) in enumerate(edges_of(states)):
+        q[:, i, j] = np.exp(theta[:, e])
+        q[:, i, i] -= q[:, i, j]
+    return q
+
+
+def _stacked_loglik(theta: np.ndarray, states: int, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    q = stacked_intensities(theta, states)
+    p = matrix_exponential(q[:, None] * lengths[None, :, None, None])
+    return (counts * np.log(np.maximum(p, 1e-12))).sum(axis=(1, 2, 3))
+
+
+def fit_stack(
+    counts: np.ndarray, lengths: np.ndarray, states: int, start: np.ndarray | None = None, max_rounds: int = 1000
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``fit_intensities`` for many tables at once: the same steps, each fit with its own damping.
+
+    ``counts`` has shape (fits, lengths, s, s), zero where a fit lacks a length. Returns log
+    rates, log-likelihoods and whether each converged; fits leave the stack as they settle.
+    """
+    n, edges = len(counts), edges_of(states)
+    if start is None:
+        moves, time = counts.sum(axis=1), (counts.sum(axis=3) * lengths[None, :, None]).sum(axis=1)
+        start = np.log(np.stack([np.maximum(moves[:, i, j] / np.maximum(time[:, i], 1.0), 0.002) for i, j in edges], axis=1))
+    theta = np.clip(np.array(start, dtype=float), LOW, HIGH)
+    value = _stacked_loglik(theta, states, counts, lengths)
+    damping, converged, total = np.full(n, 1e-6), np.zeros(n, bool), counts.sum(axis=(1, 2, 3))
+    active = np.arange(n)
+    for _ in range(max_rounds):
+        if not len(active):
+            break
+        now, own = theta[active], counts[active]
+        score, information = np.zeros((len(active), len(edges))), np.zeros((len(active), len(edges), len(edges)))
+        for at, t in enumerate(lengths):
+            p, slopes = _stacked_slopes(now, states, t)
+            p = np.maximum(p, 1e-12)
+            w = own[:, at]
+            score += np.einsum("geij,gij->ge", slopes, w / p)
+            information += np.einsum("geij,gfij,gij->gef", slopes, slopes, w.sum(axis=2)[:, :, None] / p)
+        free = ~(((now <= LOW) & (score < 0)) | ((now >= HIGH) & (score > 0)))
+        score = score * free
+        inside = information * free[:, :, None] * free[:, None, :]
+        diagonal = np.einsum("gee->ge", inside)
+        inside = inside + np.eye(len(edges)) * (~free)[:, None, :]
+        flat = np.abs(score).max(axis=1) <= 1e-4 * np.maximum(1.0, total[active])
+        better, pending = np.zeros(len(active), bool), np.arange(len(active))
+        trial, new = now.copy(), np.full(len(active), -np.inf)
+        while len(pending):
+            ridge = damping[active[pending]] * diagonal[pending].max(axis=1) + 1e-9
+            step = np.linalg.solve(inside[pending] + np.eye(len(edges)) * ridge[:, None, None], score[pending][:, :, None])[:, :, 0]
+            trial[pending] = np.clip(now[pending] + np.clip(step * free[pending], -2, 2), LOW, HIGH)
+            new[pending] = _stacked_loglik(trial[pending], states, own[pending], lengths)
+            good = new[pending] >= value[active[pending]]
+            better[pending[good]] = True
+            damping[active[pending[good]]] = np.maximum(damping[active[pending[good]]] / 5, 1e-9)
+            pending = pending[~good]
+            damping[active[pending]] *= 4
+            pending = pending[damping[active[pending]] < 1e12]
+        gain = np.where(better, new - value[active], np.inf)
+        theta[active[better]], value[active[better]] = trial[better], new[better]
+        settled = flat & (gain <= 1e-10 * np.maximum(1.0, np.abs(value[active])))
+        converged[active[settled]] = True
+        converged[active[~better]] = flat[~better]
+        active = active[better & ~settled]
+    return theta, value, converged
+
+
 def fit_groups(
     totals: DataFrame,
     groups: Sequence[str],
@@ -148,29 +236,56 @@ def fit_groups(
     weight: str = "weight",
     starts: Mapping[tuple, Sequence[float]] | None = None,
     start_by: Sequence[str] = (),
+    stack: int = 256,
 ) -> DataFrame:
-    """Intensities of every group from its transition totals, groups in parallel.
+    """Intensities of every group from its transition totals.
 
-    A group has at most origins x destinations x lengths rows, however large the panel was.
-    ``starts`` gives log rates to begin from, by the values of ``start_by``.
+    A group has at most origins x destinations x lengths rows, however large the panel was. A task fits
+    its groups together, ``stack`` at a time. ``starts`` gives log rates to begin from, by the values of
+    ``start_by``; other groups begin at their crude rates.
     """
     groups, start_by = list(groups), list(start_by)
     results = [("origin", IntegerType()), ("target", IntegerType()), ("rate", DoubleType()), ("loglik", DoubleType()), ("converged", BooleanType())]
     schema = StructType([*[totals.schema[c] for c in groups], *[StructField(n, t) for n, t in results]])
     known = dict(starts or {})
-
-    def fit(table: pd.DataFrame) -> pd.DataFrame:
-        first = table.iloc[0]
-        counts = counts_from(table, origin, destination, length, weight, states)
-        begin = known.get(tuple(first[c].item() if hasattr(first[c], "item") else first[c] for c in start_by))
-        theta, value, converged = fit_intensities(counts, states, None if begin is None else np.array(begin))
-        out = pd.DataFrame(edges_of(states), columns=["origin", "target"])
-        out["rate"], out["loglik"], out["converged"] = np.exp(theta), value, converged
-        for c in reversed(groups):
-            out.insert(0, c, first[c])
-        return out
-
-    return totals.groupBy(*groups).applyInPandas(fit, schema)
+    size = states + 1
+
+    def fitted(table: pd.DataFrame, codes: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, int(codes.max(initial=-1)) + 1, stack):
+            own = (codes >= at) & (codes < at + stack)
+            part, code = table[own], codes[own] - at
+            lengths, place = np.unique(part[length].to_numpy(dtype=float), return_inverse=True)
+            counts = np.zeros((int(code.max()) + 1, len(lengths), size, size))
+            np.add.at(counts, (code, place, part[origin].to_numpy(dtype=int), part[destination].to_numpy(dtype=int)), part[weight].to_numpy(dtype=float))
+            names = part[groups].iloc[np.unique(code, return_index=True)[1]].reset_index(drop=True)
+            begin = None
+            if known:
+                given = [known.get(tuple(v.item() if hasattr(v, "item") else v for v in r)) for r in names[start_by].itertuples(index=False)]
+                crude = [starting_rates(dict(zip(lengths, c)), states) for c in counts]
+                begin = np.array([c if g is None else g for g, c in zip(given, crude)])
+            theta, value, converged = fit_stack(counts, lengths, states, begin)
+            edges = edges_of(states)
+            out = names.loc[names.index.repeat(len(edges))].reset_index(drop=True)
+            out["origin"] = np.tile([i for i, _ in edges], len(names)).astype(np.int32)
+            out["target"] = np.tile([j for _, j in edges], len(names)).astype(np.int32)
+            out["rate"] = np.exp(theta).ravel()
+            out["loglik"], out["converged"] = np.repeat(value, len(edges)), np.repeat(converged, len(edges))
+            yield out
+
+    def fit(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last group met, which the next batch may continue
+        for table in tables:
+            table = table if held is None else pd.concat([held, table], ignore_index=True)
+            if not len(table):
+                continue
+            codes = table.groupby(groups, dropna=False, sort=False).ngroup().to_numpy()
+            last = codes == codes[-1]
+            held = table[last]
+            yield from fitted(table[~last], codes[~last])
+        if held is not None and len(held):
+            yield from fitted(held, np.zeros(len(held), int))
+
+    return totals.repartition(*groups).sortWithinPartitions(*groups).mapInPandas(fit, schema)
 
 
 def key_rates(
@@ -279,6 +394,93 @@ def bootstrap_totals(
     )
 
 
+def pattern_draws(
+    df: DataFrame,
+    key: str,
+    group: str,
+    replicates: int,
+    seed: int,
+    origin: str = "functional_state",
+    destination: str = "destination_state",
+    length: str = "interval_years",
+    weight: str = "w",
+    buckets: int = 256,
+) -> DataFrame:
+    """Person-level resamples as counts of equal people: ``group``, ``pattern``, ``people``, ``times``.
+
+    People of a group whose cells (origin, destination, length, weight) are all equal form a
+    pattern, and only how often a pattern is drawn matters: ``times`` has one count per replicate,
+    together as many as there are people. The counts are multinomial, split step by
+    step: first over hash buckets of patterns on the driver (groups x ``buckets`` numbers a
+    replicate), then within a bucket, pattern after pattern, as binomials of what is left. Work
+    and shuffles grow with the patterns, not with people times replicates. Random streams belong to
+    (seed, group, bucket), so a task that is run again draws the same.
+    """
+    cells = transition_totals(df, origin, destination, length, weight, [group, key])
+    people = cells.groupBy(group, key).agg(
+        F.sort_array(F.collect_list(F.struct(origin, destination, length, "weight"))).alias("pattern")
+    )
+    patterns = stored(
+        people.groupBy(group, "pattern")
+        .agg(F.count(F.lit(1)).alias("people"))
+        .withColumn("h", F.xxhash64("pattern"))
+        .withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")),
+        "patterns",
+    )
+    sizes = collect_bounded(patterns.groupBy(group, "bucket").agg(F.sum("people").alias("n")), 1_000_000, "pattern buckets")
+    by_group: dict = {}
+    for r in sizes:
+        by_group.setdefault(r[group], {})[r["bucket"]] = r["n"]
+    rows = []
+    for value, own in by_group.items():
+        places = sorted(own)
+        share = np.array([own[b] for b in places], dtype=float)
+        drawn = np.random.default_rng([seed, _number(value)]).multinomial(int(share.sum()), share / share.sum(), size=replicates)
+        rows += [(value, b, own[b], _number(value), drawn[:, i].tolist()) for i, b in enumerate(places)]
+    fields = [patterns.schema[group], StructField("bucket", IntegerType()), StructField("n", LongType()), StructField("stream", LongType()), StructField("drawn", ArrayType(LongType()))]
+    table = df.sparkSession.createDataFrame(rows, StructType(fields))
+    met = patterns.alias("p").join(table.alias("t"), F.col(f"p.{group}").eqNullSafe(F.col(f"t.{group}")) & (F.col("p.bucket") == F.col("t.bucket")))
+    dealt = met.select("p.*", "n", "stream", "drawn").repartition("stream", "bucket").sortWithinPartitions("stream", "bucket", "h", "pattern")
+    kept = [patterns.schema[c] for c in (group, "pattern", "people")]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rng, left, rest = None, None, None, 0
+        for batch in batches:
+            streams, places = batch.column("stream").to_pylist(), batch.column("bucket").to_pylist()
+            sizes, totals, times = batch.column("people").to_pylist(), batch.column("n").to_pylist(), []
+            for row in range(batch.num_rows):
+                if (streams[row], places[row]) != at:
+                    at = (streams[row], places[row])
+                    rng = np.random.default_rng([seed, *at])
+                    left, rest = np.array(batch.column("drawn")[row].as_py()), totals[row]
+                taken = rng.binomial(left, min(1.0, sizes[row] / rest))
+                left, rest = left - taken, rest - sizes[row]
+                times.append(taken.tolist())
+            if times:
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(f.name) for f in kept], pa.array(times, pa.list_(pa.int64()))], names=[*[f.name for f in kept], "times"]
+                )
+
+    return dealt.mapInArrow(split, StructType([*kept, StructField("times", ArrayType(LongType()))]))
+
+
+def _number(value) -> int:
+    """A number for a random stream of a group, whatever the type of its name."""
+    return zlib.crc32(repr(value).encode())
+
+
+def pattern_totals(draws: DataFrame, group: str) -> DataFrame:
+    """Transition totals of every replicate from ``pattern_draws``."""
+    cells = draws.select(group, "times", F.explode("pattern").alias("c"))
+    names = [f.name for f in draws.schema["pattern"].dataType.elementType.fields if f.name != "weight"]
+    each = cells.select(group, *[F.col(f"c.{c}").alias(c) for c in names], F.col("c.weight").alias("w"), F.posexplode("times").alias("at", "k"))
+    return (
+        each.where("k > 0")
+        .groupBy((F.col("at") + 1).alias("replicate"), group, *names)
+        .agg(F.sum(F.col("k") * F.col("w")).alias("weight"))
+    )
+
+
 def percentile_interval(
     ratios: DataFrame, label: str = "transition", value: str = "ratio", level: float = 0.95
 ) -> dict[str, tuple[float, float]]:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.recode import all_present
-from .glm import STATS, _emit, _matrix, _sum_arrays
+from ..matrices import PARTS, emitted, tree_sum
+from .glm import _matrix
 
 VARIANCE_FLOOR = 1e-6
 
@@ -134,9 +135,9 @@ def _sums(table: DataFrame, mixtures: dict[int, Mixture], d: int) -> dict[int, n
             for i, m in mixtures.items():
                 part = _expectation(x, m)
                 total[i] = total[i] + part if i in total else part
-        yield _emit(total)
+        yield emitted(total)
 
-    return _sum_arrays(table.mapInArrow(add_up, STATS))
+    return tree_sum(table.mapInArrow(add_up, PARTS))
 
 
 def class_column(columns: Sequence[str], m: Mixture) -> Column:

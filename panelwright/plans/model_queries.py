@@ -143,6 +143,29 @@ def transition_rr_cluster_se(spark, sf):
     return rounded(E.as_table(spark, rows, E.RATIO_FIELDS))
 
 
+def hub_intervals(spark, sf):
+    """Observed intervals with people's covariates, from tables in buckets of people."""
+    waves, fixed = S.person_hub(spark, sf)
+    paired = S.intervals(spark, sf, build=lambda *_: waves).filter("outcome_observed = 1")
+    joined = joins.checked_join(paired, fixed, ["id"], "left", "many_to_one")
+    return joined.withColumn("w", F.col("n_orders").cast("double"))
+
+
+@query(
+    "hub_region_rr",
+    f"""WITH {S.SQL_INTERVALS}, {S.SQL_PEOPLE}, {sql_risk("o.region", "(SELECT obs.*, people.region FROM obs JOIN people ON people.id = obs.id)")}, {sql_saturated(5)},
+    pairs(comparison, hi, lo, critical) AS (VALUES {", ".join(f"('Region {g}', {g}, 0, 1.959963984540054::DOUBLE)" for g in range(1, 5))}), {SQL_PAIRS}
+    SELECT {RATIO_COLUMNS} FROM est JOIN tot ON tot.model = est.model""",
+)
+def hub_region_rr(spark, sf):
+    """Region ratios over person-bucketed tables: no row moves between panel, interval, join and score."""
+    region = Cat("region", reference=0, levels=(0, 1, 2, 3, 4))
+    fits = fit_models(hub_intervals(spark, sf), transition_models([region]), cluster="id")
+    names = {g: f"Region {g}" for g in range(1, 5)}
+    rows = [r for f in fits.values() for r in E.ratio_rows(f, "region", [1, 2, 3, 4], names)]
+    return rounded(E.as_table(spark, rows, E.RATIO_FIELDS))
+
+
 @query(
     "contrast_vs_single",
     f"""WITH {S.SQL_INTERVALS}, {sql_risk()}, {sql_saturated(4)}, {PAIRS_STATE}, {SQL_PAIRS}

@@ -23,7 +23,7 @@ from ..functions.recode import (
 )
 from ..operators.intervals import origin_destination
 from ..operators.quantiles import quantile
-from ..sources.tables import read_table
+from ..sources.tables import bucket_count, bucketed, read_table
 
 FIRST_YEAR = 1994
 LAST_ORIGIN = 5
@@ -119,6 +119,20 @@ def intervals(
     )
 
 
+def person_hub(spark: SparkSession, sf_dir: str, people_per_bucket: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """Panel and fixed covariates as tables in the same buckets of people.
+
+    What follows by person (windows, checked joins, cluster scores) starts from the buckets; each table
+    pays one exchange, once.
+    """
+    n = table(spark, sf_dir, "customer", "c_custkey").count()
+    buckets = bucket_count(n, people_per_bucket, spark)
+    return (
+        bucketed(panel(spark, sf_dir), "person_waves", ["id"], buckets),
+        bucketed(people(spark, sf_dir), "people", ["id"], buckets),
+    )
+
+
 def with_people(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(people(spark, sf_dir), "id", "left")
 

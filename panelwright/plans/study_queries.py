@@ -435,9 +435,46 @@ def bootstrap_replicate_totals(spark, sf):
     return rounded(markov.bootstrap_totals(exposed(spark, sf), "id", "state", 50, 7))
 
 
+@query(
+    "markov_one_living_state",
+    f"""WITH {S.SQL_INTERVALS}, t AS (
+      SELECT state, interval_years, sum(CASE WHEN destination_state = 3 THEN n_orders ELSE 0 END) * 1.0 / sum(n_orders) AS share FROM obs GROUP BY 1, 2)
+    SELECT state, interval_years, round(greatest(least(-ln(1 - least(share, 1 - 1e-12)) / interval_years, exp(3)), exp(-10)), 5) AS rate FROM t""",
+)
+def markov_one_living_state(spark, sf):
+    """Intensity of leaving when all living states are one: in closed form -ln(1 - share) / t per interval length."""
+    rows = weighted(spark, sf).select(
+        "state",
+        "interval_years",
+        F.lit(0).alias("functional_state"),
+        (F.col("destination_state") == 3).cast("int").alias("destination_state"),
+        F.col("interval_years").alias("years"),
+        "w",
+    )
+    totals = transition_totals(rows, "functional_state", "destination_state", "years", "w", ["state", "interval_years"])
+    rates = markov.fit_groups(totals, ["state", "interval_years"], 1, length="years")
+    return rounded(rates.select("state", "interval_years", "rate"), 5)
+
+
+@query(
+    "pattern_bootstrap_people",
+    f"""WITH {S.SQL_INTERVALS}, n AS (SELECT state, count(DISTINCT id) AS people FROM obs WHERE state IN (2, 3) GROUP BY 1)
+    SELECT state, CAST(unnest(range(1, 51)) AS INTEGER) AS replicate, people FROM n""",
+)
+def pattern_bootstrap_people(spark, sf):
+    """Every replicate draws exactly as many people as there are."""
+    draws = markov.pattern_draws(exposed(spark, sf), "id", "state", 50, 7)
+    each = draws.select("state", F.posexplode("times").alias("at", "k"))
+    return each.groupBy("state", (F.col("at") + 1).alias("replicate")).agg(F.sum("k").alias("people"))
+
+
 @query("markov_bootstrap_ci")
-def markov_bootstrap_ci(spark, sf, replicates: int = 50):
-    """Intensity ratios with percentile intervals over person-level resamples."""
+def markov_bootstrap_ci(spark, sf, replicates: int = 50, least_successful: int = 45):
+    """Intensity ratios with percentile intervals over person-level resamples.
+
+    A replicate is successful when the fits of both groups converged. The result is feasible when both
+    fits to the data converged and at least ``least_successful`` replicates were successful.
+    """
     rows = exposed(spark, sf)
     rates = markov.fit_groups(state_totals(rows), ["state"], 3)
     found = rates.orderBy("state", "origin", "target").collect()
@@ -446,11 +483,21 @@ def markov_bootstrap_ci(spark, sf, replicates: int = 50):
         starts.setdefault((r["state"],), []).append(math.log(r["rate"]))
     keyed = markov.key_rates(spark.createDataFrame(found, rates.schema), ["state"], KEY_MOVES)
     point = markov.rate_ratios(keyed, "state", 3, 2)
-    totals = markov.bootstrap_totals(rows, "id", "state", replicates, 7)
-    again = markov.fit_groups(totals, ["replicate", "state"], 3, starts=starts, start_by=["state"])
-    ratios = markov.rate_ratios(markov.key_rates(again, ["replicate", "state"], KEY_MOVES), "state", 3, 2, ["replicate"])
+    totals = markov.pattern_totals(markov.pattern_draws(rows, "id", "state", replicates, 7), "state")
+    again = stored(markov.fit_groups(totals, ["replicate", "state"], 3, starts=starts, start_by=["state"]), "replicate_rates")
+    whole = again.groupBy("replicate").agg(F.min(F.col("converged").cast("int")).alias("whole"), F.countDistinct("state").alias("fits"))
+    good = whole.filter(f"whole = 1 and fits = {len(starts)}").select("replicate")
+    successful = good.count()
+    kept = again.join(F.broadcast(good), "replicate", "left_semi")  # at most one row per replicate
+    ratios = markov.rate_ratios(markov.key_rates(kept, ["replicate", "state"], KEY_MOVES), "state", 3, 2, ["replicate"])
     bounds = markov.percentile_interval(ratios)
     table = spark.createDataFrame(
         [(k, lo, hi) for k, (lo, hi) in bounds.items()], "transition string, ci_low double, ci_high double"
     )
-    return rounded(point.join(F.broadcast(table), "transition", "left"))
+    feasible = (F.col("converged") == 1) & F.lit(successful >= least_successful)
+    return rounded(
+        point.join(F.broadcast(table), "transition", "left")
+        .withColumn("bootstrap_requested", F.lit(replicates))
+        .withColumn("bootstrap_successful", F.lit(successful))
+        .withColumn("feasible", feasible)
+    )

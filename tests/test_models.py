@@ -383,3 +383,115 @@ def test_grid_ratios_against_closed_forms(spark):
     for model, comparison, estimate, se in want:
         row = got[model, comparison]
         assert row["estimate"] == pytest.approx(estimate, abs=2e-6, rel=1e-5) and row["se_log"] == pytest.approx(se, abs=2e-6, rel=1e-5)
+
+
+def test_tree_sum_adds_every_task(spark):
+    from panelwright.matrices import PARTS, emitted, tree_sum
+
+    def partial(batches):
+        total = np.zeros((60, 60))
+        for batch in batches:
+            for v in batch.column("id").to_pylist():
+                total += v
+        yield emitted({3: total, 5: total[:1, :2] * 2, 9: np.zeros(0)})
+
+    found = tree_sum(spark.range(1000).repartition(13).mapInArrow(partial, PARTS))
+    assert set(found) == {3, 5} and found[3].shape == (3600,)
+    assert (found[3] == 499_500).all() and (found[5] == 999_000).all()
+
+
+def test_cluster_scores_stay_inside_partitions(spark, monkeypatch):
+    from panelwright.models import glm
+
+    df = frame(spark)
+    models = [Model("m", F.col("y"), TERMS, weight="w"), Model("g", F.col("y"), (Cat("g"),))]
+    dealt = fit_models(df.repartition(5, "id"), models, cluster="id")
+    for crossing in (df.repartition(7), df.withColumn("id", F.when(F.col("x") > -0.4, 0).otherwise(F.col("id"))).repartition(7)):
+        for most in (glm.MAX_CROSSING, -1):  # few clusters move, then all of them
+            monkeypatch.setattr(glm, "MAX_CROSSING", most)
+            fits = fit_models(crossing, models, cluster="id")
+            if most < 0:
+                for name, fit in fits.items():
+                    assert np.allclose(fit.cov, before[name].cov, rtol=1e-10) and fit.clusters == before[name].clusters
+            before = fits
+        monkeypatch.undo()
+    plain = fit_models(df.repartition(7), models, cluster="id")
+    for name, fit in plain.items():
+        assert np.allclose(fit.cov, dealt[name].cov, rtol=1e-10) and fit.clusters == dealt[name].clusters
+
+
+def test_person_hub_needs_no_exchange(spark):
+    from panelwright.models.glm import crossing_clusters
+    from panelwright.plans.model_queries import hub_intervals
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = hub_intervals(spark, "/root/testdata/sf0.001")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "SortMergeJoin" in plan and "Exchange" not in plan
+        held = rows.select("id", "w").persist()
+        assert held.count() == rows.count()
+        found = crossing_clusters(held, "id")
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert not found.count()
+        held.unpersist()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stacked_intensity_fits_agree_with_single_ones():
+    from panelwright.models import markov
+
+    rng = np.random.default_rng(3)
+    lengths = np.array([1.0, 2.0, 3.5])
+    counts = rng.integers(0, 40, (9, 3, 4, 4)).astype(float)
+    counts[:, :, 3] = 0
+    counts[4, 1:] = 0  # a fit that lacks two of the lengths
+    theta, value, converged = markov.fit_stack(counts, lengths, 3)
+    for g in range(len(counts)):
+        own = {t: c for t, c in zip(lengths, counts[g]) if c.any()}
+        alone, best, done = markov.fit_intensities(own, 3)
+        assert done == converged[g] and abs(best - value[g]) <= 1e-7 * abs(best)
+        inner = (alone > markov.LOW + 0.1) & (alone < markov.HIGH - 0.1)
+        assert np.allclose(np.exp(alone[inner]), np.exp(theta[g][inner]), rtol=1e-3, atol=1e-4)
+
+
+def test_pattern_draws_are_multinomial(spark):
+    from panelwright.models import markov
+
+    people = [(i, "a" if i % 3 else None, i % 4, 1.0) for i in range(400)]
+    rows = [(p, g, kind % 2, kind // 2, 1, w) for p, g, kind, w in people for _ in (0,)]
+    df = spark.createDataFrame(rows, "id int, grp string, functional_state int, destination_state int, interval_years int, w double")
+    drawn = markov.pattern_draws(df, "id", "grp", 600, 5, buckets=3).collect()
+    again = markov.pattern_draws(df.repartition(6), "id", "grp", 600, 5, buckets=3).collect()
+    assert sorted(map(str, drawn)) == sorted(map(str, again))  # whatever the partitions
+    for group in ("a", None):
+        own = [r for r in drawn if r["grp"] == group]
+        n = sum(r["people"] for r in own)
+        times = np.array([r["times"] for r in own])
+        assert n == sum(g == group for _, g, _, _ in people) and (times.sum(axis=0) == n).all()
+        for r, t in zip(own, times):
+            share = r["people"] / n
+            assert abs(t.mean() - n * share) < 5 * np.sqrt(n * share * (1 - share) / 600)
+            assert 0.8 < t.var() / (n * share * (1 - share)) < 1.25
+    totals = markov.pattern_totals(markov.pattern_draws(df, "id", "grp", 600, 5, buckets=3), "grp")
+    assert totals.where("replicate = 17").agg(F.sum("weight")).first()[0] == 400
+
+
+def test_bootstrap_counts_its_successes(spark, monkeypatch):
+    from panelwright.models import markov
+    from panelwright.plans import study_queries
+
+    rows = study_queries.markov_bootstrap_ci(spark, "/root/testdata/sf0.001", replicates=4, least_successful=4).collect()
+    assert all(r["bootstrap_requested"] == 4 and 0 <= r["bootstrap_successful"] <= 4 for r in rows)
+    assert all(r["feasible"] == (r["bootstrap_successful"] == 4 and r["converged"] == 1) for r in rows)
+    whole = markov.fit_stack
+
+    def failing(*args, **more):
+        theta, value, converged = whole(*args, **more)
+        return theta, value, converged & False
+
+    monkeypatch.setattr(markov, "fit_stack", failing)
+    rows = study_queries.markov_bootstrap_ci(spark, "/root/testdata/sf0.001", replicates=2).collect()
+    assert rows and all(r["bootstrap_successful"] == 0 and not r["feasible"] and r["ci_low"] is None for r in rows)

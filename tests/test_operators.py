@@ -254,3 +254,22 @@ def test_quantiles_with_infinite_values(spark):
             low, high = ordered[math.floor(h)], ordered[math.ceil(h)]
             expected.append(low + (high - low) * (h - math.floor(h)) if low != high and h % 1 else low)
         assert exact_quantiles(df, "v", probs, small_group=10)[()] == pytest.approx(expected)
+
+
+def test_repeated_person_wave_is_an_error(spark):
+    from panelwright.operators.sequences import add_next_wave
+
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 2, 7)], "id int, wave int, v int")
+    with pytest.raises(Exception, match="is not unique"):
+        add_next_wave(rows, "id", "wave", {"next_v": F.col("v")}).collect()
+
+
+def test_buckets_spare_the_exchange(spark):
+    from panelwright.sources.tables import bucket_count, bucketed
+
+    left = bucketed(spark.range(300).selectExpr("id % 40 as k", "id as v"), "left_side", ["k"], 5)
+    right = bucketed(spark.range(40).selectExpr("id as k", "id * 2 as w"), "right_side", ["k"], 5)
+    joined = left.hint("merge").join(right, "k").groupBy("k").agg(F.sum("w").alias("w"))
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: r["w"] for r in joined.collect()} == {k: 2 * k * sum(i % 40 == k for i in range(300)) for k in range(40)}
+    assert bucket_count(10, 3, spark) >= 4
