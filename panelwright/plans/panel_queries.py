@@ -350,6 +350,20 @@ def group_quantiles(spark, sf):
     return spark.createDataFrame(rows, "l_linenumber int, p01 double, p50 double, p99 double")
 
 
+@query(
+    "sketched_price_quantiles",
+    """SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.01), 4) AS p01,
+      round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99
+    FROM lineitem GROUP BY 1, 2""",
+)
+def sketched_price_quantiles(spark, sf):
+    """Price quantiles by flag and status, every group by sketched brackets and exact counts."""
+    line = S.table(spark, sf, "lineitem", "l_returnflag", "l_linestatus", "l_extendedprice")
+    found = quantile_table(line, "l_extendedprice", [0.01, 0.5, 0.99], ["l_returnflag", "l_linestatus"], small_group=0)
+    named = found.select("l_returnflag", "l_linestatus", F.col("q0").alias("p01"), F.col("q1").alias("p50"), F.col("q2").alias("p99"))
+    return rounded(named, 4)
+
+
 @query(
     "part_quantiles",
     """SELECT l_partkey, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25,

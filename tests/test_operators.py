@@ -273,3 +273,41 @@ def test_buckets_spare_the_exchange(spark):
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     assert {r["k"]: r["w"] for r in joined.collect()} == {k: 2 * k * sum(i % 40 == k for i in range(300)) for k in range(40)}
     assert bucket_count(10, 3, spark) >= 4
+
+
+def test_sketched_quantiles_narrow_and_recover(spark, monkeypatch):
+    """Brackets that are sketched again, and brackets that miss, still end in the exact values."""
+    from panelwright.operators import quantiles
+
+    noise = np.random.default_rng(8)
+    values = np.concatenate([np.exp(noise.normal(scale=4, size=40_000)), np.zeros(5_000), -np.zeros(10)])
+    rows = spark.createDataFrame([(i % 2 if i % 7 else None, float(v)) for i, v in enumerate(values)], "g int, v double").repartition(5)
+    probs = [0.0, 0.013, 0.5, 0.77, 1.0]
+
+    def check():
+        found = exact_quantiles(rows, "v", probs, by=["g"], small_group=100)
+        for g in (0, 1, None):
+            own = [v for i, v in enumerate(values) if (i % 2 if i % 7 else None) == g]
+            assert np.allclose(found[(g,)], np.quantile(own, probs), rtol=1e-12, atol=0)
+
+    monkeypatch.setattr(quantiles, "SKETCH", 64)
+    monkeypatch.setattr(quantiles, "REACH", 0.08)
+    monkeypatch.setattr(quantiles, "MOST_INSIDE", 200)
+    check()  # several rounds of narrowing
+    monkeypatch.setattr(quantiles, "REACH", 0.0005)
+    monkeypatch.setattr(quantiles, "SKETCH", 8)
+    check()  # brackets far narrower than the sketch's error miss and are widened
+
+
+def test_quantiles_of_twenty_thousand_large_groups(spark):
+    from panelwright.operators.quantiles import quantile_table
+
+    rows = spark.range(400_000).select((F.col("id") % 20_000).alias("g"), (F.xxhash64("id") % 1000).cast("double").alias("v"))
+    plain, apart = (quantile_table(rows, "v", [0.1, 0.5], ["g"], small_group=n) for n in (100, 0))
+    assert apart.count() == 20_000 and not apart.exceptAll(plain).count()
+
+
+def test_quantiles_of_nan_and_empty_groups(spark):
+    rows = spark.createDataFrame([(1, float("nan")), (1, float("nan")), (2, None), (3, 1.0), (3, float("nan"))], "g int, v double")
+    found = exact_quantiles(rows, "v", [0.0, 1.0], by=["g"], small_group=0)
+    assert set(found) == {(1,), (3,)} and np.isnan(found[(1,)]).all() and found[(3,)][0] == 1.0 and np.isnan(found[(3,)][1])
