@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.sources.tables import stored
 
-__all__ = ["WORD", "crc_fold", "running_totals", "stored", "table", "text_of", "word_count"]
+__all__ = ["WORD", "crc_fold", "free_name", "making_room", "running_totals", "stored", "table", "text_of", "word_count"]
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,26 @@ def crc_fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column is called that (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def making_room(df: DataFrame, outputs: Sequence[str]) -> DataFrame:
+    """The table with columns that bear an output's name renamed: an own ``score`` becomes ``score_own``.
+
+    Nothing of the caller is overwritten or lost, and outputs have the same names everywhere.
+    """
+    wanted = {o.lower() for o in outputs}
+    for c in df.columns:
+        if c.lower() in wanted:
+            df = df.withColumnRenamed(c, free_name(df, f"{c}_own"))
+    return df
+
+
 def running_totals(
     df: DataFrame,
     group: Sequence[str],

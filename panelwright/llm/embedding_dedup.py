@@ -115,8 +115,9 @@ def near_vectors(
     """One row per vector: ``key``, ``n_links``, ``component_id``, ``kept``.
 
     Vectors of equal, non-NULL label are linked when their cosine in double precision is
-    ``threshold`` or more. Vectors that are NULL, empty or zero, or hold NULL or non-finite
-    numbers link with nothing, nor do those of another length than most (the shortest, on a tie).
+    ``threshold`` or more, vectors of different length never. Vectors that are NULL, empty or
+    zero, or hold NULL or non-finite numbers link with nothing. Lengths between two powers of 2 are compared
+    in one run, the shorter ones filled up with zeros, so there are as many runs as such ranges hold vectors.
     ``component_id`` is the smallest key that links lead to; ``kept`` marks its row. Keys should be
     unique; rows that repeat a key count as vectors of their own and share its component. A NULL key has
     no component of its own but links others.
@@ -127,26 +128,35 @@ def near_vectors(
     only counts and a spanning edge a class leave a task. With ``recall`` below 1 the reach is
     the one that finds that share of the sample's pairs, and a pair found from one side counts for both.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(
-        F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")
-    )
-    fit = rows.where(F.col("label").isNotNull() & _usable(F.col("v")))
-    lengths = fit.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    none = rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    if lengths is None:
-        return none
-    dim = lengths["d"]
+        F.col(key).alias("key"),
+        F.struct(F.col(label).alias("label"), F.size(vector).alias("length")).alias("label"),
+        F.col(vector).cast("array<double>").alias("v"),
+        (F.col(label).isNotNull() & _usable(F.col(vector).cast("array<double>"))).alias("ok"),
+    ).withColumn("range", F.when(F.col("ok"), F.ceil(F.log2(F.size("v"))).cast("int")))
+    alone = rows.where(~F.col("ok"))
+    out = alone.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+    ranges = rows.where("ok").groupBy("range").agg(F.max("label.length").alias("d")).orderBy("range").collect()  # one row per power of 2
+    for r in ranges:
+        own = rows.where(F.col("ok") & (F.col("range") == r["range"])).select("key", "label", "v")
+        out = out.unionByName(_linked(own, key, max(2, r["d"]), threshold, recall, sample, codes, block, queries))
+    return out
+
+
+def _linked(
+    rows: DataFrame, key: str, dim: int, threshold: float, recall: float, sample: int, codes: int | None, block: int, queries: int
+) -> DataFrame:
+    """``near_vectors`` for usable vectors of up to ``dim`` components; ``label`` holds label and length."""
+    spark = rows.sparkSession
     # scaled by its largest component a finite vector's squares neither overflow nor all vanish
     top = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
-    keyed = rows.withColumn("ok", F.col("label").isNotNull() & _usable(F.col("v")) & (F.size("v") == dim)).withColumn(
-        "vec_hash", F.when(F.col("ok"), F.unhex(F.md5(F.to_json(F.struct(F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))).cast("binary"))))
+    keyed = rows.withColumn(
+        "vec_hash", F.unhex(F.md5(F.to_json(F.struct(F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))).cast("binary")))
     )
     classes = stored(
-        keyed.where("ok")
-        .groupBy("label", "vec_hash")
+        keyed.groupBy("label", "vec_hash")
         .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"))
-        .withColumn("v", F.transform("v", lambda x: x / top))
+        .withColumn("v", F.concat(F.transform("v", lambda x: x / top), F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v"))))
         .withColumn("cid", F.monotonically_increasing_id()),
         "vectors",
     )
@@ -160,7 +170,7 @@ def near_vectors(
         threshold,
         recall,
     )
-    sent = spark.sparkContext.broadcast(grid)
+    sent = spark.sparkContext.broadcast((grid.first, grid.second, grid.reach))
     wide = len(grid.second)
 
     def units(part: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -170,11 +180,12 @@ def near_vectors(
         return v / np.sqrt((v**2).sum(1))[:, None]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Grid(*sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                own1, own2, low1, low2 = sent.value.bounds(units(part))
-                cells = [sent.value.visits(a, b) for a, b in zip(low1, low2, strict=True)]
+                own1, own2, low1, low2 = g.bounds(units(part))
+                cells = [g.visits(a, b) for a, b in zip(low1, low2, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("cid"), pa.array(own1.astype(np.int64) * wide + own2), pa.array(cells, pa.list_(pa.int64()))],
                     names=["cid", "cell", "cells"],
@@ -212,13 +223,13 @@ def near_vectors(
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Grid(*sent.value)
         for table in runs(batches, ["l", "cell", "part", "turn"]):
             asks = table["asks"].to_numpy()
             split = int(np.searchsorted(asks, 1))
             if split in (0, len(asks)):
                 continue
             unit, cid, size = units(table), table["cid"].to_numpy(), table["size"].to_numpy().astype(np.float64)
-            g = sent.value
             own1, own2, low1, low2 = g.bounds(unit)
             p, q = [], []
             for at in range(split, len(asks), 512):
@@ -247,8 +258,6 @@ def near_vectors(
     known = named.join(heads, "root").join(links, "cid", "left").select(
         "label", "vec_hash", "component_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    linked = keyed.where("ok").select("key", "label", "vec_hash").join(known, ["label", "vec_hash"]).select(
+    return keyed.select("key", "label", "vec_hash").join(known, ["label", "vec_hash"]).select(
         F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept")
     )
-    alone = keyed.where(~F.col("ok")).select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    return linked.unionByName(alone)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import making_room
 from .text_arrays import Texts, U, mixed, texts
 
 #: Bytes of words: ASCII letters in lower case and bytes above ASCII; all others part words.
@@ -359,12 +360,11 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", names: tuple[str, s
     Every word of the whole text is labelled by forward-backward; the language with the largest
     sum of probabilities is predicted (ties: the first in order), and the score is its share of the words. NULL texts
     and those without a letter are ``und`` with score 0 and no words, as is every text if no
-    language was learned. All columns stay; an output name that is taken raises. Memory is in
-    proportion to the longest text. The model is broadcast as plain arrays; its size is set by ``train``.
+    language was learned. All columns stay; one that bears an output's name is returned as ``score_own``
+    and so on. Memory is in proportion to the longest text. The model is broadcast as plain arrays; its
+    size is set by ``train``.
     """
-    taken = {c.lower() for c in docs.columns} & {n.lower() for n in names}
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are taken; give other names")
+    docs = making_room(docs, names)
     sent = docs.sparkSession.sparkContext.broadcast(
         (list(model.languages), model.weights, model.trans, model.begin, model.lexicon, model.owner)
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import free_name, making_room, stored, text_of
 
 #: Fixed value: the characters stripped from both ends of a line.
 STRIPPED = "\t\n\x0b\x0c\r "
@@ -24,6 +24,8 @@ def line_key(line: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, text: str = "text") -> DataFrame:
     """Add ``kept_text``, ``n_lines`` and ``n_dropped`` to every row; other columns stay as they are.
 
+    An own column that bears one of these names is returned as ``kept_text_own`` and so on.
+
     A key of ``min_chars`` or more code points that ``min_documents`` or more documents hold
     loses all its lines in every document. Every row is a document, also when it repeats
     another. A NULL text is one empty line, as is an empty one; NULL keys in other columns
@@ -35,6 +37,7 @@ def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, te
     shuffled by line; the texts move once, to meet their flags. A line in a third of the
     documents is one key of partial counts, and of a join that adaptive execution splits.
     """
+    docs = making_room(docs, ("kept_text", "n_lines", "n_dropped"))
     text_id = F.unhex(F.md5(text_of(text).cast("binary")))
     lines = stored(
         docs.select(text_id.alias("_id"), F.posexplode(F.split(text_of(text), "\n", -1)).alias("_at", "_line"))
@@ -48,10 +51,13 @@ def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, te
         .agg(F.any_value("_hash").alias("_hash"), F.count(F.lit(1)).alias("_copies")),
         "lines",
     )
-    once = lines.where("_hash IS NOT NULL").groupBy("_hash", "_id").agg(F.any_value("_copies").alias("_copies"))
+    keyed, keyless = lines.where("_hash IS NOT NULL"), lines.where("_hash IS NULL")
+    once = keyed.groupBy("_hash", "_id").agg(F.any_value("_copies").alias("_copies"))
     shared = once.groupBy("_hash").agg(F.sum("_copies").alias("_n")).where(F.col("_n") >= min_documents)
+    # lines without a key are never dropped and stay out of the join, where they would all meet
+    decided = keyed.join(shared.select("_hash", F.lit(True).alias("_drop")), "_hash", "left").select("_id", "_at", "_drop")
     flags = (
-        lines.join(shared.select("_hash", F.lit(True).alias("_drop")), "_hash", "left")
+        decided.unionByName(keyless.select("_id", "_at", F.lit(None).cast("boolean").alias("_drop")))
         .groupBy("_id")
         .agg(
             F.sort_array(
@@ -59,14 +65,13 @@ def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, te
             ).alias("_flags")
         )
     )
-    marked = docs.withColumn("_id", text_id).join(flags, "_id")
-    paired = F.arrays_zip(
-        F.split(text_of(text), "\n", -1).alias("line"), F.col("_flags._drop").alias("drop")
-    )
+    own, flag = free_name(docs, "_id"), free_name(docs, "_flags")
+    marked = docs.withColumn(own, text_id).join(flags.select(F.col("_id").alias(own), F.col("_flags").alias(flag)), own)
+    paired = F.arrays_zip(F.split(text_of(text), "\n", -1).alias("line"), F.col(f"{flag}._drop").alias("drop"))
     kept = F.transform(F.filter(paired, lambda p: ~p["drop"]), lambda p: p["line"])
     return marked.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.array_join(kept, "\n").alias("kept_text"),
-        F.size("_flags").cast("long").alias("n_lines"),
-        F.size(F.filter("_flags", lambda f: f["_drop"])).cast("long").alias("n_dropped"),
+        F.size(flag).cast("long").alias("n_lines"),
+        F.size(F.filter(flag, lambda f: f["_drop"])).cast("long").alias("n_dropped"),
     )

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, stored, text_of, word_count
+from .common import free_name, running_totals, stored, text_of, word_count
 
 M64 = (1 << 64) - 1
 
@@ -233,10 +233,11 @@ def mixed_texts(docs: DataFrame, mixed: Mix, key: Sequence[str] = ("doc_id",)) -
         .drop("first", "epoch")
         .alias("m")
     )
-    own = docs.withColumn("_hash", F.xxhash64(text_of()))
+    hashed = free_name(docs, "_hash")
+    own = docs.withColumn(hashed, F.xxhash64(text_of()))
     # of rows equal in all of key, source and text, one stands for all: each has its rounds of its own
-    own = own.dropDuplicates([*key, "source", "_hash"]).alias("d")
-    same = F.col("d._hash") == F.col("m.text_hash")
+    own = own.dropDuplicates([*key, "source", hashed]).alias("d")
+    same = F.col(f"d.{hashed}") == F.col("m.text_hash")
     for k in [*key, "source"]:
         same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}"))
     words = F.regexp_extract_all(F.col("d.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
@@ -246,10 +247,11 @@ def mixed_texts(docs: DataFrame, mixed: Mix, key: Sequence[str] = ("doc_id",)) -
     text = F.when(F.col("m._n") == F.col("m.size"), F.col("d.text")).otherwise(
         F.btrim(cut, F.lit("\t\n\x0b\x0c\r "))
     )
-    out = own.join(rounds, same).withColumn("_text", text)
+    made = free_name(docs, "_text")
+    out = own.join(rounds, same).select("d.*", text.alias(made))
     return out.select(
         *[
-            F.col("_text").alias(c) if c == "text" else F.char_length("_text").cast("long").alias(c) if c == "n_chars" else F.col(f"d.{c}").alias(c)
+            F.col(made).alias(c) if c == "text" else F.char_length(made).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")
             for c in docs.columns
         ]
     )

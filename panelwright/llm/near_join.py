@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_of
+from .common import free_name, stored, text_of
 from .graph import components, local_roots, runs
 from .text_arrays import LOWER, Texts, U, gram_hashes, mixed, texts
 
@@ -118,15 +118,15 @@ def signed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, threshold: float, tolerance: float, small: int) -> DataFrame:
-    """Edges (a, b) between classes that share a band of MinHash values.
+    """Edges (a, b) between classes that share a band of MinHash values, at most one a class and band.
 
-    Pairs of buckets up to ``small`` classes must pass the incremental comparison. In a larger
+    The classes of a bucket of up to ``small`` are compared pair by pair where they meet, a few values at a
+    time, and a spanning forest of the pairs that survive leaves the task. In a larger
     bucket every class gets an edge to the smallest; its pairs are compared in blocks later.
     """
     parts = VALUES // ROWS
     bands = classes.select(
         "cid",
-        "n",
         F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.lit(parts - 1)),
@@ -137,32 +137,48 @@ def _candidates(classes: DataFrame, threshold: float, tolerance: float, small: i
     sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("first")).where("m > 1")
     shared = bands.join(sizes, "bucket")
     stars = shared.where(F.col("m") > small).where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    lists = shared.where(F.col("m") <= small).groupBy("bucket").agg(
-        F.sort_array(F.collect_list(F.struct("cid", "n"))).alias("own")
-    )
-    pairs = (
-        lists.select(F.posexplode("own").alias("i", "x"), "own")
-        .select("x", F.explode(F.slice("own", F.col("i") + 2, F.size("own"))).alias("y"))
-        .where(F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9)
-        .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-        .distinct()
-    )
-    values = classes.select("cid", "minhash")
-    both = pairs.join(values.select(F.col("cid").alias("a"), F.col("minhash").alias("x")), "a").join(
-        values.select(F.col("cid").alias("b"), F.col("minhash").alias("y")), "b"
+    met = (
+        shared.where(F.col("m") <= small)
+        .select("bucket", "cid")
+        .join(classes.select("cid", "n", "minhash"), "cid")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "cid")
     )
     least = least_matches(threshold, tolerance)
 
+    def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        bucket, cid, n = (table[c].to_numpy() for c in ("bucket", "cid", "n"))
+        values = np.frombuffer(b"".join(table["minhash"].to_pylist()), np.uint32).reshape(-1, VALUES)
+        p, q, at, apart = [], [], np.arange(len(cid)), 1
+        while len(at := at[at + apart < len(cid)]) and len(at := at[bucket[at] == bucket[at + apart]]):
+            near = at[np.minimum(n[at], n[at + apart]) >= threshold * np.maximum(n[at], n[at + apart]) - 1e-9]
+            near = near[plausible(values[near], values[near + apart], least)]
+            p.append(near)
+            q.append(near + apart)
+            apart += 1
+        p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (p, q))
+        roots = local_roots(len(cid), p, q)  # rows of different buckets are never joined
+        own = np.flatnonzero(roots != np.arange(len(cid)))
+        return pa.RecordBatch.from_arrays([pa.array(cid[roots[own]]), pa.array(cid[own])], names=["a", "b"])
+
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # whole buckets, and the last one as far as it is known
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
-                x, y = (
-                    np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, VALUES) for c in "xy"
-                )
-                yield part.select(["a", "b"]).take(pa.array(plausible(x, y, least), pa.int64()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(prune, "a long, b long").unionByName(stars)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                bucket = part.column("bucket").to_numpy()
+                last = int(np.searchsorted(bucket, bucket[-1]))
+                if held and (last or held[-1].column("bucket")[-1].as_py() != bucket[0]):
+                    yield forest([*held, part.slice(0, last)])
+                    held = []
+                elif last:
+                    yield forest([part.slice(0, last)])
+                held.append(part.slice(last))
+        if held:
+            yield forest(held)
+
+    return met.select("bucket", "cid", "n", "minhash").mapInArrow(prune, "a long, b long").unionByName(stars)
 
 
 def _links_in(table: pa.Table, least: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +246,7 @@ def near_duplicates(
     tolerance: float = 1e-9,
     small: int = 64,
     block: int = 256,
-    most_broadcast: int = 1_000_000,
+    most_broadcast: int = 32_000_000,
 ) -> DataFrame:
     """One row per document: ``key``, ``text_hash``, ``class_id``, ``n_links``, ``n_same``.
 
@@ -242,9 +258,9 @@ def near_duplicates(
     there is no other. Other columns of ``docs`` are not read.
 
     Equal sets form a class, and only classes are compared. Candidates share one of 32 bands of
-    4 MinHash values: a pair at the threshold misses all of them once in 20 million. Pairs of
-    small buckets are listed and pruned by the posterior; larger buckets are not listed: their
-    classes are put into one group. Groups are compared in blocks, pruned again and
+    4 MinHash values: a pair at the threshold misses all of them once in 20 million. Classes of
+    small buckets are compared there and pruned by the posterior, and only a spanning forest of
+    the rest leaves the task; larger buckets are put into one group as they are. Groups are compared in blocks, pruned again and
     verified on whole n-gram sets, and only counts and one spanning edge a class leave a task.
     """
     sign = stored(signed(docs, key, text, n), "signed")
@@ -265,7 +281,8 @@ def near_duplicates(
         "members",
     )
     wanted = members.select(F.col("key").alias("_key"), "set_id", "cid")
-    if members.count() <= most_broadcast:  # 40 bytes a row
+    sizes = F.sum(F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)) + 64)
+    if (members.agg(sizes).first()[0] or 0) <= most_broadcast:  # bytes, whatever the keys hold
         wanted = F.broadcast(wanted)
     sources = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("text"))
     texts_of = sources.alias("d").join(wanted.alias("w"), F.col("d._key").eqNullSafe(F.col("w._key"))).select("cid", "set_id", "text")
@@ -315,6 +332,8 @@ def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: st
     Rows that agree in key and text count once; texts without words all stay, each key once.
     """
     heads = found.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).distinct()
-    marked = docs.withColumn("_text_hash", F.xxhash64(text_of(text)))
-    same = marked[key].eqNullSafe(heads["_key"]) & (marked["_text_hash"] == heads["_hash"])
-    return marked.join(heads, same, "left_semi").dropDuplicates([key, "_text_hash"]).drop("_text_hash")
+    own = free_name(docs, "_text_hash")
+    marked = docs.withColumn(own, F.xxhash64(text_of(text)))
+    left, right = marked.alias("d"), heads.alias("h")
+    same = F.col(f"d.`{key}`").eqNullSafe(F.col("h._key")) & (F.col(f"d.{own}") == F.col("h._hash"))
+    return left.join(right, same, "left_semi").dropDuplicates([key, own]).drop(own)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import making_room
 from .text_arrays import LOWER, Texts, U, gram_hashes, mixed, texts
 
 #: Kinds of bytes that a word's shape tells apart: lower case, upper case, digits, above ASCII, and ASCII marks as they are.
@@ -197,16 +198,19 @@ def score(docs: DataFrame, model: NbSvm, text: str = "text", name: str = "score"
     """Add the probability of label 1 to every row; all columns stay.
 
     Only the text counts. NULL and empty texts hold no n-grams and get what the bias says.
-    The model, one number a bucket, is broadcast; its size is set by ``buckets``.
+    The model, one number a bucket, is broadcast as plain arrays; its size is set by ``buckets``.
+    An own column called ``name`` is returned as ``<name>_own``.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = making_room(docs, [name])
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.squares, model.bias, model.slope, model.shift))
     names = [f.name for f in docs.schema.fields]
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = NbSvm(*sent.value)
         for batch, own in texts(batches, text, 1 << 18):
-            margins = np.array([sent.value.margin(s) for s in feature_sets(own, len(sent.value.weights))])
-            found = pa.array(sent.value.probability(margins), pa.float64())
+            margins = np.array([known.margin(s) for s in feature_sets(own, len(known.weights))])
+            found = pa.array(known.probability(margins), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], found], names=[*names, name])
 
     return docs.mapInArrow(scored, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import making_room
 from .text_arrays import LEADING, SPACE, Texts, U, gram_hashes, mixed, texts
 
 SYMBOLS = np.zeros(256, bool)
@@ -112,12 +113,14 @@ def repetition(
     windows found twice or more, first included. The method's verdict also needs each share of
     characters inside n-grams seen before in the text to be at most its limit, and that of
     characters in lines equal to an earlier one at most ``line_limit``. NULL and empty texts have no words and fail.
-    Each row is judged alone, so ties and repeated rows get equal answers; there is no shuffle.
+    Each row is judged alone, so ties and repeated rows get equal answers; there is no shuffle. An own
+    column that bears an output's name is returned as ``n_words_own`` and so on.
     """
     lengths = tuple(sorted({*gram_limits, window}))
-    others = [f for f in docs.schema.fields if f.name != text]
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars"]
     counts += [f"chars_{n}" for n in lengths]
+    docs = making_room(docs, [*counts, "base_failed", "kept"])
+    others = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*others, *[T.StructField(c, T.LongType()) for c in counts]])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import making_room
 from .text_arrays import Texts, U, gram_hashes, texts
 
 #: Characters read as the Latin letter they look like. Letters with accents are
@@ -252,16 +253,20 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """Add ``score``, ``n_hits`` and ``hit_weight`` to every row; all columns stay.
 
     Whole texts are read; only the text counts. NULL and empty texts have no hit and get the
-    score of the shift alone. The lexicon, bounded by ``most_terms``, is broadcast.
+    score of the shift alone. The lexicon, bounded by ``most_terms``, is broadcast as plain values. An
+    own column that bears an output's name is returned as ``score_own`` and so on.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    docs = making_room(docs, ("score", "n_hits", "hit_weight"))
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (dict(lexicon.terms), lexicon.exceptions, lexicon.slope, lexicon.shift, lexicon.soft)
+    )
     names = [f.name for f in docs.schema.fields]
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType()), T.StructField("hit_weight", T.DoubleType())]
     )
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = sent.value
+        lexicon = Lexicon(*sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
