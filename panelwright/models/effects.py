@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.recode import holds
 from ..operators.reshape import set_to_each_level
 from .design import Cat, design_columns
-from .glm import Fit, Model
+from .glm import Fit, Model, predicted
 
 HAND = 1.96
 EXACT = 1.959963984540054
@@ -368,3 +368,34 @@ def as_table(spark: SparkSession, rows: Sequence[Mapping], fields: str) -> DataF
     """Result rows under a fixed schema; what a row lacks is NULL."""
     names = [f.strip().split(" ")[0] for f in fields.split(",")]
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], fields)
+
+
+BALANCE_FIELDS = "model string, term string, observed double, fitted double"
+
+
+def balance(df: DataFrame, fits: Mapping[str, Fit], models: Sequence[Model]) -> DataFrame:
+    """Weighted sums of every design column times the outcome, and times the fitted mean.
+
+    A likelihood fit with its canonical link makes the two equal for each column, and only one
+    coefficient vector does (where the columns are independent), so the table checks an adjusted
+    fit against plain sums of the data: events by level of each category, and by number. One
+    pass over the rows for all models. A model without a fit has no rows.
+    """
+    named = [m for m in models if m.name in fits and fits[m.name].n]
+    scored, sums, places = df, [], []
+    for i, m in enumerate(named):
+        scored = predicted(scored, fits[m.name], m, f"__mu{i}")
+        use = F.col(f"__mu{i}").isNotNull() & m.outcome.isNotNull()
+        use = use if m.where is None else use & m.where
+        weight = F.col(m.weight).cast("double") if m.weight else F.lit(1.0)
+        use = use & weight.isNotNull()
+        for name, column in design_columns(m.terms, fits[m.name].levels, m.intercept):
+            places.append((m.name, name))
+            k = len(places) - 1
+            sums.append(F.sum(F.when(use, weight * column * m.outcome.cast("double"))).alias(f"o{k}"))
+            sums.append(F.sum(F.when(use, weight * column * F.col(f"__mu{i}"))).alias(f"f{k}"))
+    if not places:
+        return df.sparkSession.createDataFrame([], BALANCE_FIELDS)
+    found = scored.agg(*sums).first()
+    rows = [(model, term, found[f"o{k}"], found[f"f{k}"]) for k, (model, term) in enumerate(places)]
+    return df.sparkSession.createDataFrame(rows, BALANCE_FIELDS)

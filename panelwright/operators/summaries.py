@@ -214,6 +214,19 @@ def weight_summary(df: DataFrame, weight: str, below: tuple[str, float] | None =
     return described
 
 
+def weight_truncation(df: DataFrame, weight: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """The bounds that a weight is held within, how many rows lie beyond each, and how many there are."""
+    lo, hi = exact_quantiles(df, weight, [low, high])[()]
+    return df.agg(
+        F.lit(lo).alias("low"),
+        F.lit(hi).alias("high"),
+        F.count(weight).alias("n"),
+        F.count_if(F.col(weight) < F.lit(lo)).alias("n_below"),
+        F.count_if(F.col(weight) > F.lit(hi)).alias("n_above"),
+        F.count_if((F.col(weight) < F.lit(lo)) | (F.col(weight) > F.lit(hi))).alias("truncated_n"),
+    )
+
+
 def transition_totals(
     df: DataFrame, origin: str, destination: str, length: str, weight: str, groups: Sequence[str] = ()
 ) -> DataFrame:

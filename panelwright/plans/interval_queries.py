@@ -432,6 +432,17 @@ def weight_diagnostics(spark, sf):
     return rounded(summaries.weight_summary(price_ratio(spark, sf), "ratio", below=("ratio", 0.5)))
 
 
+@query(
+    "weight_truncation",
+    f"""WITH {S.SQL_INTERVALS}, {SQL_RATIO}, q AS (SELECT quantile_cont(ratio, 0.01) AS low, quantile_cont(ratio, 0.99) AS high FROM x)
+    SELECT round(any_value(low), 6) AS low, round(any_value(high), 6) AS high, count(ratio) AS n, count(*) FILTER (ratio < low) AS n_below,
+      count(*) FILTER (ratio > high) AS n_above, count(*) FILTER (ratio < low OR ratio > high) AS truncated_n FROM x, q""",
+)
+def weight_truncation(spark, sf):
+    """How many weights the bounds change."""
+    return rounded(summaries.weight_truncation(price_ratio(spark, sf), "ratio"))
+
+
 @query(
     "zscore_within",
     f"""WITH {S.SQL_PANEL}, {S.SQL_PEOPLE} SELECT p.id, wave, round((spend - avg(spend) OVER w) / stddev_samp(spend) OVER w, 6) AS spend_z,

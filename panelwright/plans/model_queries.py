@@ -17,6 +17,7 @@ from ..models.weights import marginal_structural_weights, observation_weights
 from ..operators import joins
 from ..operators.sequences import HISTORY_GROUPS, mean_normalised, standardise_within
 from ..operators.summaries import fill_missing, gate
+from ..sources import tables
 from ..sources.tables import stored
 from . import standin as S
 from .interval_queries import (
@@ -809,10 +810,94 @@ def msm_rr(spark, sf):
     return rounded(E.as_table(spark, out, E.RATIO_FIELDS))
 
 
-@query("coefficient_table")
-def coefficient_table(spark, sf):
+def decline_fit(spark, sf):
     rows = prepared(spark, sf).filter("outcome_observed = 1")
     terms = (*crossed(STATE, Num("half", discrete=True)), Cat("segment_cat"), Num("balance_filled"))
     model = Model("Any decline", R.event_in("destination_state", [2]), terms, where=F.col("functional_state") < 2, family="binomial", errors="HC1")
-    fit = fit_models(rows, [model])["Any decline"]
-    return rounded(E.as_table(spark, E.coefficient_rows(fit), E.COEFFICIENT_FIELDS))
+    return rows, model, fit_models(rows, [model])
+
+
+@query("coefficient_table")
+def coefficient_table(spark, sf):
+    _, _, fits = decline_fit(spark, sf)
+    return rounded(E.as_table(spark, E.coefficient_rows(fits["Any decline"]), E.COEFFICIENT_FIELDS))
+
+
+def sql_balance(columns: dict[str, str], source: str) -> str:
+    """Weighted sums of y times each column; a fit must give the same for its means."""
+    entries = ", ".join(f"{{'term': '{name}', 'x': CAST({x} AS DOUBLE)}}" for name, x in columns.items())
+    return f"""l AS (SELECT model, w, y, unnest([{entries}], recursive := true) FROM {source})
+    SELECT model, term, round(sum(w * x * y), 3) AS observed, round(sum(w * x * y), 3) AS fitted FROM l GROUP BY 1, 2"""
+
+
+#: Reference levels are the smallest of each: the first interval (of wave 1), segment and region.
+SQL_ADJUSTED_COLUMNS = {
+    "intercept": "1",
+    **{f"state[{g}]": f"state = {g}" for g in (1, 2, 3)},
+    **{f"interval[{S.FIRST_YEAR + w}-{S.FIRST_YEAR + w + 1}]": f"wave = {w}" for w in range(2, S.LAST_ORIGIN + 1)},
+    **{f"segment_cat[{c}]": f"segment = '{c}'" for c in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")},
+    **{f"region[{g}]": f"region = {g}" for g in (1, 2, 3, 4)},
+    "half": "half",
+    "balance_filled": "coalesce(balance, (SELECT median(p.balance) FROM iv JOIN people p ON p.id = iv.id)) / 1000",
+    "balance_missing": "balance IS NULL",
+    "order_count": "n_orders",
+}
+SQL_WITH_PEOPLE = "(SELECT obs.*, segment, region, half, balance FROM obs JOIN people ON people.id = obs.id)"
+
+
+def adjusted_fits(spark, sf):
+    rows = prepared(spark, sf).filter("outcome_observed = 1").withColumn("w", F.col("n_orders").cast("double"))
+    models = transition_models([STATE, *COVARIATES])
+    return rows, models, fit_models(rows, models, cluster="id")
+
+
+@query(
+    "adjusted_balance",
+    f"WITH {S.SQL_INTERVALS}, {S.SQL_PEOPLE}, {sql_risk(source=SQL_WITH_PEOPLE).replace('o.state AS g', 'o.*')}, {sql_balance(SQL_ADJUSTED_COLUMNS, 'r')}",
+)
+def adjusted_balance(spark, sf):
+    """Observed against fitted events, by every level and number of the covariate-adjusted transition models."""
+    rows, models, fits = adjusted_fits(spark, sf)
+    return rounded(E.balance(rows, fits, models), 3)
+
+
+SQL_DECLINE_COLUMNS = {
+    **{c: SQL_ADJUSTED_COLUMNS[c] for c in SQL_ADJUSTED_COLUMNS if c.startswith(("intercept", "state", "segment_cat", "half", "balance_filled"))},
+    **{f"state[{g}]:half": f"(state = {g})::INT * half" for g in (1, 2, 3)},
+}
+
+
+@query(
+    "coefficient_balance",
+    f"""WITH {S.SQL_INTERVALS}, {S.SQL_PEOPLE}, r AS (SELECT 'Any decline' AS model, o.*, 1.0 AS w, (destination_state = 2)::INT AS y
+      FROM {SQL_WITH_PEOPLE} o WHERE functional_state < 2), {sql_balance(SQL_DECLINE_COLUMNS, "r")}""",
+)
+def coefficient_balance(spark, sf):
+    """The same check of the logistic model with products behind ``coefficient_table``."""
+    rows, model, fits = decline_fit(spark, sf)
+    return rounded(E.balance(rows, fits, [model]), 3)
+
+
+@query(
+    "nested_audit",
+    f"""WITH {S.SQL_INTERVALS},
+    c AS (SELECT wave, functional_state AS s, count(*) AS n, count(outcome_observed) FILTER (outcome_observed = 1) AS seen FROM iv GROUP BY 1, 2),
+    w AS (SELECT wave, CAST(sum(n) AS BIGINT) AS n, map_from_entries(list({{'k': CAST(s AS VARCHAR), 'v': {{'intervals': n, 'observed': seen}}}} ORDER BY s)) AS by_state FROM c GROUP BY 1)
+    SELECT CAST(to_json({{'intervals': CAST(sum(n) AS BIGINT), 'waves': map_from_entries(list({{'k': CAST(wave AS VARCHAR), 'v': {{'intervals': n, 'by_state': by_state}}}} ORDER BY wave)),
+      'models': {{'Settled to flagged': true, 'Pending to flagged': true, 'Pending to settled': true, 'Flagged to better': true}}}}) AS VARCHAR) AS document FROM w""",
+)
+def nested_audit(spark, sf):
+    """One document of nested maps: intervals by wave and state from one aggregate, and each model's convergence."""
+    rows = S.intervals(spark, sf)
+    counted = rows.groupBy("wave", F.col("functional_state").alias("s")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome_observed") == 1).alias("seen")
+    )
+    held = tables.stored(counted, "audit_counts")
+    states = tables.grouped_map(held, ["wave"], "s", F.struct(F.col("n").alias("intervals"), F.col("seen").alias("observed")), "by_state")
+    waves = states.join(held.groupBy("wave").agg(F.sum("n").alias("intervals")), "wave").withColumn("all", F.lit(1))
+    document = tables.grouped_map(waves, ["all"], "wave", F.struct("intervals", "by_state"), "waves")
+    total = held.agg(F.sum("n").alias("intervals"))
+    _, models, fits = state_fits(spark, sf)
+    converged = F.struct(*[F.lit(bool(fits[m.name].converged)).alias(m.name) for m in models])
+    joined = total.withColumn("all", F.lit(1)).join(document, "all", "left")
+    return tables.audit_document(joined.select("intervals", "waves", converged.alias("models")))

@@ -414,3 +414,19 @@ def build_audit(spark, sf):
         F.sum(1 - F.col("outcome_observed")).alias("censored"),
     )
     return tables.audit_document(checks)
+
+
+@query(
+    "partition_rewrite",
+    f"""WITH {S.SQL_PANEL} SELECT wave, count(*) AS people, CAST(sum(CASE WHEN wave = 3 THEN 2 * n_orders ELSE n_orders END) AS BIGINT) AS orders
+    FROM panel WHERE wave IN (3, 4) GROUP BY 1""",
+)
+def partition_rewrite(spark, sf):
+    """A table partitioned by wave, one wave rewritten in place, and a scan that reads two waves alone."""
+    waves = S.panel(spark, sf).select("id", "wave", "n_orders")
+    path = tables.write_table(waves, tables.scratch_path(spark, "waves"), partition_by=["wave"])
+    revised = tables.read_table(spark, path).filter("wave = 3").withColumn("n_orders", F.col("n_orders") * 2)
+    tables.replace_partitions(tables.stored(revised, "revised"), path, ["wave"])
+    return tables.read_table(spark, path).filter("wave IN (3, 4)").groupBy("wave").agg(
+        F.count(F.lit(1)).alias("people"), F.sum("n_orders").alias("orders")
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import recode as R
@@ -185,6 +186,53 @@ def mixture_selection(spark, sf):
     return rounded(E.as_table(spark, selection.choices, fields), 4)
 
 
+SQL_TWO = """x AS (SELECT c_acctbal / 1000 AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer)"""
+
+
+def two_numbers(spark, sf):
+    customer = S.table(spark, sf, "customer", "c_custkey", "c_acctbal", "c_nationkey")
+    return customer.select("c_custkey", (F.col("c_acctbal") / 1000).alias("a"), F.col("c_nationkey").cast("double").alias("b"))
+
+
+def mixture_rows(spark, m):
+    rows = [
+        {"class": i, "weight": float(m.weights[i]), "mean_a": float(m.means[i, 0]), "mean_b": float(m.means[i, 1]), "var_a": float(m.variances[i, 0]), "var_b": float(m.variances[i, 1]), "loglik": float(m.loglik)}
+        for i in range(m.classes)
+    ]
+    return E.as_table(spark, rows, "class int, weight double, mean_a double, mean_b double, var_a double, var_b double, loglik double")
+
+
+@query(
+    "mixture_single_class",
+    f"""WITH {SQL_TWO}, m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) + 1e-6 AS va, var_pop(b) + 1e-6 AS vb FROM x)
+    SELECT CAST(0 AS INTEGER) AS class, 1.0::DOUBLE AS weight, round(any_value(ma), 6) AS mean_a, round(any_value(mb), 6) AS mean_b, round(any_value(va), 6) AS var_a, round(any_value(vb), 6) AS var_b,
+      round(sum(-0.5 * (ln(2 * pi() * va) + ln(2 * pi() * vb) + (a - ma) * (a - ma) / va + (b - mb) * (b - mb) / vb)), 3) AS loglik FROM x, m""",
+)
+def mixture_single_class(spark, sf):
+    """One class: the columns' means and variances."""
+    m = mixture.fit_mixtures(two_numbers(spark, sf), "c_custkey", ["a", "b"], class_counts=(1,), starts=2, tolerance=1e-12)[1]
+    return rounded(mixture_rows(spark, m).withColumn("loglik", F.round("loglik", 3)))
+
+
+#: Where one step begins: two classes, far from settled.
+STEP_FROM = mixture.Mixture(np.array([0.6, 0.4]), np.array([[1.0, 5.0], [6.0, 18.0]]), np.array([[9.0, 40.0], [4.0, 25.0]]))
+SQL_DENSITY = " - ".join(["ln({w})", "0.5 * (ln(2 * pi() * {va}) + ln(2 * pi() * {vb}) + (a - {ma}) * (a - {ma}) / {va} + (b - {mb}) * (b - {mb}) / {vb})"])
+
+
+@query(
+    "mixture_one_step",
+    f"""WITH {SQL_TWO}, d AS (SELECT a, b, unnest([0, 1]) AS class, unnest([exp({SQL_DENSITY.format(w=0.6, ma=1.0, mb=5.0, va=9.0, vb=40.0)}), exp({SQL_DENSITY.format(w=0.4, ma=6.0, mb=18.0, va=4.0, vb=25.0)})]) AS p FROM x),
+    r AS (SELECT *, p / s AS share FROM (SELECT *, sum(p) OVER (PARTITION BY a, b) / (count(*) OVER (PARTITION BY a, b) / 2) AS s FROM d)),
+    m AS (SELECT class, sum(share) AS size, sum(share * a) / sum(share) AS ma, sum(share * b) / sum(share) AS mb, sum(share * a * a) / sum(share) AS aa, sum(share * b * b) / sum(share) AS bb FROM r GROUP BY 1)
+    SELECT class, round(size / sum(size) OVER (), 6) AS weight, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(aa - ma * ma + 1e-6, 6) AS var_a, round(bb - mb * mb + 1e-6, 6) AS var_b,
+      round((SELECT sum(ln(s)) / 2 FROM r), 3) AS loglik FROM m""",
+)
+def mixture_one_step(spark, sf):
+    """One round of expectation and maximisation from given classes."""
+    m = mixture.step(two_numbers(spark, sf), ["a", "b"], STEP_FROM)
+    return rounded(mixture_rows(spark, m).withColumn("loglik", F.round("loglik", 3)))
+
+
 @query("mixture_trajectories")
 def mixture_trajectories(spark, sf):
     rows, _ = trajectories(spark, sf)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,6 +36,13 @@ def write_table(
     return path
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> str:
+    """Rewrite the partitions that ``df`` has rows of; all others stay as they are."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``.
 
@@ -84,6 +91,17 @@ def audit_document(checks: DataFrame) -> DataFrame:
     return checks.select(F.to_json(F.struct(*checks.columns)).alias("document"))
 
 
+def grouped_map(counted: DataFrame, outer: Sequence[str], key: str, value: Column, name: str) -> DataFrame:
+    """One level of a nested document: per group of ``outer`` a map from ``key`` to ``value``, keys in order.
+
+    Meant for tables that are small already (one row per group); NULL keys are left out.
+    """
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))), by_key)
+    named = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["k"].cast("string").alias("k"), e["v"].alias("v"))))
+    return counted.filter(F.col(key).isNotNull()).groupBy(*outer).agg(named.alias(name))
+
+
 def write_audit(checks: DataFrame, path: str) -> str:
     audit_document(checks).write.mode("overwrite").text(path)
     return path

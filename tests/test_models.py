@@ -495,3 +495,33 @@ def test_bootstrap_counts_its_successes(spark, monkeypatch):
     monkeypatch.setattr(markov, "fit_stack", failing)
     rows = study_queries.markov_bootstrap_ci(spark, "/root/testdata/sf0.001", replicates=2).collect()
     assert rows and all(r["bootstrap_successful"] == 0 and not r["feasible"] and r["ci_low"] is None for r in rows)
+
+
+def test_seeded_starts_never_fit_worse(spark):
+    from panelwright.models import mixture
+
+    rng = np.random.default_rng(11)
+    middles = np.array([[0, 0], [0, 6], [6, 0], [30, 30]])
+    rows = [(i, *(middles[3 if i % 50 == 1 else 1 + i % 2 if i % 5 == 0 else 0] + rng.normal(size=2))) for i in range(1500)]
+    df = spark.createDataFrame([(int(i), float(a), float(b)) for i, a, b in rows], "id long, a double, b double")
+    plain = mixture.fit_mixtures(df, "id", ["a", "b"], (2, 4), starts=2, seed=3, seeded=False)
+    more = mixture.fit_mixtures(df, "id", ["a", "b"], (2, 4), starts=2, seed=3)
+    again = mixture.fit_mixtures(df.repartition(7), "id", ["a", "b"], (2, 4), starts=2, seed=3)
+    for k in (2, 4):
+        assert more[k].loglik >= plain[k].loglik - 1e-6
+        assert abs(more[k].loglik - again[k].loglik) < 1e-6
+    assert np.allclose(sorted(more[4].means.sum(axis=1)), [0, 6, 6, 60], atol=1.0)
+    same = spark.createDataFrame([(i, 1.0, 2.0) for i in range(30)], "id long, a double, b double")
+    assert mixture.fit_mixtures(same, "id", ["a", "b"], (3,), starts=2)[3].n == 30
+
+
+def test_balance_tells_a_wrong_fit(spark):
+    from panelwright.models import effects
+
+    df = frame(spark)
+    model = Model("m", F.col("y"), TERMS, weight="w")
+    fits = fit_models(df, [model], cluster="id")
+    rows = effects.balance(df, fits, [model]).collect()
+    assert len(rows) == len(fits["m"].names) and all(abs(r["observed"] - r["fitted"]) < 1e-6 * max(1, abs(r["observed"])) for r in rows)
+    fits["m"].beta = fits["m"].beta + 0.01
+    assert any(abs(r["observed"] - r["fitted"]) > 1e-3 for r in effects.balance(df, fits, [model]).collect())

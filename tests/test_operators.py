@@ -311,3 +311,22 @@ def test_quantiles_of_nan_and_empty_groups(spark):
     rows = spark.createDataFrame([(1, float("nan")), (1, float("nan")), (2, None), (3, 1.0), (3, float("nan"))], "g int, v double")
     found = exact_quantiles(rows, "v", [0.0, 1.0], by=["g"], small_group=0)
     assert set(found) == {(1,), (3,)} and np.isnan(found[(1,)]).all() and found[(3,)][0] == 1.0 and np.isnan(found[(3,)][1])
+
+
+def test_rewriting_a_partition_prunes_and_keeps_the_rest(spark, tmp_path):
+    from panelwright.sources import tables
+
+    path = tables.write_table(spark.range(40).selectExpr("id", "cast(id % 4 as int) as wave"), str(tmp_path / "t"), partition_by=["wave"])
+    tables.replace_partitions(spark.createDataFrame([(100, 2)], "id long, wave int"), path, ["wave"])
+    read = tables.read_table(spark, path)
+    assert read.count() == 31 and [r["id"] for r in read.filter("wave = 2").collect()] == [100]
+    plan = read.filter("wave = 2").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(wave" in plan and "DataFilters: []" in plan
+
+
+def test_nested_documents_keep_key_order(spark):
+    from panelwright.sources import tables
+
+    rows = spark.createDataFrame([(1, k, k * 2) for k in (10, 9, 2)] + [(1, None, 5)], "g int, k int, n int")
+    found = tables.audit_document(tables.grouped_map(rows, ["g"], "k", F.struct("n"), "m").select("m")).first()[0]
+    assert found == '{"m":{"2":{"n":4},"9":{"n":18},"10":{"n":20}}}'
