@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.recode import holds
 from ..operators.reshape import set_to_each_level
 from .design import Cat, design_columns
-from .glm import Fit, Model, predicted
+from .glm import Fit, Model, class_shares, predicted
 
 HAND = 1.96
 EXACT = 1.959963984540054
@@ -378,24 +378,37 @@ def balance(df: DataFrame, fits: Mapping[str, Fit], models: Sequence[Model]) ->
 
     A likelihood fit with its canonical link makes the two equal for each column, and only one
     coefficient vector does (where the columns are independent), so the table checks an adjusted
-    fit against plain sums of the data: events by level of each category, and by number. One
-    pass over the rows for all models. A model without a fit has no rows.
+    fit against plain sums of the data: events by level of each category, and by number. A multinomial
+    model has a row per column and class (``column|class``), the first class included, and a penalty's
+    pull counts as part of the fitted sum. One pass over the rows for all models. A model
+    without a fit has no rows.
     """
     named = [m for m in models if m.name in fits and fits[m.name].n]
     scored, sums, places = df, [], []
     for i, m in enumerate(named):
-        scored = predicted(scored, fits[m.name], m, f"__mu{i}")
-        use = F.col(f"__mu{i}").isNotNull() & m.outcome.isNotNull()
+        fit, mean = fits[m.name], F.col(f"__mu{i}")
+        many = m.family == "multinomial"
+        scored = class_shares(scored, fit, m, f"__mu{i}") if many else predicted(scored, fit, m, f"__mu{i}")
+        use = mean.isNotNull() & m.outcome.isNotNull()
         use = use if m.where is None else use & m.where
         weight = F.col(m.weight).cast("double") if m.weight else F.lit(1.0)
         use = use & weight.isNotNull()
-        for name, column in design_columns(m.terms, fits[m.name].levels, m.intercept):
-            places.append((m.name, name))
-            k = len(places) - 1
-            sums.append(F.sum(F.when(use, weight * column * m.outcome.cast("double"))).alias(f"o{k}"))
-            sums.append(F.sum(F.when(use, weight * column * F.col(f"__mu{i}"))).alias(f"f{k}"))
+        design = design_columns(m.terms, fit.levels, m.intercept)
+        blocks = fit.beta.reshape(m.classes - 1 if many else 1, len(design))
+        if many:  # measured from the mean over all classes, as the penalty does
+            blocks = np.vstack([np.zeros(len(design)), blocks])
+            blocks = blocks - blocks.mean(axis=0)
+        for c, block in enumerate(blocks):
+            own = (m.outcome == c).cast("double") if many else m.outcome.cast("double")
+            share = F.get(mean, F.lit(c)) if many else mean
+            for (name, column), b in zip(design, block):
+                pull = 0.0 if name == "intercept" else m.penalty * float(b)
+                places.append((m.name, f"{name}|{c}" if many else name, pull))
+                k = len(places) - 1
+                sums.append(F.sum(F.when(use, weight * column * own)).alias(f"o{k}"))
+                sums.append(F.sum(F.when(use, weight * column * share)).alias(f"f{k}"))
     if not places:
         return df.sparkSession.createDataFrame([], BALANCE_FIELDS)
     found = scored.agg(*sums).first()
-    rows = [(model, term, found[f"o{k}"], found[f"f{k}"]) for k, (model, term) in enumerate(places)]
+    rows = [(model, term, found[f"o{k}"], found[f"f{k}"] + pull) for k, (model, term, pull) in enumerate(places)]
     return df.sparkSession.createDataFrame(rows, BALANCE_FIELDS)

@@ -40,6 +40,9 @@ class Model:
     ``errors`` is ``cluster`` (by the cluster column of the call), ``HC0``, ``HC1``, ``HC3``, or
     ``none`` for the inverse information alone. A ``multinomial`` outcome holds class numbers
     0..classes-1; its coefficients are those of classes 1 and up against class 0, in turn.
+    ``penalty`` takes half of it times the squared coefficients other than the intercept off the
+    log-likelihood. Those of a multinomial are measured from their mean over all classes, so
+    it does not matter which class comes first.
     """
 
     name: str
@@ -51,6 +54,7 @@ class Model:
     errors: str = "cluster"
     intercept: bool = True
     classes: int = 2
+    penalty: float = 0.0
 
 
 @dataclass
@@ -140,6 +144,16 @@ def mean_response(x, beta, family):
     return np.exp(eta) if family == "poisson" else 1 / (1 + np.exp(-eta))
 
 
+def penalty_matrix(model: Model, columns: Sequence[str]) -> np.ndarray | None:
+    """Second derivatives of a model's penalty by its coefficients; None without a penalty."""
+    if not model.penalty:
+        return None
+    held = np.diag([0.0 if c == "intercept" else model.penalty for c in columns])
+    if model.family != "multinomial":
+        return held
+    return np.kron(np.eye(model.classes - 1) - 1 / model.classes, held)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(float, copy=False).reshape(-1, width)
@@ -273,6 +287,8 @@ def _fit(layout: _Layout, engine, max_rounds: int) -> dict[str, Fit]:
     fits: dict[str, Fit] = {}
     betas: dict[int, np.ndarray | None] = {i: None for i in range(len(layout.models))}
     before: dict[int, np.ndarray | None] = dict(betas)
+    penalties = [penalty_matrix(m, [c for c, _ in d]) for m, d in zip(layout.models, layout.designs)]
+    reached: dict[int, float] = {}  # the log-likelihood less the penalty
     active = set(betas)
     stalled = dict.fromkeys(betas, 0)
     for round_no in range(1, max_rounds + 1):
@@ -290,25 +306,28 @@ def _fit(layout: _Layout, engine, max_rounds: int) -> dict[str, Fit]:
                 fits[model.name] = _failed(model.name, names, "sums are not finite")
                 active.discard(i)
                 continue
-            last = betas[i]
-            known = fits[model.name].loglik if before[i] is not None else -np.inf
-            if loglik < known - 1e-9 * abs(known) and model.family != "gaussian":
+            last, unseen, value = betas[i], np.diag(gram) == 0, loglik
+            if penalties[i] is not None:
+                gram = gram + penalties[i]
+                value = loglik if last is None else loglik - 0.5 * last @ penalties[i] @ last
+            known = reached[i] if before[i] is not None else -np.inf
+            if value < known - 1e-9 * abs(known) and model.family != "gaussian":
                 betas[i] = (last + before[i]) / 2  # the step went too far
                 continue
             beta, inverse, rank = solve(gram, right)
             done = model.family == "gaussian" and last is not None
             if last is not None and not done:
                 move = beta - last
-                change = abs(loglik - fits[model.name].loglik)
-                stalled[i] = stalled[i] + 1 if change < STALL * (abs(loglik) + 0.1) else 0
+                change = abs(value - reached[i])
+                stalled[i] = stalled[i] + 1 if change < STALL * (abs(value) + 0.1) else 0
                 done = float(move @ gram @ move) < DECREMENT or stalled[i] >= 2
             fits[model.name] = Fit(
                 model.name, names, beta, inverse, inverse, int(n), float(events), 0,
                 float(loglik), rank, bool(done), round_no,
-                [c for c, d in zip(names, np.diag(gram)) if d == 0],
+                [c for c, d in zip(names, unseen) if d],
                 None if done else "not converged", layout.levels,
             )
-            before[i], betas[i] = last, beta
+            before[i], betas[i], reached[i] = last, beta, value
             if done:
                 active.discard(i)
         if not active:
@@ -649,8 +668,8 @@ def predicted(
     return df.withColumn(name, F.when(all_present(used_columns(model.terms)), mean))
 
 
-def own_class_probability(df: DataFrame, fit: Fit, model: Model, name: str, bounds: tuple[float, float]) -> DataFrame:
-    """Probability of the class each row has, for a multinomial model (NULL where a variable is missing)."""
+def class_shares(df: DataFrame, fit: Fit, model: Model, name: str) -> DataFrame:
+    """Probabilities of all classes of a multinomial model, as an array (NULL where a variable is missing)."""
     design = design_columns(model.terms, fit.levels, model.intercept)
     odds = [F.lit(1.0)]
     for block in fit.beta.reshape(model.classes - 1, len(design)):
@@ -661,10 +680,16 @@ def own_class_probability(df: DataFrame, fit: Fit, model: Model, name: str, boun
         odds.append(F.exp(F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))))
     scored = df.withColumn("__odds", F.array(*odds))
     total = F.aggregate("__odds", F.lit(0.0), lambda a, v: a + v)
-    share = F.get("__odds", model.outcome.cast("int")) / total
+    shares = F.transform("__odds", lambda v: v / total)
+    return scored.withColumn(name, F.when(all_present(used_columns(model.terms)), shares)).drop("__odds")
+
+
+def own_class_probability(df: DataFrame, fit: Fit, model: Model, name: str, bounds: tuple[float, float]) -> DataFrame:
+    """Probability of the class each row has, for a multinomial model (NULL where a variable is missing)."""
+    scored = class_shares(df, fit, model, "__shares")
+    share = F.get("__shares", model.outcome.cast("int"))
     held = F.least(F.greatest(share, F.lit(bounds[0])), F.lit(bounds[1]))
-    usable = all_present(used_columns(model.terms)) & model.outcome.isNotNull()
-    return scored.withColumn(name, F.when(usable, held)).drop("__odds")
+    return scored.withColumn(name, F.when(share.isNotNull(), held)).drop("__shares")
 
 
 AUDIT = (

@@ -13,9 +13,9 @@ from ..functions import recode as R
 from ..models import effects as E
 from ..models.design import Cat, Num, crossed
 from ..models.glm import Model, fit_models, model_audit
-from ..models.weights import marginal_structural_weights, observation_weights
+from ..models.weights import class_models, marginal_structural_weights, observation_models, observation_weights
 from ..operators import joins
-from ..operators.sequences import HISTORY_GROUPS, mean_normalised, standardise_within
+from ..operators.sequences import HISTORY_GROUPS, add_previous_wave, mean_normalised, standardise_within
 from ..operators.summaries import fill_missing, gate
 from ..sources import tables
 from ..sources.tables import stored
@@ -582,6 +582,35 @@ def logit_newton(spark, sf):
     return rounded(E.as_table(spark, [row], "intercept double, slope double"))
 
 
+#: Of the slope's square in the two queries below.
+RIDGE = 40
+
+
+@query(
+    "ridge_logit_newton",
+    f"""WITH RECURSIVE {S.SQL_INTERVALS}, x AS (SELECT CASE WHEN destination_state = 2 THEN 1.0 ELSE 0.0 END AS y, spend / 100000 AS x FROM obs),
+    it(step, b0, b1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+      UNION ALL SELECT step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+      FROM (SELECT any_value(step) AS step, any_value(b0) AS b0, any_value(b1) AS b1, sum(y - p) AS g0, sum((y - p) * x) - {RIDGE} * any_value(b1) AS g1,
+          sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) + {RIDGE} AS h11
+        FROM (SELECT step, b0, b1, x, y, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM it, x WHERE step < 12) HAVING count(*) > 0))
+    SELECT unnest(['binary', 'two classes']) AS model, round(b0, 6) AS intercept, round(b1, 6) AS slope FROM (SELECT * FROM it ORDER BY step DESC LIMIT 1)""",
+)
+def ridge_logit_newton(spark, sf):
+    """A penalised slope; two classes share the penalty between them, so theirs is twice as large."""
+    rows = S.observed(spark, sf).withColumn("x", F.col("spend") / 100000)
+    flagged = R.event_in("destination_state", [2])
+    models = [
+        Model("binary", flagged, (Num("x"),), family="binomial", errors="none", penalty=RIDGE),
+        Model("two classes", flagged, (Num("x"),), family="multinomial", errors="none", penalty=2 * RIDGE),
+    ]
+    out = [
+        {"model": f.name, "intercept": float(f.beta[0]), "slope": float(f.beta[1])}
+        for f in fit_models(rows, models).values()
+    ]
+    return rounded(E.as_table(spark, out, "model string, intercept double, slope double"))
+
+
 @query(
     "observation_weights",
     f"""WITH {S.SQL_INTERVALS},
@@ -670,6 +699,32 @@ def model_grid(spark, sf):
     return audit.select("model", "n", "events", "people", "converged")
 
 
+GRID_SHARED = ("unweighted", "weighted", "repeat orders", "first waves")
+
+
+@query(
+    "grid_saturated_ratios",
+    f"""WITH {S.SQL_INTERVALS}, grid(name, origin, d1, d2) AS (VALUES {GRID_SQL}),
+    variants(variant, min_orders, first_waves) AS (VALUES ('unweighted', 1, 9), ('weighted', 1, 9), ('repeat orders', 2, 9), ('first waves', 1, 4)),
+    r AS (SELECT name || ' ' || variant AS model, id, state AS g, CASE WHEN variant = 'unweighted' THEN 1.0 ELSE CAST(n_orders AS DOUBLE) END AS w,
+        CASE WHEN destination_state IN (d1, d2) THEN 1.0 ELSE 0.0 END AS y
+      FROM obs JOIN grid ON functional_state = origin JOIN variants ON n_orders >= min_orders AND wave <= first_waves),
+    {sql_saturated(4)}, {PAIRS_STATE}, {SQL_PAIRS}
+    SELECT est.model, comparison, round(exp(b), 6) AS estimate, round(se, 6) AS se_log FROM est
+    WHERE est.model IN (SELECT model FROM cell GROUP BY 1 HAVING min(mu) > 0 AND count(*) = 4)""",
+)
+def grid_saturated_ratios(spark, sf):
+    """The ratios of the grid's 44 fits on the state alone, as far as each state has an event in the fit."""
+    rows = weighted(spark, sf)
+    models = [m for m in grid_models() if m.name.endswith(GRID_SHARED)]
+    fits = fit_models(rows, models, cluster="id")
+    events = [F.count_if(m.where & (m.outcome == 1)).alias(m.name) for m in models]
+    by_state = rows.groupBy("state").agg(*events).collect()
+    full = [m.name for m in models if len([r for r in by_state if r[m.name]]) == len(S.STATE_LABELS)]
+    out = [r for n in full for r in E.ratio_rows(fits[n], "state", [1, 2, 3], S.STATE_LABELS, CONTRASTS)]
+    return rounded(E.as_table(spark, out, E.RATIO_FIELDS).select("model", "comparison", "estimate", "se_log"))
+
+
 @query("model_grid_ratios")
 def model_grid_ratios(spark, sf):
     """The ratios of every fit of the grid beside its audit; a fit without any keeps one row."""
@@ -681,17 +736,19 @@ def model_grid_ratios(spark, sf):
 
 
 def grid_fits(spark, sf):
-    rows = weighted(spark, sf)
+    return fit_models(weighted(spark, sf), grid_models(), cluster="id")
+
+
+def grid_models():
     specs = [(o, d, f"{o}->{'+'.join(map(str, d))}") for o, d in GRID]
     wave = Cat("wave", levels=(1, 2, 3, 4, 5))
-    models = (
+    return (
         transition_models([STATE], None, specs, suffix=" unweighted")
         + transition_models([STATE], "w", specs, suffix=" weighted")
         + transition_models([STATE, wave], "w", specs, suffix=" adjusted")
         + transition_models([STATE], "w", specs, F.col("n_orders") >= 2, " repeat orders")
         + transition_models([STATE], "w", specs, F.col("wave") <= 4, " first waves")
     )
-    return fit_models(rows, models, cluster="id")
 
 
 COVARIATES = (
@@ -798,11 +855,31 @@ def omit_covariate_sensitivity(spark, sf):
     return rounded(E.as_table(spark, out, E.RATIO_FIELDS))
 
 
+TREATMENT = (Cat("lag_state"), *COVARIATES)
+TREATMENT_SEEN = (Cat("functional_state"), Num("lag_reading_filled"), Num("lag_reading_missing", discrete=True))
+TREATMENT_PENALTY = 1e-6
+
+
+def treatment_rows(spark, sf):
+    """Intervals with the exposure and the reading of the wave before; readings above 300,000 count as missing."""
+    rows = prepared(spark, sf).withColumn("reading", R.in_range("spend", 0, 300_000) / 1000)
+    rows = add_previous_wave(rows, "id", "wave", {"state": "lag_state", "reading": "lag_reading"})
+    rows = stored(rows.filter("lag_state is not null"), "treatment")
+    return fill_missing(rows, median={"lag_reading": "lag_reading_filled"})
+
+
 @query("msm_rr")
 def msm_rr(spark, sf):
-    """Transition ratios under exposure-history weights times observation weights."""
+    """Transition ratios under exposure-history weights times observation weights.
+
+    Both treatment models hold the covariates; the denominator also the origin, the reading of the wave
+    before and whether it was missing.
+    """
     seen, _ = fully_weighted(spark, sf)
-    history, _ = msm_rows(spark, sf)
+    history, _ = marginal_structural_weights(
+        treatment_rows(spark, sf), "id", "wave", "state", (*TREATMENT, *TREATMENT_SEEN), TREATMENT,
+        keep=lambda df: stored(df, "msm"), penalty=TREATMENT_PENALTY,
+    )
     rows = joins.checked_join(seen, history.select("id", "wave", "sw"), ["id", "wave"], how="inner")
     rows = rows.withColumn("msm_weight", F.col("iow") * F.col("sw"))
     fits = fit_models(rows, transition_models([STATE, *COVARIATES], "msm_weight"), cluster="id")
@@ -823,11 +900,14 @@ def coefficient_table(spark, sf):
     return rounded(E.as_table(spark, E.coefficient_rows(fits["Any decline"]), E.COEFFICIENT_FIELDS))
 
 
-def sql_balance(columns: dict[str, str], source: str) -> str:
+def sql_entries(columns: dict[str, str]) -> str:
+    return ", ".join(f"{{'term': '{name}', 'x': CAST({x} AS DOUBLE)}}" for name, x in columns.items())
+
+
+def sql_balance(columns: dict[str, str], source: str, digits: int = 3) -> str:
     """Weighted sums of y times each column; a fit must give the same for its means."""
-    entries = ", ".join(f"{{'term': '{name}', 'x': CAST({x} AS DOUBLE)}}" for name, x in columns.items())
-    return f"""l AS (SELECT model, w, y, unnest([{entries}], recursive := true) FROM {source})
-    SELECT model, term, round(sum(w * x * y), 3) AS observed, round(sum(w * x * y), 3) AS fitted FROM l GROUP BY 1, 2"""
+    return f"""l AS (SELECT model, w, y, unnest([{sql_entries(columns)}], recursive := true) FROM {source})
+    SELECT model, term, round(sum(w * x * y), {digits}) AS observed, round(sum(w * x * y), {digits}) AS fitted FROM l GROUP BY 1, 2"""
 
 
 #: Reference levels are the smallest of each: the first interval (of wave 1), segment and region.
@@ -861,6 +941,51 @@ def adjusted_balance(spark, sf):
     return rounded(E.balance(rows, fits, models), 3)
 
 
+SQL_ORIGIN_COLUMNS = {f"functional_state[{g}]": f"functional_state = {g}" for g in (1, 2)}
+
+
+@query(
+    "observation_balance",
+    f"""WITH {S.SQL_INTERVALS}, {S.SQL_PEOPLE},
+    r AS (SELECT unnest(['denominator', 'numerator']) AS model, 1.0 AS w, outcome_observed AS y, iv.*, segment, region, half, balance
+      FROM iv JOIN people ON people.id = iv.id), {sql_balance({**SQL_ADJUSTED_COLUMNS, **SQL_ORIGIN_COLUMNS}, "r")}
+    HAVING model = 'denominator' OR term = 'intercept' OR term LIKE 'interval%' OR term LIKE 'functional%'""",
+)
+def observation_balance(spark, sf):
+    """Observed against fitted outcomes seen, by every column of both models behind the observation weights."""
+    rows, origin = prepared(spark, sf), Cat("functional_state")
+    models = observation_models("outcome_observed", [STATE, origin, *COVARIATES], [origin, Cat("interval")])
+    return rounded(E.balance(rows, fit_models(rows, models), models), 3)
+
+
+SQL_TREATMENT_COLUMNS = {
+    **{c: x for c, x in SQL_ADJUSTED_COLUMNS.items() if not c.startswith(("state", f"interval[{S.FIRST_YEAR + 2}-"))},
+    **{f"lag_state[{g}]": f"lag_state = {g}" for g in (1, 2, 3)},
+    **SQL_ORIGIN_COLUMNS,
+    "lag_reading_filled": "coalesce(lag_reading, (SELECT median(lag_reading) FROM t))",
+    "lag_reading_missing": "lag_reading IS NULL",
+}
+
+
+@query(
+    "treatment_balance",
+    f"""WITH {S.SQL_INTERVALS}, {S.SQL_PEOPLE},
+    t AS (SELECT iv.*, segment, region, half, balance, q.state AS lag_state, CASE WHEN q.spend <= 300000 THEN q.spend / 1000 END AS lag_reading
+      FROM iv JOIN panel q ON q.id = iv.id AND q.wave = iv.wave - 1 JOIN people ON people.id = iv.id),
+    c AS (SELECT *, unnest([0, 1, 2, 3]) AS class FROM t),
+    l AS (SELECT (state = class)::INT AS y, class, unnest([{sql_entries(SQL_TREATMENT_COLUMNS)}], recursive := true) FROM c),
+    s AS (SELECT term, class, round(sum(x * y), 3) AS v FROM l GROUP BY 1, 2)
+    SELECT model, term || '|' || class AS term, v AS observed, v AS fitted
+    FROM s CROSS JOIN (VALUES ('p_denominator'), ('p_numerator')) m(model)
+    WHERE model = 'p_denominator' OR NOT (term LIKE 'functional%' OR term LIKE 'lag_reading%')""",
+)
+def treatment_balance(spark, sf):
+    """People by exposure, observed against fitted, for every column of both multinomial models behind ``msm_rr``."""
+    designs = {"p_denominator": (*TREATMENT, *TREATMENT_SEEN), "p_numerator": TREATMENT}
+    rows, models, fits = class_models(treatment_rows(spark, sf), "state", designs, TREATMENT_PENALTY)
+    return rounded(E.balance(rows, fits, models), 3)
+
+
 SQL_DECLINE_COLUMNS = {
     **{c: SQL_ADJUSTED_COLUMNS[c] for c in SQL_ADJUSTED_COLUMNS if c.startswith(("intercept", "state", "segment_cat", "half", "balance_filled"))},
     **{f"state[{g}]:half": f"(state = {g})::INT * half" for g in (1, 2, 3)},

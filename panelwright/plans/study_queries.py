@@ -24,9 +24,11 @@ from .model_queries import (
     COVARIATES,
     PAIRS_STATE,
     RATIO_COLUMNS,
+    SQL_ADJUSTED_COLUMNS,
     SQL_PAIRS,
     STATE,
     fully_weighted,
+    sql_balance,
     sql_risk,
     sql_saturated,
     transition_models,
@@ -301,7 +303,7 @@ def mediation_rows(spark, sf):
         "id", F.col("n_orders").cast("double").alias("mediator"), R.event_in("functional_state", [2]).alias("flagged")
     )
     joined = joins.checked_join(rows, later, ["id"], how="inner")
-    return stored(joined.filter(F.col("slope_sd").isNotNull()), "mediation")
+    return stored(S.modelled(joined.filter(F.col("slope_sd").isNotNull())), "mediation")
 
 
 @query(
@@ -324,18 +326,48 @@ def sobel_a_path(spark, sf):
     return rounded(E.as_table(spark, out, "half int, n bigint, a double, a_se double"))
 
 
-@query("mediation_sobel")
-def mediation_sobel(spark, sf, least_rows: int = 200, least_events: int = 20):
-    """Slope to order count to outcome within halves; too small a stratum is left out."""
-    rows = mediation_rows(spark, sf)
+MEDIATION_COVARIATES = (Cat("segment_cat"), Cat("region"), Num("balance_k"))
+
+
+def mediation_models():
+    """Within halves: slope to order count, and both to the outcome, given the covariates."""
     models = []
     for h in (0, 1):
-        inside = F.col("half") == h
-        models.append(Model(f"a{h}", F.col("mediator"), (Num("slope_sd"),), where=inside, family="gaussian", errors="HC1"))
+        inside, terms = F.col("half") == h, (Num("slope_sd"), *MEDIATION_COVARIATES)
+        models.append(Model(f"a{h}", F.col("mediator"), terms, where=inside, family="gaussian", errors="HC1"))
         models.append(
-            Model(f"b{h}", F.col("flagged"), (Num("slope_sd"), Num("mediator")), where=inside, family="binomial", errors="HC1")
+            Model(f"b{h}", F.col("flagged"), (*terms, Num("mediator")), where=inside, family="binomial", errors="HC1")
         )
-    fits = fit_models(rows, models)
+    return models
+
+
+SQL_MEDIATION_COLUMNS = {
+    **{c: x for c, x in SQL_ADJUSTED_COLUMNS.items() if c.startswith(("intercept", "segment_cat", "region"))},
+    "balance_k": "balance / 1000", "slope_sd": "slope_sd", "mediator": "mediator",
+}
+
+
+@query(
+    "mediation_balance",
+    f"""WITH {SQL_SLOPES}, md AS (SELECT sl.half, (slope - m) / s AS slope_sd, CAST(n_orders AS DOUBLE) AS mediator,
+        CAST(functional_state = 2 AS DOUBLE) AS flagged, segment, region, balance
+      FROM sl CROSS JOIN ms JOIN panel p ON p.id = sl.id AND p.wave = 6 JOIN people q ON q.id = sl.id WHERE balance IS NOT NULL),
+    r AS (SELECT unnest([{{'model': 'a' || half, 'y': mediator}}, {{'model': 'b' || half, 'y': flagged}}], recursive := true), 1.0 AS w, md.* FROM md),
+    {sql_balance(SQL_MEDIATION_COLUMNS, "r", 5)} HAVING model LIKE 'b%' OR term <> 'mediator'""",
+)
+def mediation_balance(spark, sf):
+    """Observed against fitted sums by every column of the models behind ``mediation_sobel``."""
+    rows, models = mediation_rows(spark, sf), mediation_models()
+    return rounded(E.balance(rows, fit_models(rows, models), models), 5)
+
+
+@query("mediation_sobel")
+def mediation_sobel(spark, sf, least_rows: int = 200, least_events: int = 20):
+    """Slope to order count to outcome within halves; too small a stratum is left out.
+
+    People without a balance are in neither model.
+    """
+    fits = fit_models(mediation_rows(spark, sf), mediation_models())
     out = []
     for h in (0, 1):
         first, second = fits[f"a{h}"], fits[f"b{h}"]

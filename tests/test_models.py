@@ -525,3 +525,34 @@ def test_balance_tells_a_wrong_fit(spark):
     assert len(rows) == len(fits["m"].names) and all(abs(r["observed"] - r["fitted"]) < 1e-6 * max(1, abs(r["observed"])) for r in rows)
     fits["m"].beta = fits["m"].beta + 0.01
     assert any(abs(r["observed"] - r["fitted"]) > 1e-3 for r in effects.balance(df, fits, [model]).collect())
+
+
+def test_penalised_classes_treat_every_class_alike(spark):
+    df = frame(spark)
+    terms = (Num("x"), Num("w"))
+    first = Model("first", F.col("g"), terms, family="multinomial", errors="none", classes=3, penalty=25.0)
+    turned = Model("turned", 2 - F.col("g"), terms, family="multinomial", errors="none", classes=3, penalty=25.0)
+    fits = fit_models(df, [first, turned])
+    one = glm.class_shares(df, fits["first"], first, "p")
+    both = glm.class_shares(one, fits["turned"], turned, "q").select("p", F.reverse("q").alias("q")).collect()
+    assert max(abs(a - b) for r in both for a, b in zip(r.p, r.q)) < 1e-9
+
+    pdf = df.toPandas()
+    x = np.column_stack([np.ones(len(pdf)), pdf.x, pdf.w])
+    beta = np.zeros((3, 3))  # a class per row; the penalty alone settles the slopes, so plain descent finds them
+    hit = np.eye(3)[pdf.g.to_numpy()]
+    for _ in range(20_000):
+        odds = np.exp(x @ beta.T)
+        beta += 1e-3 * ((hit - odds / odds.sum(axis=1, keepdims=True)).T @ x - 25.0 * beta * [0, 1, 1])
+    slopes = (beta - beta[0])[1:, 1:]
+    assert np.allclose(fits["first"].beta.reshape(2, 3)[:, 1:], slopes, atol=1e-6)
+    gap = effects.balance(df, fits, [first, turned]).filter(F.abs(F.col("observed") - F.col("fitted")) > 1e-6)
+    assert gap.count() == 0
+
+
+def test_penalty_settles_separated_and_constant_columns(spark):
+    df = spark.createDataFrame([(float(i), int(i > 4), 1.0) for i in range(10)], "x double, y int, one double")
+    model = Model("m", F.col("y"), (Num("x"), Num("one")), family="binomial", errors="none", penalty=0.5)
+    fit = fit_models(df, [model])["m"]
+    assert fit.converged and fit.error is None
+    assert abs(fit.beta[fit.at("one")]) < 1e-9 and 0.5 < fit.beta[fit.at("x")] < 5
