@@ -7,6 +7,7 @@ log-likelihood ratio, trained from labelled samples. DataFrame functions only.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,11 @@ PATTERNS = {
 HINTS = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "access": "AKIA", "hex": "[0-9a-f]{24}"}
 #: A candidate for the models: a run of these, at least as long as given.
 CANDIDATE, LEAST = r"[A-Za-z0-9+/_-]{16,}", 16
+#: Of these the ordinary sample is made: the same characters, so that their signs are ordinary too.
+ORDINARY = r"[A-Za-z0-9+/_-]{6,}"
 CODES = 128
+#: Character classes of candidates, each with a threshold of its own.
+CLASSES = ("letters", "digits", "mixed")
 
 
 def spans(text: Column, pattern: str, kind: str, group: int, least: int) -> Column:
@@ -53,6 +58,25 @@ def spans(text: Column, pattern: str, kind: str, group: int, least: int) -> Colu
     return F.filter(F.aggregate(parts, begun, step, lambda a: a["out"]), lambda s: F.char_length(s["value"]) >= least)
 
 
+def outside(span: Column, base: Column, least: int = LEAST) -> Column:
+    """The stretches of a span that no span of ``base`` (by start) covers, ``least`` characters at least."""
+
+    def piece(at: Column, end: Column) -> Column:
+        value = F.substring(span["value"], at - span["start"] + 1, end - at)
+        one = F.struct(at.alias("start"), end.alias("end"), span["kind"].alias("kind"), value.alias("value"))
+        return F.when(end - at >= least, F.array(one)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>"))
+
+    met = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    begun = F.struct(span["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>").alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out")
+        )
+
+    return F.aggregate(met, begun, step, lambda a: F.concat(a["out"], piece(a["at"], span["end"])))
+
+
 def base_spans(text: Column) -> Column:
     """All pattern spans of a text by start, then kind as listed."""
     none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
@@ -73,10 +97,11 @@ def listed(found: Column) -> Column:
 @dataclass(frozen=True)
 class Model:
     """For each pair of neighbouring ASCII characters the log of how much likelier it is in
-    random strings than in identifiers (``table[128 * before + after]``), and the mean above which a string is secret."""
+    random strings than in identifiers (``table[128 * before + after]``), and for each of ``CLASSES`` the mean
+    from which on a string is secret."""
 
     table: tuple[float, ...]
-    threshold: float
+    thresholds: tuple[float, ...]
 
 
 def _pairs(strings: DataFrame, name: str) -> DataFrame:
@@ -91,27 +116,40 @@ def _pairs(strings: DataFrame, name: str) -> DataFrame:
     )
 
 
-def train(random: DataFrame, ordinary: DataFrame, threshold: float = 0.5, smoothing: float = 0.5) -> Model:
+def class_of(string: Column) -> Column:
+    """The place in ``CLASSES``: no digit, no letter, or both."""
+    return F.when(~string.rlike("[0-9]"), 0).when(~string.rlike("[A-Za-z]"), 1).otherwise(2)
+
+
+def train(
+    random: DataFrame, ordinary: DataFrame, thresholds: Sequence[float] = (0.5, 0.5, 0.5), smoothing: float = 0.5
+) -> Model:
     """The two first-order models from columns ``s`` of random strings and of identifiers.
 
     Transition counts are sums over all rows; at most 128 x 128 of them reach the driver. Each row of
-    counts is smoothed over the characters that occur. Without random strings, or without
-    identifiers, every ratio is 0 and nothing is found.
+    counts is smoothed over the characters that occur. ``thresholds`` are those of ``CLASSES``; they are not
+    taken from the identifiers, which may hold secrets that no label knows. Without random strings, or
+    without identifiers, every ratio is 0 and nothing is found.
     """
     counts = _pairs(random, "r").join(_pairs(ordinary, "o"), "pair", "outer").collect()
     r = {x["pair"]: x["r"] or 0 for x in counts}
     o = {x["pair"]: x["o"] or 0 for x in counts}
     table = [0.0] * (CODES * CODES)
     if not sum(r.values()) or not sum(o.values()):
-        return Model(tuple(table), float("inf"))
-    used = sorted({p // CODES for p in r} | {p % CODES for p in r})
+        return Model(tuple(table), (float("inf"),) * len(CLASSES))
+    used = sorted({c for p in (*r, *o) for c in divmod(p, CODES)})
     for a in used:
         sums = [sum(m.get(a * CODES + b, 0) for b in used) + smoothing * len(used) for m in (r, o)]
         for b in used:
             p = (r.get(a * CODES + b, 0) + smoothing) / sums[0]
             q = (o.get(a * CODES + b, 0) + smoothing) / sums[1]
             table[a * CODES + b] = round(math.log(p / q), 6)
-    return Model(tuple(table), threshold)
+    return Model(tuple(table), tuple(thresholds))
+
+
+def is_secret(string: Column, model: Model) -> Column:
+    limits = F.array(*map(F.lit, model.thresholds))
+    return ratio(string, model) >= F.get(limits, class_of(string))
 
 
 def ratio(string: Column, model: Model) -> Column:
@@ -129,15 +167,16 @@ def scan(
     text: str = "text",
     most_random: int = 20_000,
     most_documents: int = 2_000,
-    threshold: float = 0.5,
+    thresholds: Sequence[float] = (0.5, 0.5, 0.5),
 ) -> DataFrame:
     """One row per document: ``key``, ``base`` (pattern spans) and ``found`` (all spans), as arrays.
 
     ``base`` are the leftmost non-overlapping matches of each pattern in the whole text that
-    are long enough. ``found`` adds, as kind ``random``, runs of 16 or more key characters with a letter and
-    a digit that overlap no base span and whose transitions fit random strings better than identifiers.
+    are long enough. ``found`` adds, as kind ``random``, runs of 16 or more key characters whose
+    transitions fit random strings better than identifiers; where base spans cover part of a run, its
+    stretches outside them are judged. Letters alone, digits alone and both have each their threshold.
     The samples are labelled by the patterns: values of base spans, at most ``most_random``, are
-    random; long words of at most ``most_documents`` documents without base spans are ordinary;
+    random; runs of 6 or more key characters in at most ``most_documents`` documents without base spans are ordinary;
     both those of the smallest hash. The bounds are parameters of the fit alone.
 
     NULL and empty texts have no spans. Every row is judged by its own text, so repeated rows
@@ -147,8 +186,7 @@ def scan(
     seen = stored(
         docs.select(F.col(key).alias("key"), body.alias("text"))
         .select("key", F.xxhash64("key").alias("h"), base_spans(F.col("text")).alias("base"), spans(F.col("text"), CANDIDATE, "random", 0, LEAST).alias("more"))
-        .withColumn("more", F.filter("more", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")))
-        .withColumn("more", F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))),
+        .withColumn("more", F.flatten(F.transform("more", lambda s: outside(s, F.col("base"))))),
         "spans",
     )
     random = (
@@ -162,10 +200,10 @@ def scan(
     ordinary = (
         docs.select(F.col(key).alias("key"), body.alias("text"))
         .join(F.broadcast(plain.select("key")), "key", "left_semi")
-        .select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{5,}"), F.lit(0))).alias("s"))
+        .select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("s"))
     )
-    model = train(random, ordinary, threshold)
-    added = F.filter("more", lambda s: ratio(s["value"], model) >= model.threshold)
+    model = train(random, ordinary, thresholds)
+    added = F.filter("more", lambda s: is_secret(s["value"], model))
     kinds = F.array(*map(F.lit, (*KINDS, "random")))
     ranked = F.transform(
         F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("rank"), s.alias("span"))

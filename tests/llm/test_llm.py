@@ -204,7 +204,34 @@ def test_markov_tables(spark):
     model = secrets_scan.train(random, spark.createDataFrame([("ba",)], "s string"), smoothing=1.0)
     # of two used characters: after a, b came 2 times of 2 at random and never in the identifiers
     assert model.table[97 * 128 + 98] == pytest.approx(np.log((3 / 4) / (1 / 2)), abs=1e-6)
-    assert secrets_scan.train(random.limit(0), random).threshold == float("inf")
+    assert set(secrets_scan.train(random.limit(0), random).thresholds) == {float("inf")}
+
+
+def test_stretches_outside_base_spans(spark):
+    key = "AKIA" + "Q7" * 9  # an access span of 22 characters
+    rows = [(0, f"{key}-{'x' * 20}"), (1, f"{'y' * 15}_{key}"), (2, "z" * 16), (3, f"{'a' * 17}-{key}+{'z' * 30}"), (4, key)]
+    frame = spark.createDataFrame(rows, "i int, text string")
+    whole = secrets_scan.spans(F.col("text"), secrets_scan.CANDIDATE, "random", 0, 16)
+    left = F.flatten(F.transform(whole, lambda s: secrets_scan.outside(s, secrets_scan.base_spans(F.col("text")))))
+    got = {r.i: [(s.start, s.end, s.value) for s in r.out] for r in frame.select("i", left.alias("out")).collect()}
+    assert got == {
+        0: [(22, 43, "-" + "x" * 20)], 1: [(0, 16, "y" * 15 + "_")], 2: [(0, 16, "z" * 16)],
+        3: [(0, 18, "a" * 17 + "-"), (40, 71, "+" + "z" * 30)], 4: [],
+    }
+
+
+def test_secrets_of_letters_and_beside_base_spans(spark, docs):
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    made = lambda n: "".join(rng.choice(letters, n))
+    alone = [(1_000_000 + i, f"see {made(24)} there") for i in range(40)]
+    beside = [(2_000_000 + i, f"see AKIA{'Q7' * 9}-{made(24)} there") for i in range(40)]
+    clean = [(3_000_000 + i, f"see state-of-the-art/{w}-and-more there") for i, w in enumerate(["nation", "other", "the_thing"] * 10)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(alone + beside + clean, "doc_id long, text string"))
+    found = {r.doc_id: [s.kind for s in r.found] for r in secrets_scan.scan(both).collect()}
+    assert sum(found[d] == ["random"] for d, _ in alone) >= 36
+    assert sum(found[d] == ["access", "random"] for d, _ in beside) >= 36
+    assert all(found[d] == [] for d, _ in clean)
 
 
 def test_urls(spark):
