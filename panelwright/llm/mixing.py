@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, running_totals, stored, text_of, word_count
@@ -48,21 +49,64 @@ def share_out(sizes: np.ndarray, weights: np.ndarray, limit: float) -> np.ndarra
     return targets
 
 
-def shard_counts(slots: np.ndarray, per_shard: int, seed: int) -> Iterator[np.ndarray]:
-    """Multinomial source counts of each output shard; together they use up ``slots`` exactly.
+def drawn_slots(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``n`` slots fall to each source when ``counts`` are dealt without replacement."""
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for s, own in enumerate(counts.tolist()):
+        others = rest - own
+        if rest < 1_000_000_000:
+            got = int(rng.hypergeometric(own, others, n)) if n and own else 0
+        else:  # numpy draws up to here; the normal law is as good beyond
+            share = own / rest
+            spread = np.sqrt(n * share * (1 - share) * (rest - n) / (rest - 1))
+            got = int(min(max(round(rng.normal(n * share, spread)), n - others, 0), own, n))
+        out[s], n, rest = got, n - got, others
+    return out
 
-    A shard draws at the shares of what is still to be placed. What a source no longer has
-    is drawn again among the others, so no source exceeds its slots.
+
+def shard_counts(
+    slots: np.ndarray, per_shard: int, seed: int, first: int = 0, last: int | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Multinomial source counts of the output shards from ``first`` up to ``last``, given that all use up ``slots``.
+
+    Each shard comes with what the shards before it take of each source. Slots are split over halves of the
+    shards, halves of these and so on, by draws seeded with the range; a task descends only to its own shards.
     """
-    rng, left = np.random.default_rng(seed), slots.astype(np.int64).copy()
-    while left.sum() > 0:
-        counts, missing = np.zeros_like(left), int(min(per_shard, left.sum()))
-        while missing:
-            rest = left - counts
-            counts += np.minimum(rng.multinomial(missing, rest / rest.sum()), rest)
-            missing = int(min(per_shard, left.sum())) - int(counts.sum())
-        left -= counts
-        yield counts
+    total = int(slots.sum())
+    shards = -(-total // per_shard)
+    last = shards if last is None else min(last, shards)
+
+    def walk(low: int, high: int, begun: np.ndarray, counts: np.ndarray):
+        if high <= first or low >= last:
+            return
+        if high - low == 1:
+            yield low, begun, counts
+            return
+        middle = (low + high) // 2
+        left = drawn_slots(counts, (middle - low) * per_shard, np.random.default_rng([seed, low, high]))
+        yield from walk(low, middle, begun, left)
+        yield from walk(middle, high, begun + left, counts - left)
+
+    if shards:
+        yield from walk(0, shards, np.zeros(len(slots), np.int64), slots.astype(np.int64))
+
+
+def shard_plan(spark: SparkSession, slots: np.ndarray, per_shard: int, seed: int, together: int = 256) -> DataFrame:
+    """shard, source_id, begun and n for every output shard; each row of the range draws ``together`` shards."""
+    groups = -(-(-(-int(slots.sum()) // per_shard)) // together)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in batch.column("id").to_pylist():
+                rows = [
+                    (shard, int(s), int(begun[s]), int(counts[s]))
+                    for shard, begun, counts in shard_counts(slots, per_shard, seed, g * together, (g + 1) * together)
+                    for s in np.flatnonzero(counts)
+                ]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "source_id", "begun", "n"])
+
+    return spark.range(groups).mapInArrow(draw, "shard int, source_id int, begun long, n long")
 
 
 def permuted(n: np.ndarray, index: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -118,8 +162,8 @@ def mix(
     A NULL or empty text has no words: the row stays in ``documents`` and is never taken. An
     empty table, or one without words, gives an empty mix. Rows equal in ``key``, source and
     text are separate documents. ``docs`` needs ``text`` and ``source``; only these and ``key``
-    are carried. One row per source (name, two counts) and the draws, one number per shard and
-    source, reach the driver; documents and blocks do not.
+    are carried. One row per source (name, two counts) reaches the driver; documents, blocks and
+    the draws of the shards do not.
     """
     spark = docs.sparkSession
     sized = stored(
@@ -154,11 +198,7 @@ def mix(
     blocks = -(-sizes // block)
     rounds, rest = np.divmod(words, np.maximum(sizes, 1))
     slots = rounds * blocks + -(-rest // block)
-    drawn, begun = [], np.zeros(len(sizes), np.int64)
-    for shard, counts in enumerate(shard_counts(slots, per_shard, seed)):
-        drawn += [(shard, int(s), int(begun[s]), int(counts[s])) for s in np.flatnonzero(counts)]
-        begun += counts
-    plan = spark.createDataFrame(drawn, "shard int, source_id int, begun long, n long")
+    plan = shard_plan(spark, slots, per_shard, seed)
     per_source = spark.createDataFrame(
         [(i, int(blocks[i]), int(rounds[i]), int(rest[i])) for i in range(len(sizes)) if slots[i]],
         "source_id int, blocks long, rounds long, rest long",

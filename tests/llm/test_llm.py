@@ -320,8 +320,20 @@ def test_lexicon():
 def test_share_out_and_shards():
     assert mixing.share_out(np.array([100, 100]), np.array([1, 3]), 3).tolist() == [50, 150]
     assert mixing.share_out(np.array([10, 1000, 0]), np.array([1.0, 1, 1]), 3).tolist() == [30, 980, 0]
-    counts = list(mixing.shard_counts(np.array([5, 100, 0, 7]), 10, 1))
-    assert np.sum(counts, axis=0).tolist() == [5, 100, 0, 7] and all(c.sum() == 10 for c in counts[:-1])
+    slots = np.array([5, 100, 0, 7])
+    drawn = list(mixing.shard_counts(slots, 10, 1))
+    counts = [c for _, _, c in drawn]
+    assert np.sum(counts, axis=0).tolist() == slots.tolist() and all(c.sum() == 10 for c in counts[:-1])
+    assert [s for s, _, _ in drawn] == list(range(12)) and not list(mixing.shard_counts(slots * 0, 10, 1))
+    for i, (_, begun, _) in enumerate(drawn):
+        assert begun.tolist() == np.sum([np.zeros(4), *counts[:i]], axis=0).tolist()
+    part = list(mixing.shard_counts(slots, 10, 1, 4, 9))  # a task draws the same as the whole
+    assert all(s == t and (b == c).all() and (x == y).all() for (s, b, x), (t, c, y) in zip(part, drawn[4:9], strict=True))
+    # means of multinomial draws, and beyond the range of numpy's exact ones
+    means = np.mean([next(mixing.shard_counts(np.array([300, 100, 600]), 100, seed))[2] for seed in range(400)], axis=0)
+    assert np.abs(means - [30, 10, 60]).max() < 1
+    big = mixing.drawn_slots(np.array([3 * 10**12, 10**12, 0]), 2 * 10**12, np.random.default_rng(1))
+    assert big.sum() == 2 * 10**12 and abs(big[0] / big.sum() - 0.75) < 1e-4 and big[2] == 0
     for n in (1, 2, 5, 64, 1000):
         image = mixing.permuted(np.full(n, n), np.arange(n), np.full(n, 12345 + n))
         assert sorted(image) == list(range(n))
