@@ -836,6 +836,34 @@ def decision_gate_full(spark, sf, least_people=5000, least_events=200, above=1.0
     return rounded(key_gate(rows, ratios, least_people, least_events, above, below))
 
 
+SQL_GATE_EVENTS = {
+    f"events_{label.lower().replace(' ', '_')}": f"CAST(count(*) FILTER (functional_state = {origin} AND destination_state IN ({', '.join(map(str, dests))})) AS BIGINT)"
+    for origin, dests, label in S.KEY_TRANSITIONS
+}
+SQL_GATE_RULES = {
+    "enough_people": "people >= 500",
+    "enough_events": f"least({', '.join(SQL_GATE_EVENTS)}) >= 200",
+    **{n: f"coalesce({n}_{b} {'> 0.9' if b == 'ci_low' else '< 1.1'}, false)" for n, _, _, b in GATE_INTERVALS},
+}
+
+
+@query(
+    "decision_gate_saturated",
+    f"""WITH {S.SQL_INTERVALS}, {sql_risk()}, {sql_saturated(4)}, {PAIRS_STATE}, {SQL_PAIRS},
+    iv_bounds AS (SELECT model, comparison, exp(b - critical * se) AS ci_low, exp(b + critical * se) AS ci_high FROM est),
+    c AS (SELECT count(*) AS intervals, count(DISTINCT id) AS people, {", ".join(f"{x} AS {n}" for n, x in SQL_GATE_EVENTS.items())} FROM obs),
+    g AS (SELECT c.*, {", ".join(f"(SELECT {b} FROM iv_bounds WHERE model = '{m}' AND comparison = '{k}') AS {n}_{b}" for n, m, k, b in GATE_INTERVALS)} FROM c),
+    d AS (SELECT g.*, {", ".join(f"{x} AS {n}" for n, x in SQL_GATE_RULES.items())} FROM g)
+    SELECT * REPLACE ({", ".join(f"round({n}_{b}, 6) AS {n}_{b}" for n, _, _, b in GATE_INTERVALS)}),
+      CASE WHEN {" AND ".join(SQL_GATE_RULES)} THEN 'CONTINUE' ELSE 'STOP' END AS decision FROM d""",
+)
+def decision_gate_saturated(spark, sf, least_people=500, least_events=200, above=0.9, below=1.1):
+    """The five rules on the weighted models of the state alone, whose intervals have a closed form; wider thresholds."""
+    rows, _, fits = state_fits(spark, sf)
+    ratios = [r for f in fits.values() for r in E.ratio_rows(f, "state", [1, 2, 3], S.STATE_LABELS, CONTRASTS)]
+    return rounded(key_gate(rows, ratios, least_people, least_events, above, below))
+
+
 @query("adjusted_absolute_risks")
 def adjusted_absolute_risks(spark, sf):
     rows, _ = fully_weighted(spark, sf)
@@ -845,12 +873,14 @@ def adjusted_absolute_risks(spark, sf):
     return rounded(E.as_table(spark, out, E.RISK_FIELDS))
 
 
+WITHOUT_BALANCE = tuple(t for t in COVARIATES if not t.columns[0].startswith("balance"))
+
+
 @query("omit_covariate_sensitivity")
 def omit_covariate_sensitivity(spark, sf):
     """Weights and models refitted without the covariate that is often missing."""
-    kept = tuple(t for t in COVARIATES if not t.columns[0].startswith("balance"))
-    rows, _ = fully_weighted(spark, sf, kept)
-    fits = fit_models(rows, transition_models([STATE, *kept], "iow"), cluster="id")
+    rows, _ = fully_weighted(spark, sf, WITHOUT_BALANCE)
+    fits = fit_models(rows, transition_models([STATE, *WITHOUT_BALANCE], "iow"), cluster="id")
     out = [r for f in fits.values() for r in E.ratio_rows(f, "state", [1, 2, 3], S.STATE_LABELS, [(3, 2)])]
     return rounded(E.as_table(spark, out, E.RATIO_FIELDS))
 
@@ -958,6 +988,52 @@ def observation_balance(spark, sf):
     return rounded(E.balance(rows, fit_models(rows, models), models), 3)
 
 
+SQL_REDUCED_COLUMNS = {c: x for c, x in SQL_ADJUSTED_COLUMNS.items() if not c.startswith("balance")}
+
+
+@query(
+    "omitted_balance",
+    f"""WITH {S.SQL_INTERVALS}, {S.SQL_PEOPLE}, {SQL_SPECS},
+    r AS (SELECT 'denominator' AS model, 1.0 AS w, outcome_observed AS y, iv.*, segment, region, half FROM iv JOIN people ON people.id = iv.id
+      UNION ALL SELECT s.model, CAST(n_orders AS DOUBLE), (destination_state IN (d1, d2))::INT, iv.*, segment, region, half
+      FROM iv JOIN people ON people.id = iv.id JOIN specs s ON functional_state = s.origin WHERE outcome_observed = 1),
+    {sql_balance({**SQL_REDUCED_COLUMNS, **SQL_ORIGIN_COLUMNS}, "r")} HAVING model = 'denominator' OR term NOT LIKE 'functional%'""",
+)
+def omitted_balance(spark, sf):
+    """Observed against fitted sums of the observation and transition models without the covariate that is often missing."""
+    rows = prepared(spark, sf).withColumn("w", F.col("n_orders").cast("double"))
+    origin, seen = Cat("functional_state"), F.col("outcome_observed") == 1
+    denominator, _ = observation_models("outcome_observed", [STATE, origin, *WITHOUT_BALANCE], [origin, Cat("interval")])
+    models = [denominator, *transition_models([STATE, *WITHOUT_BALANCE], where=seen)]
+    return rounded(E.balance(rows, fit_models(rows, models, cluster="id"), models), 3)
+
+
+MANY_LEVELS = tuple(range(1, 13))
+
+
+@query(
+    "absent_exposure_levels",
+    f"""WITH {S.SQL_INTERVALS}, {SQL_SPECS}, r AS (SELECT s.model, least(n_orders, 12) AS g FROM obs JOIN specs s ON functional_state = s.origin),
+    n AS (SELECT model, count(*) AS n FROM r GROUP BY 1), k AS (SELECT model, unnest(range(2, 13)) AS g FROM n)
+    SELECT k.model, 'orders[' || k.g || ']' AS term, count(r.g) > 0 AS in_model, count(r.g) AS intervals, any_value(n) AS n
+    FROM k JOIN n ON n.model = k.model LEFT JOIN r ON r.model = k.model AND r.g = k.g GROUP BY 1, 2""",
+)
+def absent_exposure_levels(spark, sf):
+    """An audit row for every declared level of an exposure: those without rows in a risk set are absent from its model."""
+    rows = weighted(spark, sf).withColumn("orders", R.clip("n_orders", high=MANY_LEVELS[-1]).cast("int"))
+    models = transition_models([Cat("orders", reference=1, levels=MANY_LEVELS)])
+    fits = fit_models(rows, models, cluster="id")
+    counts = rows.groupBy("orders").agg(*[F.count_if(m.where).alias(m.name) for m in models]).collect()
+    found = {(m.name, r["orders"]): r[m.name] for m in models for r in counts}
+    out = []
+    for m in models:
+        missing = E.absent_rows(fits[m.name], "orders", MANY_LEVELS[1:])
+        for level in MANY_LEVELS[1:]:
+            term = f"orders[{level}]"
+            out.append({"model": m.name, "term": term, "in_model": term not in missing, "intervals": found.get((m.name, level), 0), "n": fits[m.name].n})
+    return E.as_table(spark, out, "model string, term string, in_model boolean, intervals bigint, n bigint")
+
+
 SQL_TREATMENT_COLUMNS = {
     **{c: x for c, x in SQL_ADJUSTED_COLUMNS.items() if not c.startswith(("state", f"interval[{S.FIRST_YEAR + 2}-"))},
     **{f"lag_state[{g}]": f"lag_state = {g}" for g in (1, 2, 3)},

@@ -116,6 +116,26 @@ def recode_and_validity(spark, sf):
     )
 
 
+@query(
+    "recode_categories",
+    """WITH c AS (SELECT *, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance FROM customer)
+    SELECT c_custkey, round(balance - (SELECT avg(balance) FROM c), 4) AS balance_centred,
+      CAST(CAST(round_even(balance / 500, 0) AS INTEGER) AS VARCHAR) AS balance_step,
+      coalesce(CAST(CASE WHEN c_nationkey < 20 THEN c_nationkey END AS VARCHAR), '-1') AS nation_level FROM c""",
+)
+def recode_categories(spark, sf):
+    """A number about its mean, in rounded steps (half to even), and a code with a level for a missing one."""
+    rows = S.table(spark, sf, "customer", "c_custkey", "c_acctbal", "c_nationkey")
+    rows = rows.withColumn("balance", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
+    mean = rows.agg(F.avg("balance")).first()[0]
+    return rows.select(
+        "c_custkey",
+        F.round(R.centred("balance", mean), 4).alias("balance_centred"),
+        R.rounded_category(F.col("balance") / 500).alias("balance_step"),
+        R.as_category(F.when(F.col("c_nationkey") < 20, F.col("c_nationkey"))).alias("nation_level"),
+    )
+
+
 SQL_ITEMS = """items AS (
   SELECT l_orderkey, """ + ", ".join(
     f"max(CASE WHEN l_linenumber = {k} THEN l_quantity END) AS q{k}" for k in range(1, 5)

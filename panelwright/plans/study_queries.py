@@ -124,6 +124,28 @@ def multiple_imputation_rr(spark, sf, m=20, rounds=20):
     return rounded(E.as_table(spark, out, fields))
 
 
+@query(
+    "impute_exact_linear",
+    f"""WITH {S.SQL_PEOPLE}, x AS (SELECT half, region, coalesce(balance, 0) / 1000 AS known, balance IS NULL AS missing FROM people)
+    SELECT region, imputation, count(*) AS people, CAST(sum(missing::INT) AS BIGINT) AS imputed, round(avg(5 + 2 * known - 3 * half + region), 2) AS mean_filled
+    FROM x, (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS imputation) k GROUP BY 1, 2""",
+)
+def impute_exact_linear(spark, sf):
+    """Gaps in a column that is linear in the others: every draw must restore what the line says."""
+    rows = S.people(spark, sf).select(
+        "id", "half", "region", F.coalesce(F.col("balance") / 1000, F.lit(0.0)).alias("known"), F.col("balance").isNull().alias("missing")
+    )
+    line = 5 + 2 * F.col("known") - 3 * F.col("half") + F.col("region")
+    rows = stored(rows.withColumn("target", F.when(~F.col("missing"), line)), "linear")
+    chains = impute.fit_chains(rows, "id", ["target", "known", "half", "region"], draws=3, rounds=4, seed=13)
+    filled = impute.completed(rows, chains, ["target"], seed=13)
+    long = filled.select("region", "missing", F.posexplode("target_draws").alias("at", "value"))
+    found = long.groupBy("region", (F.col("at") + 1).alias("imputation")).agg(
+        F.count(F.lit(1)).alias("people"), F.count_if("missing").alias("imputed"), F.avg("value").alias("mean_filled")
+    )
+    return rounded(found, 2)
+
+
 FILLS = [k / 6 for k in range(1, 6)]
 
 
@@ -157,28 +179,57 @@ def rubin_pool(spark, sf):
 Z = [f"z{w}" for w in YEARS]
 
 
-def trajectories(spark, sf):
-    """People with spend at waves 1, 3 and 5, their class, slope and later outcome."""
+def curves(spark, sf):
+    """People with spend at waves 1, 3 and 5, and their slope in standard deviations."""
     rows = spend_wide(spark, sf)
     slope = R.linear_slope([f"s{w}" for w in YEARS], [0.0, 2.0, 4.0]) / 1000
     rows = rows.withColumn("slope", slope)
     spread = rows.agg(F.avg("slope").alias("m"), F.stddev_pop("slope").alias("s")).first()
-    rows = rows.withColumn("slope_sd", (F.col("slope") - spread["m"]) / spread["s"])
-    rows = stored(rows, "curves")
+    return stored(rows.withColumn("slope_sd", (F.col("slope") - spread["m"]) / spread["s"]), "curves")
+
+
+def trajectories(spark, sf):
+    """People with spend at waves 1, 3 and 5, their class, slope and later outcome."""
+    rows = curves(spark, sf)
     fitted = mixture.fit_mixtures(rows, "id", Z, starts=5, max_rounds=500, seed=5)
     selection = mixture.select_mixture(rows, Z, fitted)
     return mixture.with_trajectory(rows, Z, selection), selection
 
 
-def trajectory_people(spark, sf):
-    rows, selection = trajectories(spark, sf)
+def with_incident(rows, spark, sf):
+    """Orders by wave, and the outcome at wave 6 of people free of it at wave 5.
+
+    A strict curve rests on two orders or more at each of its waves; the weight of a person is the number
+    of orders at wave 5 relative to the mean over the rows.
+    """
     waves = S.panel(spark, sf)
     states = reshape.long_to_wide(waves, "id", "wave", [5, 6], "functional_state", lambda w: f"f{w}")
-    counts = waves.filter("wave = 5").select("id", F.col("n_orders").cast("double").alias("orders_5"))
+    counts = reshape.long_to_wide(waves, "id", "wave", YEARS, "n_orders", lambda w: f"orders_{w}")
     rows = joins.checked_join(joins.checked_join(rows, states, ["id"]), counts, ["id"])
+    rows = rows.withColumn("orders_5", F.col("orders_5").cast("double"))
     later = F.when(F.col("f6").isNotNull(), R.event_in("f6", [2]))
     origin = R.flag(F.col("f5") == 2)
-    return stored(rows.withColumn("incident", R.incident_only(origin, later)), "curves-outcome"), selection
+    rows = stored(rows.withColumn("incident", R.incident_only(origin, later)), "curves-outcome")
+    mean = rows.agg(F.avg("orders_5")).first()[0]
+    strict = F.least(*[F.col(f"orders_{w}") for w in YEARS]) >= 2
+    return rows.withColumn("sampling", F.col("orders_5") / mean).withColumn("strict", R.all_present([f"s{w}" for w in YEARS]) & strict)
+
+
+def trajectory_people(spark, sf):
+    rows, selection = trajectories(spark, sf)
+    return with_incident(rows, spark, sf), selection
+
+
+@query(
+    "incident_outcome",
+    f"""WITH {S.SQL_PANEL} SELECT p.id, CAST(CASE WHEN p.functional_state <> 2 THEN (q.functional_state = 2)::INT END AS INTEGER) AS incident
+    FROM panel p JOIN panel q ON q.id = p.id AND q.wave = 6 WHERE p.wave = 5""",
+)
+def incident_outcome(spark, sf):
+    """The outcome at wave 6 of people seen at waves 5 and 6, unless they had it before."""
+    wide = reshape.long_to_wide(S.panel(spark, sf), "id", "wave", [5, 6], "functional_state", lambda w: f"f{w}")
+    seen = wide.filter(R.all_present(["f5", "f6"]))
+    return seen.select("id", R.incident_only(R.flag(F.col("f5") == 2), R.event_in("f6", [2])).alias("incident"))
 
 
 @query("mixture_selection")
@@ -235,42 +286,74 @@ def mixture_one_step(spark, sf):
     return rounded(mixture_rows(spark, m).withColumn("loglik", F.round("loglik", 3)))
 
 
+@query(
+    "mixture_class_profiles",
+    f"""WITH {SQL_TWO}, d AS (SELECT a, b, {SQL_DENSITY.format(w=0.6, ma=1.0, mb=5.0, va=9.0, vb=40.0)} AS first, {SQL_DENSITY.format(w=0.4, ma=6.0, mb=18.0, va=4.0, vb=25.0)} AS second FROM x)
+    SELECT CASE WHEN first >= second THEN 'Lower' ELSE 'Upper' END AS trajectory, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share,
+      round(avg(a), 6) AS a, round(avg(b), 6) AS b, round((avg(a) + avg(b)) / 2, 6) AS mean_level, round(avg(b) - avg(a), 6) AS change FROM d GROUP BY 1""",
+)
+def mixture_class_profiles(spark, sf):
+    """Everyone's most likely class of a given mixture, and the classes' sizes and means."""
+    given = mixture.Selection(STEP_FROM, [], ["Lower", "Upper"])
+    return rounded(mixture.profiles(mixture.with_trajectory(two_numbers(spark, sf), ["a", "b"], given), ["a", "b"]))
+
+
 @query("mixture_trajectories")
 def mixture_trajectories(spark, sf):
     rows, _ = trajectories(spark, sf)
     return rounded(mixture.profiles(rows, Z))
 
 
-def trajectory_fits(spark, sf, extra=()):
+HALF = Num("half", discrete=True)
+#: All people, each with a sampling weight, and those whose curve rests on enough orders: weight and rows.
+SENSITIVITY = {"": (None, None), " weighted": ("sampling", None), " strict": (None, "strict")}
+
+
+def outcome_models(label, exposure, variants=SENSITIVITY):
+    """Logit models of the later outcome, with and without products of exposure and half."""
+    return [
+        Model(f"{label}{variant}{rest}", F.col("incident"), (*terms, Num("orders_5")), weight=weight,
+              where=F.col(rows) if rows else None, family="binomial", errors="HC1")
+        for variant, (weight, rows) in variants.items()
+        for rest, terms in (("", crossed(exposure, HALF)), (", no interaction", (exposure, HALF)))
+    ]
+
+
+def trajectory_fits(spark, sf, variants=("",)):
     rows, selection = trajectory_people(spark, sf)
     top = selection.names[int(selection.chosen.means.mean(axis=1).argmax())]
     group = Cat("trajectory", reference=top, levels=tuple(sorted(selection.names)))
-    half = Num("half", discrete=True)
-    outcome = F.col("incident")
-    shared = (Num("orders_5"), *extra)
+    wanted = {v: SENSITIVITY[v] for v in variants}
+    models = outcome_models("class", group, wanted) + outcome_models("slope", Num("slope_sd"), wanted)
+    return fit_models(rows, models), group, selection
 
-    def logit(name, terms):
-        return Model(name, outcome, (*terms, *shared), family="binomial", errors="HC1")
 
-    models = [
-        logit("class", crossed(group, half)),
-        logit("class, no interaction", (group, half)),
-        logit("slope", crossed(Num("slope_sd"), half)),
-        logit("slope, no interaction", (Num("slope_sd"), half)),
-    ]
-    return fit_models(rows, models), group, selection
+def class_contrasts(fits, group, selection, names):
+    """Odds ratios of each class to the highest one within both halves, for every model named."""
+    labels = {n: f"{n} vs {group.reference}" for n in selection.names}
+    levels = [n for n in sorted(selection.names) if n != group.reference]
+    return [r for n in names for r in E.stratum_rows(fits[n], group, "half", labels, {0: "Half 0", 1: "Half 1"}, levels, [])]
 
 
 @query("trajectory_contrasts")
 def trajectory_contrasts(spark, sf):
     """Odds ratios of each class to the highest one within both halves."""
-    fits, group, selection = trajectory_fits(spark, sf)
-    labels = {n: f"{n} vs {group.reference}" for n in selection.names}
-    levels = [n for n in sorted(selection.names) if n != group.reference]
-    rows = E.stratum_rows(fits["class"], group, "half", labels, {0: "Half 0", 1: "Half 1"}, levels, [])
+    rows = class_contrasts(*trajectory_fits(spark, sf), ["class"])
     return rounded(E.as_table(spark, rows, E.STRATUM_FIELDS))
 
 
+@query("trajectory_sensitivity")
+def trajectory_sensitivity(spark, sf):
+    """The same contrasts under sampling weights and among strict curves, beside the test of all products."""
+    fits, group, selection = trajectory_fits(spark, sf, (" weighted", " strict"))
+    names = ["class weighted", "class strict"]
+    contrasts = E.as_table(spark, class_contrasts(fits, group, selection, names), E.STRATUM_FIELDS)
+    tests = [E.likelihood_ratio(fits[n], fits[f"{n}, no interaction"]) for n in names]
+    audit = [{**t, "n": fits[t["model"]].n, "events": int(fits[t["model"]].events), "converged": bool(fits[t["model"]].converged)} for t in tests]
+    table = E.as_table(spark, audit, "model string, chi2 double, df int, p_value double, n bigint, events bigint, converged boolean")
+    return rounded(contrasts.drop("p_interaction").join(table.withColumnRenamed("p_value", "p_products"), "model"))
+
+
 @query("interaction_tests")
 def interaction_tests(spark, sf):
     """Likelihood-ratio tests of all product terms, by class and by continuous slope."""
@@ -287,12 +370,33 @@ def slope_trend(spark, sf):
     return rounded(E.as_table(spark, rows, E.COEFFICIENT_FIELDS))
 
 
+SQL_SLOPE_TERMS = {"intercept": "1", "slope_sd": "slope_sd", "half": "half", "slope_sd:half": "slope_sd * half", "orders_5": "orders_5"}
+
+
 SQL_SLOPES = f"""{S.SQL_PANEL}, {S.SQL_PEOPLE}, {SQL_SPEND_WIDE},
 sl AS (SELECT wp.id, half, (s5 - s1) * 2 / 8 / 1000 AS slope FROM wp WHERE s1 IS NOT NULL AND s3 IS NOT NULL AND s5 IS NOT NULL),
 ms AS (SELECT avg(slope) AS m, stddev_pop(slope) AS s FROM sl),
 ab AS (SELECT sl.half, (slope - m) / s AS x, CAST(n_orders AS DOUBLE) AS y FROM sl CROSS JOIN ms JOIN panel p ON p.id = sl.id AND p.wave = 6)"""
 
 
+@query(
+    "slope_balance",
+    f"""WITH {SQL_SLOPES}, sp AS (SELECT sl.id, sl.half, (slope - m) / s AS slope_sd, CAST(p5.n_orders AS DOUBLE) AS orders_5, p5.functional_state AS f5,
+        least(p1.n_orders, p3.n_orders, p5.n_orders) >= 2 AS strict
+      FROM sl CROSS JOIN ms JOIN panel p1 ON p1.id = sl.id AND p1.wave = 1 JOIN panel p3 ON p3.id = sl.id AND p3.wave = 3 JOIN panel p5 ON p5.id = sl.id AND p5.wave = 5),
+    mo AS (SELECT avg(n_orders) AS m FROM panel WHERE wave = 5),
+    rv AS (SELECT sp.*, orders_5 / mo.m AS sampling, (q.functional_state = 2)::INT AS y
+      FROM sp CROSS JOIN mo JOIN panel q ON q.id = sp.id AND q.wave = 6 WHERE f5 <> 2),
+    r AS (SELECT v || n AS model, CASE WHEN v = 'slope weighted' THEN sampling ELSE 1.0 END AS w, rv.*
+      FROM rv, (VALUES ('slope'), ('slope weighted'), ('slope strict')) a(v), (VALUES (''), (', no interaction')) b(n) WHERE v <> 'slope strict' OR strict),
+    {sql_balance(SQL_SLOPE_TERMS, "r")} HAVING term <> 'slope_sd:half' OR model NOT LIKE '%no interaction'""",
+)
+def slope_balance(spark, sf):
+    """Observed against fitted sums by every column of the slope models: of all people, weighted, and of strict curves."""
+    rows, models = with_incident(curves(spark, sf), spark, sf), outcome_models("slope", Num("slope_sd"))
+    return rounded(E.balance(rows, fit_models(rows, models), models), 3)
+
+
 def mediation_rows(spark, sf):
     rows = spend_wide(spark, sf).withColumn(
         "slope", R.linear_slope([f"s{w}" for w in YEARS], [0.0, 2.0, 4.0]) / 1000
@@ -536,6 +640,31 @@ def markov_one_living_state(spark, sf):
     return rounded(rates.select("state", "interval_years", "rate"), 5)
 
 
+SQL_ONE_RATE = "greatest(least(-ln(1 - least(sum(CASE WHEN destination_state = 3 THEN n_orders ELSE 0 END) * 1.0 / sum(n_orders), 1 - 1e-12)), exp(3)), exp(-10))"
+
+
+@query(
+    "markov_leaving_ratio",
+    f"""WITH {S.SQL_INTERVALS}, t AS (SELECT state, functional_state, {SQL_ONE_RATE} AS rate FROM obs WHERE interval_years = 1 AND state IN (2, 3) GROUP BY 1, 2),
+    k AS (SELECT state, CASE WHEN functional_state = 0 THEN 'Settled' ELSE 'Pending or flagged' END AS transition, sum(rate) AS rate FROM t GROUP BY 1, 2)
+    SELECT transition, round(max(CASE WHEN state = 2 THEN rate END), 5) AS rate_low, round(max(CASE WHEN state = 3 THEN rate END), 5) AS rate_high, 1 AS converged,
+      round(max(CASE WHEN state = 3 THEN rate END) / max(CASE WHEN state = 2 THEN rate END), 5) AS ratio FROM k GROUP BY 1""",
+)
+def markov_leaving_ratio(spark, sf):
+    """Intensities of leaving from each level, summed over named groups of them, under both exposures against one of them.
+
+    Each level is fitted alone, over intervals of one year, so that the rates have a closed form.
+    """
+    rows = exposed(spark, sf).filter("interval_years = 1").select(
+        "state", F.col("functional_state").alias("origin_level"), F.lit(0).alias("functional_state"),
+        (F.col("destination_state") == 3).cast("int").alias("destination_state"), "interval_years", "w",
+    )
+    totals = transition_totals(rows, "functional_state", "destination_state", "interval_years", "w", ["state", "origin_level"])
+    rates = markov.fit_groups(totals, ["state", "origin_level"], 1).withColumn("origin", F.col("origin_level")).withColumn("target", F.lit(3))
+    keyed = markov.key_rates(rates, ["state"], {"Settled": [(0, 3)], "Pending or flagged": [(1, 3), (2, 3)]})
+    return rounded(markov.rate_ratios(keyed, "state", 3, 2), 5)
+
+
 @query(
     "pattern_bootstrap_people",
     f"""WITH {S.SQL_INTERVALS}, n AS (SELECT state, count(DISTINCT id) AS people FROM obs WHERE state IN (2, 3) GROUP BY 1)
