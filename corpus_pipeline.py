@@ -17,9 +17,23 @@ from panelwright.llm.queries import quality_labels, word_tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Bytes of a batch of rows sent to Python. Spark's own limit is 10,000 rows, which long texts make as large as they like.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's batches by bytes, unless it has a bound; results do not depend on it.
+
+    The setting stays, since a stage's rows are computed when its result is written.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (probability of 0.7 or more)."""
+    bounded_batches(spark)
     model = quality_classifier.train(docs, quality_labels(spark, sf_dir))
     return quality_classifier.score(docs.select(*COLUMNS), model, name="_score").where("_score >= 0.7").select(*COLUMNS)
 
@@ -34,18 +48,21 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; documents without words all stay."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     return near_join.one_of_each(docs, near_join.near_duplicates(docs)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document once for each round that takes words of it, with the words taken."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     return mixing.mixed_texts(docs, mixing.mix(docs)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mix in sequences of 4096 tokens."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, word_tokenizer())
 
 
