@@ -10,7 +10,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,24 +90,6 @@ def shard_counts(
         yield from walk(0, shards, np.zeros(len(slots), np.int64), slots.astype(np.int64))
 
 
-def shard_plan(spark: SparkSession, slots: np.ndarray, per_shard: int, seed: int, together: int = 256) -> DataFrame:
-    """shard, source_id, begun and n for every output shard; each row of the range draws ``together`` shards."""
-    groups = -(-(-(-int(slots.sum()) // per_shard)) // together)
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g in batch.column("id").to_pylist():
-                rows = [
-                    (shard, int(s), int(begun[s]), int(counts[s]))
-                    for shard, begun, counts in shard_counts(slots, per_shard, seed, g * together, (g + 1) * together)
-                    for s in np.flatnonzero(counts)
-                ]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "source_id", "begun", "n"])
-
-    return spark.range(groups).mapInArrow(draw, "shard int, source_id int, begun long, n long")
-
-
 def permuted(n: np.ndarray, index: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The image of ``index`` under a pseudorandom permutation of 0..n-1 chosen by ``key``.
 
@@ -134,12 +115,54 @@ def permuted(n: np.ndarray, index: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _block_of(full: pd.Series, index: pd.Series, key: pd.Series) -> pd.Series:
-    # the source's last block, which may be short, keeps the last place
-    last = (index == full).to_numpy()
-    image = index.to_numpy().copy()
-    image[~last] = permuted(*(x.to_numpy()[~last] for x in (full, index, key)))
-    return pd.Series(image)
+def slot_plan(
+    spark: SparkSession,
+    sizes: np.ndarray,
+    words: np.ndarray,
+    block: int,
+    per_shard: int,
+    seed: int,
+    together: int = 256,
+) -> DataFrame:
+    """Every slot of the output: shard, slot, source_id, epoch, block and the words taken of the block.
+
+    ``words`` of each source's ``sizes`` are dealt: whole rounds over its blocks, then a part of one. Each row of
+    the range draws ``together`` shards and sends the slots of one at a time. A task runs this in one Python
+    worker, since another beside it would stay on the executor and take up memory in later stages.
+    """
+    blocks = -(-sizes // block)
+    rounds, rest = np.divmod(words, np.maximum(sizes, 1))
+    slots = rounds * blocks + -(-rest // block)
+    groups = -(-(-(-int(slots.sum()) // per_shard)) // together)
+    epochs = -(-slots // np.maximum(blocks, 1))  # begun ones; a permutation has a key for each
+    at = np.cumsum(epochs) - epochs
+    source = np.repeat(np.arange(len(sizes)), epochs)
+    asked = pa.table(
+        {"source_id": pa.array(source, pa.int32()), "epoch": pa.array(np.arange(len(source)) - at[source], pa.int64())}
+    )
+    hashed = spark.createDataFrame(asked).select("*", F.xxhash64(F.lit(seed), "source_id", "epoch").alias("key"))
+    keys = np.array([r["key"] for r in sorted(hashed.collect())], dtype=np.int64)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in batch.column("id").to_pylist():
+                for shard, begun, counts in shard_counts(slots, per_shard, seed, g * together, (g + 1) * together):
+                    s = np.repeat(np.arange(len(counts)), counts)
+                    slot = np.arange(len(s)) - (np.cumsum(counts) - counts)[s]
+                    epoch, index = np.divmod(begun[s] + slot, blocks[s])
+                    image, inner = index.copy(), index < blocks[s] - 1
+                    # the source's last block, which may be short, keeps the last place
+                    image[inner] = permuted((blocks[s] - 1)[inner], index[inner], keys[at[s] + epoch][inner])
+                    taken = np.where(epoch == rounds[s], np.minimum(block, rest[s] - index * block), block)
+                    whole = [pa.array(x, pa.int64()) for x in (slot, epoch, image, taken)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(s), shard), pa.int32()), whole[0], pa.array(s, pa.int32()), *whole[1:]],
+                        names=["shard", "slot", "source_id", "epoch", "block", "taken"],
+                    )
+
+    return spark.range(groups).mapInArrow(
+        draw, "shard int, slot long, source_id int, epoch long, block long, taken long"
+    )
 
 
 def mix(
@@ -162,8 +185,8 @@ def mix(
     A NULL or empty text has no words: the row stays in ``documents`` and is never taken. An
     empty table, or one without words, gives an empty mix. Rows equal in ``key``, source and
     text are separate documents. ``docs`` needs ``text`` and ``source``; only these and ``key``
-    are carried. One row per source (name, two counts) reaches the driver; documents, blocks and
-    the draws of the shards do not.
+    are carried. One row per source (name, two counts) and a key per source and round reach the driver;
+    documents, blocks and the draws of the shards do not.
     """
     spark = docs.sparkSession
     sized = stored(
@@ -181,8 +204,14 @@ def mix(
     weight = np.array([weights[i % len(weights)] for i in range(len(found))], dtype=float)
     targets = share_out(sizes, weight, limit)
     totals = spark.createDataFrame(
-        [(r.source, i, int(sizes[i]), float(targets[i])) for i, r in enumerate(found)],
-        "source string, source_id int, source_size long, target double",
+        pa.table(
+            {
+                "source": pa.array([r.source for r in found], pa.string()),
+                "source_id": pa.array(np.arange(len(found)), pa.int32()),
+                "source_size": pa.array(sizes, pa.int64()),
+                "target": pa.array(targets, pa.float64()),
+            }
+        )
     )
     known = sized.alias("d").join(
         totals.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))
@@ -195,31 +224,7 @@ def mix(
     )
 
     words = np.rint(np.minimum(targets, limit * sizes)).astype(np.int64)
-    blocks = -(-sizes // block)
-    rounds, rest = np.divmod(words, np.maximum(sizes, 1))
-    slots = rounds * blocks + -(-rest // block)
-    plan = shard_plan(spark, slots, per_shard, seed)
-    per_source = spark.createDataFrame(
-        [(i, int(blocks[i]), int(rounds[i]), int(rest[i])) for i in range(len(sizes)) if slots[i]],
-        "source_id int, blocks long, rounds long, rest long",
-    )
-    at = (
-        plan.withColumn("ordinal", F.explode(F.sequence("begun", F.col("begun") + F.col("n") - 1)))
-        .join(F.broadcast(per_source), "source_id")  # one short row per source
-        .withColumn("epoch", F.expr("ordinal div blocks"))
-        .withColumn("index", F.expr("ordinal % blocks"))
-        .withColumn("slot", F.col("ordinal") - F.col("begun"))
-        .select(
-            "shard",
-            "slot",
-            "source_id",
-            "epoch",
-            F.pandas_udf(_block_of, "long")(F.col("blocks") - 1, "index", F.xxhash64(F.lit(seed), "source_id", "epoch")).alias("block"),
-            F.when(
-                F.col("epoch") == F.col("rounds"), F.least(F.lit(block), F.col("rest") - F.col("index") * block)
-            ).otherwise(F.lit(block)).alias("taken"),
-        )
-    )
+    at = slot_plan(spark, sizes, words, block, per_shard, seed)
     pieces = (
         placed.where("size > 0")
         .select(*key, "source_id", "source", "text_hash", "first", "size")
@@ -228,7 +233,7 @@ def mix(
         .withColumn("end", F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block))
     )
     mixed = (
-        pieces.join(at, ["source_id", "block"])
+        pieces.join(at.hint("merge"), ["source_id", "block"])  # a range's estimated size says nothing of the slots
         .withColumn("end", F.least("end", F.col("block") * block + F.col("taken")))
         .where("end > begin")
         .select(

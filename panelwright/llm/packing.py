@@ -154,7 +154,10 @@ def pack_pieces(
             places.append((size, taken[size], taken[size] + each * times, sequence, each))
             taken[size] += each * times
         sequence += times
-    plan = spark.createDataFrame(places, "_u int, _from long, _to long, _sequence long, _each long")
+    names, kinds = ["_u", "_from", "_to", "_sequence", "_each"], [pa.int32(), *[pa.int64()] * 4]
+    plan = spark.createDataFrame(
+        pa.table([pa.array([p[i] for p in places], kind) for i, kind in enumerate(kinds)], names=names)
+    )
     # at most capacity / grain lengths in as many patterns
     on = (F.col("_units") == F.col("_u")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     placed = (

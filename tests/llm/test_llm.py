@@ -394,6 +394,15 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_mix_and_packing_hold_one_python_worker_a_task(spark, docs):
+    mixed = mixing.mix(docs.select("doc_id", "text", "source"), block=64, per_shard=50)
+    pieces = spark.range(50).selectExpr("id AS doc_id", "cast(1 + 80 * id AS int) AS length")
+    packed = packing.pack_pieces(pieces, ["doc_id"])
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (mixed.slots, mixed.documents, packed)]
+    assert "ArrowEvalPython" not in plans[0] and plans[0].count("MapInArrow") == 1
+    assert not any("ExistingRDD" in p for p in plans)  # small tables of the driver need no Python worker either
+
+
 def test_pipeline(spark):
     """Each stage on its own input, against plain rules."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
