@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -206,26 +208,43 @@ class _Layout:
             for m, columns in zip(models, self.designs)
         ]
         self.variables = sorted({c for m in models for c in used_columns(m.terms)})
+        self.outcomes: dict[tuple, Column] = {}
         self.present: dict[tuple, Column] = {}
+        self.places = [self._place(m) for m in models]
         self.rows = df.select(
             *self.variables,
-            *[self._outcome(m).alias(f"__y{i}") for i, m in enumerate(models)],
+            *[y.alias(f"__o{i}") for i, y in enumerate(self.outcomes.values())],
             *[F.col(w).cast("double").alias(f"__w{j}") for j, w in enumerate(self.weights)],
             *([F.col(cluster).alias("__cluster")] if cluster else []),
-        ).filter(" or ".join(f"__y{i} is not null" for i in range(len(models))))
+        ).filter(reduce(or_, [self._outcome(*place).isNotNull() for place in dict.fromkeys(self.places)]))
         self.discrete = all(is_discrete(t) for t in every) and all(
             m.family != "gaussian" and not (m.errors == "HC3" and m.weight) for m in models
         )
 
-    def _outcome(self, m: Model) -> Column:
-        owner = [self.cluster] if self.cluster else []
-        needed = tuple(used_columns(m.terms) + ([m.weight] if m.weight else []) + owner)
-        if needed not in self.present:
-            self.present[needed] = all_present(needed) if needed else F.lit(True)
-        usable = self.present[needed] if m.where is None else self.present[needed] & m.where
-        for column, known in declared_levels(m.terms).items():
-            usable = usable & F.col(column).isin(known)  # any other value would pass for the reference
-        return F.when(usable, m.outcome.cast("double"))
+    def _place(self, m: Model) -> tuple[int, int]:
+        """Where a model's outcome within its risk set, and the columns it needs present, are kept.
+
+        Models that share the columns ``outcome`` and ``where`` share one column of the rows, so a model
+        fitted on every imputation adds none.
+        """
+        known = declared_levels(m.terms)
+        key = (id(m.outcome), id(m.where), repr(sorted(known.items())))
+        if key not in self.outcomes:
+            usable = F.lit(True) if m.where is None else m.where
+            for column, values in known.items():
+                usable = usable & F.col(column).isin(values)  # any other value would pass for the reference
+            self.outcomes[key] = F.when(usable, m.outcome.cast("double"))
+        needed = [
+            *used_columns(m.terms),
+            *([f"__w{self.weights.index(m.weight)}"] if m.weight else []),
+            *(["__cluster"] if self.cluster else []),
+        ]
+        if tuple(needed) not in self.present:
+            self.present[tuple(needed)] = all_present(needed) if needed else F.lit(True)
+        return list(self.outcomes).index(key), list(self.present).index(tuple(needed))
+
+    def _outcome(self, outcome: int, present: int) -> Column:
+        return F.when(list(self.present.values())[present], F.col(f"__o{outcome}"))
 
     def names(self, i: int) -> list[str]:
         names = [n for n, _ in self.designs[i]]
@@ -233,13 +252,20 @@ class _Layout:
             return names
         return [f"{n}|{c}" for c in range(1, self.models[i].classes) for n in names]
 
-    def arrays(self, table: DataFrame, *more: str) -> DataFrame:
-        return table.select(
+    def arrays(self, rows: DataFrame, *more: str) -> DataFrame:
+        """The rows as ``_read`` takes them: design, distinct outcomes, and which needed columns are present."""
+        return rows.select(
             F.array(*self.union.values()).alias("x"),
-            F.array(*[F.col(f"__y{i}") for i in range(len(self.models))]).alias("y"),
+            F.array(*[F.col(f"__o{i}") for i in range(len(self.outcomes))]).alias("o"),
+            F.array(*self.present.values()).alias("p"),
             *more,
         )
 
+    @property
+    def shape(self) -> tuple[int, int, int, list[int], list[int]]:
+        """What ``_read`` needs: the widths of the three arrays, and each model's outcome and needed columns."""
+        return len(self.union), len(self.outcomes), len(self.present), [o for o, _ in self.places], [p for _, p in self.places]
+
     def cells(self, max_cells: int):
         """Covariate cells as numpy blocks, or None when there are more than the bound."""
         keys = [*self.variables, *[f"__y{i}" for i in range(len(self.models))]]
@@ -247,9 +273,15 @@ class _Layout:
         for j in range(len(self.weights)):
             sums.append(F.sum(f"__w{j}").alias(f"s{j}"))
             sums.append(F.sum(F.col(f"__w{j}") * F.col(f"__w{j}")).alias(f"q{j}"))
-        grouped = self.rows.groupBy(*keys).agg(*sums)
+        rows = self.rows.select("*", *[self._outcome(*place).alias(f"__y{i}") for i, place in enumerate(self.places)])
+        grouped = rows.groupBy(*keys).agg(*sums)
         totals = ["n", *[f"s{j}" for j in range(len(self.weights))], *[f"q{j}" for j in range(len(self.weights))]]
-        cells = self.arrays(grouped, *totals).limit(max_cells + 1).toArrow()
+        cells = grouped.select(
+            F.array(*self.union.values()).alias("x"),
+            F.array(*[F.col(f"__y{i}") for i in range(len(self.models))]).alias("y"),
+            *totals,
+        )
+        cells = cells.limit(max_cells + 1).toArrow()
         if cells.num_rows > max_cells:
             return None
         cells = cells.combine_chunks()
@@ -413,12 +445,12 @@ class _RowEngine:
         self.table = layout.arrays(layout.rows, *more)
 
     def sums(self, betas):
-        plans, width, models = self.layout.plans, len(self.layout.union), len(self.layout.plans)
+        plans, shape = self.layout.plans, self.layout.shape
         sizes = {i: len(self.layout.names(i)) for i in betas}
 
         def add_up(batches: Iterator[pa.RecordBatch]):
             total: dict[int, np.ndarray] = {}
-            for x, y, weights, _ in _read(batches, width, models, plans):
+            for x, y, weights, _ in _read(batches, shape, plans):
                 for i, beta in betas.items():
                     inside = ~np.isnan(y[:, i])
                     if not inside.any():
@@ -435,12 +467,12 @@ class _RowEngine:
     def meats(self, fits):
         clustered = {i: f for i, f in fits.items() if self.layout.plans[i].errors == "cluster"}
         others = {i: (f.beta, f.bread) for i, f in fits.items() if i not in clustered}
-        plans, width, models = self.layout.plans, len(self.layout.union), len(self.layout.plans)
+        plans, shape = self.layout.plans, self.layout.shape
         sizes = {i: len(f.names) for i, f in fits.items()}
 
         def add_up(batches: Iterator[pa.RecordBatch]):
             total: dict[int, np.ndarray] = {}
-            for x, y, weights, _ in _read(batches, width, models, plans):
+            for x, y, weights, _ in _read(batches, shape, plans):
                 for i, (beta, bread) in others.items():
                     inside = ~np.isnan(y[:, i])
                     xm = x[inside][:, plans[i].columns]
@@ -471,13 +503,15 @@ def _unpacked(flat: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([(full + np.triu(full, 1).T).ravel(), flat[half:]])
 
 
-def _read(batches, width, models, plans, cluster=False):
+def _read(batches, shape, plans, cluster=False):
+    width, outcomes, sets, which, needed = shape
     n_weights = 1 + max([p.weight for p in plans if p.weight is not None], default=-1)
     for batch in batches:
         if not batch.num_rows:
             continue
         x = _matrix(batch.column("x"), width)
-        y = _matrix(batch.column("y"), models)
+        y = _matrix(batch.column("o"), outcomes)[:, which]
+        y[~_matrix(batch.column("p"), sets).astype(bool)[:, needed]] = np.nan
         weights = [
             batch.column(f"__w{j}").to_numpy(zero_copy_only=False) for j in range(n_weights)
         ]
@@ -552,7 +586,7 @@ def _outer(s: np.ndarray) -> np.ndarray:
 
 
 def _meats_inside(layout: _Layout, fits: dict[int, Fit], rows: DataFrame) -> dict[int, np.ndarray]:
-    plans, width, models = layout.plans, len(layout.union), len(layout.plans)
+    plans, shape = layout.plans, layout.shape
     more = [f"__w{j}" for j in range(len(layout.weights))]
     table = layout.arrays(rows.sortWithinPartitions("__cluster"), "__cluster", *more)
     scores = _scores(layout, fits)
@@ -565,7 +599,7 @@ def _meats_inside(layout: _Layout, fits: dict[int, Fit], rows: DataFrame) -> dic
             part = _outer(sums)
             total[i] = total[i] + part if i in total else part
 
-        for x, y, weights, owner in _read(batches, width, models, plans, cluster=True):
+        for x, y, weights, owner in _read(batches, shape, plans, cluster=True):
             coded = owner.dictionary_encode()
             codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
             for i, used, score in scores(x, y, weights):
@@ -588,7 +622,7 @@ def _meats_inside(layout: _Layout, fits: dict[int, Fit], rows: DataFrame) -> dic
 
 def _meats_across(layout: _Layout, fits: dict[int, Fit], rows: DataFrame) -> dict[int, np.ndarray]:
     """Scores are added up per batch, then per (model, cluster) with map-side combining."""
-    plans, width, models = layout.plans, len(layout.union), len(layout.plans)
+    plans, shape = layout.plans, layout.shape
     sizes = {i: len(f.names) for i, f in fits.items()}
     longest = max(sizes.values())
     scores_schema = StructType(
@@ -603,7 +637,7 @@ def _meats_across(layout: _Layout, fits: dict[int, Fit], rows: DataFrame) -> dic
     scores = _scores(layout, fits)
 
     def add_scores(batches: Iterator[pa.RecordBatch]):
-        for x, y, weights, owner in _read(batches, width, models, plans, cluster=True):
+        for x, y, weights, owner in _read(batches, shape, plans, cluster=True):
             coded = owner.dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False)
             for i, used, score in scores(x, y, weights):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -40,10 +41,14 @@ IMPUTED = ["balance_k", "early_spend"]
 MATRIX = [*IMPUTED, "spend_k", "order_count", "a", "b", "functional_state", "half"]
 
 
-def imputation_rows(spark, sf):
-    """One row per person: first interval, with spend at the second wave where there is one."""
-    first = first_per_person(S.intervals(spark, sf), "id", "wave")
-    early = S.panel(spark, sf).filter("wave = 2").select("id", (F.col("spend") / 1000).alias("early_spend"))
+def imputation_rows(spark, sf, waves=None):
+    """One row per person: first interval, with spend at the second wave where there is one.
+
+    ``waves`` is the panel where it is stored already; it takes the quantile of all prices, so it is built once.
+    """
+    waves = stored(S.panel(spark, sf), "waves") if waves is None else waves
+    first = first_per_person(S.intervals(spark, sf, build=lambda *_: waves), "id", "wave")
+    early = waves.filter("wave = 2").select("id", (F.col("spend") / 1000).alias("early_spend"))
     rows = S.modelled(S.with_people(joins.checked_join(first, early, ["id"]), spark, sf))
     rows = rows.select(
         "id",
@@ -80,10 +85,11 @@ def impute_chained(spark, sf):
 @query("multiple_imputation_rr")
 def multiple_imputation_rr(spark, sf, m=20, rounds=20):
     """Weights and models refitted on every imputation in shared passes, then pooled."""
-    people = imputation_rows(spark, sf)
+    waves = stored(S.panel(spark, sf), "waves")
+    people = imputation_rows(spark, sf, waves)
     chains = impute.fit_chains(people, "id", MATRIX, draws=m, rounds=rounds, seed=12)
     drawn = impute.completed(people, chains, ["balance_k"], seed=12).select("id", "balance_k_draws")
-    rows = S.modelled(S.with_people(S.intervals(spark, sf), spark, sf))
+    rows = S.modelled(S.with_people(S.intervals(spark, sf, build=lambda *_: waves), spark, sf))
     rows = stored(joins.checked_join(rows, drawn, ["id"]), "imputed")
     rows = rows.select("*", *[F.col("balance_k_draws")[k].alias(f"balance_{k}") for k in range(m)]).drop("balance_k_draws")
     origin = Cat("functional_state")
@@ -107,10 +113,11 @@ def multiple_imputation_rr(spark, sf, m=20, rounds=20):
     bounds = exact_quantiles(long, "raw", [0.01, 0.99], by=["k"])
     for k in range(m):
         observed = observed.withColumn(f"iow_{k}", R.clip(f"raw_{k}", *bounds[(k,)]))
+    # the outcomes and risk sets are the same columns in every imputation, so the rows hold them once
     models = [
-        model
+        replace(model, name=f"{model.name} {k}", terms=(STATE, *shared, Num(f"balance_{k}")), weight=f"iow_{k}")
+        for model in transition_models([])
         for k in range(m)
-        for model in transition_models([STATE, *shared, Num(f"balance_{k}")], f"iow_{k}", suffix=f" {k}")
     ]
     fits = fit_models(observed, models, cluster="id")
     wanted = {S.STATE_LABELS[g]: {f"state[{g}]": 1.0} for g in (1, 2, 3)}
