@@ -11,6 +11,8 @@ those counts, so the result is exact. Groups may be as many as they like and sta
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -173,11 +175,22 @@ def _counted(values: DataFrame, state: DataFrame, keys, probs: Sequence[float],
     """Quantiles read off exact counts: rows below each bracket, and rows by distinct value inside."""
     targets, v = range(len(probs)), F.col("__v")
     met = _matched(values, state, keys, groups, "inner")
+    inside = [v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i in targets]
+    # one row a group and value inside a bracket, and one for all others, which only count as below
+    by_value = met.groupBy(*keys, F.when(reduce(or_, inside), v).alias("__x")).agg(
+        *[F.count_if(inside[i]).alias(f"__in{i}") for i in targets],
+        *[F.count_if(v < F.col(f"__lo{i}")).alias(f"__under{i}") for i in targets],
+    )
     places = [
-        F.when(v <= F.col(f"__hi{i}"), F.struct(F.lit(i).alias("i"), F.when(v >= F.col(f"__lo{i}"), v).alias("x"))) for i in targets
+        e
+        for i in targets
+        for e in (
+            F.struct(F.lit(i).alias("i"), F.col("__x").alias("x"), F.col(f"__in{i}").alias("c")),
+            F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("x"), F.col(f"__under{i}").alias("c")),
+        )
     ]
-    spread = met.select(*keys, F.explode(F.filter(F.array(*places), lambda e: e.isNotNull())).alias("e"))
-    counted = spread.groupBy(*keys, F.col("e.i").alias("__i"), F.col("e.x").alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    spread = by_value.select(*keys, F.explode(F.array(*places)).alias("e")).filter("e.c > 0")
+    counted = spread.groupBy(*keys, F.col("e.i").alias("__i"), F.col("e.x").alias("__x")).agg(F.sum("e.c").alias("__c"))
     # NULL, all that lies below, comes first
     running = F.sum("__c").over(Window.partitionBy(*keys, "__i").orderBy(F.asc_nulls_first("__x")))
     ranked = counted.withColumn("__cum", running)

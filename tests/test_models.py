@@ -556,3 +556,21 @@ def test_penalty_settles_separated_and_constant_columns(spark):
     fit = fit_models(df, [model])["m"]
     assert fit.converged and fit.error is None
     assert abs(fit.beta[fit.at("one")]) < 1e-9 and 0.5 < fit.beta[fit.at("x")] < 5
+
+
+def test_models_on_imputations_share_one_outcome_column(spark):
+    """Rows hold an outcome once, and a model leaves out the rows that lack its own column or weight."""
+    from dataclasses import replace
+
+    from panelwright.models.glm import _Layout
+
+    rows = spark.createDataFrame(
+        [(i, i % 3, float(i % 2), float(i), None if i % 5 == 0 else float(i % 7), None if i == 1 else 1.0 + i % 4) for i in range(200)],
+        "id int, risk int, y double, x0 double, x1 double, w double",
+    )
+    one = Model("0", F.col("y"), (Num("x0"),), where=F.col("risk") == 1, weight="w")
+    models = [one, replace(one, name="1", terms=(Num("x1"),)), replace(one, name="2", where=F.col("risk") < 2)]
+    layout = _Layout(rows, models, "id")
+    assert [c for c in layout.rows.columns if c.startswith("__o")] == ["__o0", "__o1"]
+    fits = fit_models(rows, models, cluster="id", max_cells=0)
+    assert [fits[n].n for n in "012"] == [66, 53, 133]
