@@ -4,6 +4,7 @@ import hashlib
 import subprocess
 import sys
 import tempfile
+import threading
 from pathlib import Path
 
 import numpy as np
@@ -272,3 +273,71 @@ def test_queries_without_the_package_on_executors():
         done = subprocess.run([sys.executable, "run.py"], cwd=folder, env=env, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stderr[-2000:]
     assert len([line for line in done.stdout.splitlines() if line.split()[0].startswith(("op", "pipeline"))]) >= 14
+
+
+def near_copies(n, dim, seed, spread=0.1):
+    """Vectors of which a third lie close to one of a few others."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    near = rng.random(n) < 1 / 3
+    x[near] = x[rng.integers(0, 40, near.sum())] + spread * rng.normal(size=(near.sum(), dim))
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("recall", [1.0, 0.6])
+def test_blocks_meet_the_pairs_whose_cells_are_visited(recall):
+    x = near_copies(1500, 24, 3)
+    exact = embedding_dedup.units(x, 24)
+    grid = embedding_dedup.grid_for(exact[::2], np.zeros(750), 7, 0.98, recall)
+    own1, own2, low1, low2 = grid.bounds(exact)
+    asks = low1[:, own1] + low2[:, own2] <= grid.reach**2
+    link = (exact @ exact.T >= 0.98) & (asks | asks.T) & ~np.eye(len(x), dtype=bool)
+    assert (recall == 1) == (link.sum() == (exact @ exact.T >= 0.98).sum() - len(x))
+    ids, sizes = np.arange(len(x)), np.random.default_rng(1).integers(1, 4, len(x))
+    for ends in ([0, 1500], [0, 500, 900, 1500]):
+        blocks = [embedding_dedup.Block.of(ids[a:b], sizes[a:b], x[a:b], 24, grid, 200) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        links = np.zeros(len(x), int)
+        for i, index in enumerate(blocks):
+            for asking in blocks[i:]:
+                cid, found, near = embedding_dedup.links_and_roots(index, asking, embedding_dedup.pairs(index, asking, grid, 0.98, 16, 200))
+                links[cid] += found
+                assert np.isin(near, cid).all()
+        assert (links == link @ sizes).all()
+
+
+def test_vectors_are_sent_a_bounded_number_of_times(spark):
+    """Shuffle files stay within a small multiple of the vectors, in one round and in many, and all links are found."""
+    n, dim = 6000, 64
+    x = near_copies(n, dim, 4)
+    rows = [(i, v, 0) for i, v in enumerate(x.tolist())]
+    path = f"{tempfile.mkdtemp(prefix='vectors-')}/embeddings"
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4).write.parquet(path)
+    exact = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    link = (exact @ exact.T >= 0.98) & ~np.eye(n, dtype=bool)
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        out = {}
+        for p in (p for d in dirs for p in Path(d).rglob("shuffle_*.data")):
+            try:
+                out[str(p)] = p.stat().st_size
+            except OSError:  # gone meanwhile
+                pass
+        return out
+
+    for options in ({}, {"held": 1 << 18}):
+        before, most, over = set(shuffled()), [0], threading.Event()
+
+        def watch():
+            while not over.wait(0.02):
+                most[0] = max(most[0], sum(v for k, v in shuffled().items() if k not in before))
+
+        thread = threading.Thread(target=watch)
+        thread.start()
+        made = embedding_dedup.near_vectors(spark.read.parquet(path), **options)
+        over.set()
+        thread.join()
+        assert 0 < most[0] <= 4 * x.nbytes, most[0] / x.nbytes
+        assert sum(v for k, v in shuffled().items() if k not in before) <= x.nbytes
+        got = {r.vec_id: r.n_links for r in made.collect()}
+        assert [got[i] for i in range(n)] == link.sum(1).tolist()
